@@ -100,20 +100,41 @@ def rank_rows(df: DataFrame, by: Sequence[Order], tie: Sequence[str], out: str =
     return join_by_size(placed, firsts, keys).drop("_pos")
 
 
-def rank_by_value(df: DataFrame, key: str, way: str = "desc", tie: Sequence[str] = (), out: str = "rank") -> DataFrame:
-    """``rank_rows`` for a key with few distinct values (a small count, a 3-digit share).
+def running_total(df: DataFrame, by: Order, value: str, out: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Sum of ``value`` over all rows before this one; ``by`` holds distinct keys.
 
-    Counts per value are added up in value order, so no row is sorted. If the values
-    turn out to be many, the range-placed form is used.
+    A frame counted to be small takes one plain window. A larger one is range-placed:
+    totals per partition are added up, and the window runs inside each partition.
     """
-    counts = df.groupBy(key).count()
-    if counts.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return rank_rows(df, [(key, way)], tie, out)
-    before = Window.orderBy(_sort_key((key, way))).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(
-        F.col(key).alias("_key"), (F.coalesce(F.sum("count").over(before), F.lit(0)) + 1).alias(out)
+    key = _sort_key(by)
+    if df.limit(limit + 1).count() <= limit:
+        before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(df.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()), "totals")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy("_part")
+        .agg(F.sum(value).alias("_sum"))
+        .select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    )
+    inside = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        placed.join(F.broadcast(offsets), "_part")
+        .withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .drop("_part", "_before")
     )
-    return df.join(F.broadcast(ranks), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
+def rank_by_value(df: DataFrame, key: str, way: str = "desc", out: str = "rank") -> DataFrame:
+    """``rank() over (order by key)`` for a key with few distinct values (a small count, a 3-digit share).
+
+    Rows are counted per value and the counts added up in value order, so no row is
+    sorted or moved; the ranks come back by a join on the value.
+    """
+    counts = df.groupBy(key).agg(F.count("*").alias("_rows"))
+    ranks = running_total(counts, (key, way), "_rows", "_before")
+    return join_by_size(df, ranks.select(key, (F.col("_before") + 1).alias(out)), [key])
 
 
 def ntile_rows(df: DataFrame, tiles: int, by: Sequence[Order], tie: Sequence[str], out: str = "tile") -> DataFrame:

@@ -61,10 +61,8 @@ def avg_worse_by_rating(h: DataFrame, group: str = "safety") -> DataFrame:
 
 def rank_by_composite(h: DataFrame) -> DataFrame:
     """National rank by composite risk. The score is a small whole number, so ranks come from value counts."""
-    scored = h.select(
-        "facility_id", "facility_name", "state", *_ALL_WORSE, composite_risk().cast("long").alias("total_risk_score")
-    )
-    ranked = rank_by_value(scored, "total_risk_score", "desc", ["facility_id"], "national_rank")
+    scored = h.select("facility_name", "state", *_ALL_WORSE, composite_risk().cast("long").alias("total_risk_score"))
+    ranked = rank_by_value(scored, "total_risk_score", "desc", "national_rank")
     return ranked.select("facility_name", "state", *_ALL_WORSE, "total_risk_score", "national_rank").orderBy(
         "national_rank", "facility_name"
     )

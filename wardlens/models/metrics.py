@@ -34,7 +34,7 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", digits: i
     """
     positive = F.count_if(F.col(label) == 1)
     per_score = df.groupBy(score).agg(positive.alias("_pos"), (F.count("*") - positive).alias("_neg"))
-    below = running_total(per_score, (score, "asc"), "_neg", "_neg_below")
+    below = running_total(per_score, [(score, "asc")], "_neg", "_neg_below")
     won = F.sum(F.col("_pos") * (F.col("_neg_below") + F.col("_neg") / 2.0))
     return below.agg(won.alias("_won"), F.sum("_pos").alias("positives"), F.sum("_neg").alias("negatives")).select(
         half_even(F.try_divide(F.col("_won"), F.col("positives").cast("double") * F.col("negatives")), digits).alias(

@@ -100,25 +100,27 @@ def rank_rows(df: DataFrame, by: Sequence[Order], tie: Sequence[str], out: str =
     return join_by_size(placed, firsts, keys).drop("_pos")
 
 
-def running_total(df: DataFrame, by: Order, value: str, out: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+def running_total(
+    df: DataFrame, by: Sequence[Order], value: str, out: str, limit: int = BROADCAST_ROWS
+) -> DataFrame:
     """Sum of ``value`` over all rows before this one; ``by`` holds distinct keys.
 
     A frame counted to be small takes one plain window. A larger one is range-placed:
     totals per partition are added up, and the window runs inside each partition.
     """
-    key = _sort_key(by)
+    keys = [_sort_key(o) for o in by]
     if df.limit(limit + 1).count() <= limit:
-        before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = materialize(df.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()), "totals")
+    placed = materialize(df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()), "totals")
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy("_part")
         .agg(F.sum(value).alias("_sum"))
         .select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
     )
-    inside = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     return (
         placed.join(F.broadcast(offsets), "_part")
         .withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
@@ -133,7 +135,7 @@ def rank_by_value(df: DataFrame, key: str, way: str = "desc", out: str = "rank")
     sorted or moved; the ranks come back by a join on the value.
     """
     counts = df.groupBy(key).agg(F.count("*").alias("_rows"))
-    ranks = running_total(counts, (key, way), "_rows", "_before")
+    ranks = running_total(counts, [(key, way)], "_rows", "_before")
     return join_by_size(df, ranks.select(key, (F.col("_before") + 1).alias(out)), [key])
 
 

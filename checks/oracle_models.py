@@ -91,6 +91,10 @@ def models() -> dict[str, str]:
         "m_split_stratified": _feat(f", {_CLF_SPLIT} SELECT facility_id, label, part FROM cs"),
         "m_folds": _feat(f", {_REG_FOLDS} SELECT facility_id, label, fold FROM rf"),
         "m_folds_stratified": _feat(f", {_CLF_FOLDS} SELECT facility_id, label, fold FROM cf"),
+        "m_baseline": _feat(
+            f""", {_REG_SPLIT} SELECT facility_id, label, {even("(SELECT avg(label) FROM rs WHERE part = 'train')", 9)} AS prediction
+ FROM rs WHERE part = 'test'"""
+        ),
         "m_baseline_majority": _feat(
             f""", {_CLF_SPLIT} SELECT facility_id, label,
  (SELECT label FROM cs WHERE part = 'train' GROUP BY label ORDER BY count(*) DESC, label LIMIT 1) AS prediction

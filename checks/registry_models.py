@@ -102,7 +102,7 @@ def candidate(task: str, model: str) -> Query:
         ready = materialize(prepared.transform(fit_rows).select("label", "features"), "ready")
         fitted = candidates.candidate_models(task, SIZES)[model].fit(ready)
         predicted = fitted.transform(prepared.transform(held).select("facility_id", "label", "features"))
-        return predicted.select("facility_id", "label", "prediction")
+        return predicted.select("facility_id", "label", half_even("prediction", 9).alias("prediction"))
 
     return run
 

@@ -81,10 +81,7 @@ class Preprocessor(Estimator):
             )
         )
         levels = {c: len(labels) for c, labels in zip(CATEGORICAL, index.labelsArray)}
-        frequent = {
-            c: df.groupBy(f"{c}_level").count().filter(F.col("count") >= self.min_rows).count() for c in CATEGORICAL
-        }
-        add(_pool_stage(frequent, levels))
+        add(_pool_stage(self._frequent(df), levels))
         add(
             OneHotEncoder(
                 inputCols=[f"{c}_slot" for c in CATEGORICAL], outputCols=[f"{c}_vec" for c in CATEGORICAL],
@@ -106,6 +103,13 @@ class Preprocessor(Estimator):
         add(VectorAssembler(inputCols=parts, outputCol="features"))
         return PipelineModel(stages)
 
+    def _frequent(self, df: DataFrame) -> dict[str, int]:
+        """Number of levels per category with at least ``min_rows`` rows, in one pass."""
+        pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"{c}_level").alias("level")) for c in CATEGORICAL])
+        seen = df.select(F.inline(pairs)).groupBy("c", "level").agg(F.count("*").alias("n"))
+        found = seen.groupBy("c").agg(F.count_if(F.col("n") >= self.min_rows).alias("k")).collect()
+        return {r["c"]: r["k"] for r in found}
+
 
 def feature_names(model: PipelineModel) -> list[str]:
     """Name of every position of the feature vector of a fitted preprocessor."""

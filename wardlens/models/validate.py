@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import statistics
 from collections.abc import Iterable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,27 +27,29 @@ def _evaluator(task: Task) -> BinaryClassificationEvaluator | RegressionEvaluato
 
 
 def fold_scores(
-    features: DataFrame, task_name: str, sizes: Sizes = Sizes(), k: int = FOLDS, models: Iterable[str] | None = None
+    features: DataFrame, task_name: str, sizes: Sizes = Sizes(), k: int = FOLDS, models: Iterable[str] | None = None,
+    parallelism: int = FOLDS,
 ) -> dict[str, list[float]]:
     """Score of every candidate on every fold.
 
     Preparation is fitted once per fold on its training rows, and the prepared rows are
-    written once and shared by the candidates.
+    written once and shared by the candidates. Folds are submitted side by side, as the
+    tuning classes of Spark ML do, so the cluster stays busy between small jobs.
     """
     task = TASKS[task_name]
     folded = contiguous_folds(model_rows(features, task_name), k, stratify=task.classification)
     candidates = candidate_models(task_name, sizes)
     wanted = list(models) if models is not None else list(candidates)
-    scores: dict[str, list[float]] = {name: [] for name in wanted}
-    for fold in range(k):
-        train = folded.filter(F.col("fold") != fold)
-        prepared = Preprocessor(task.numeric).fit(train)
+
+    def one_fold(fold: int) -> list[float]:
+        prepared = Preprocessor(task.numeric).fit(folded.filter(F.col("fold") != fold))
         ready = materialize(prepared.transform(folded).select("facility_id", "fold", "label", "features"), "fold")
         fit_rows, held = ready.filter(F.col("fold") != fold), ready.filter(F.col("fold") == fold)
-        for name in wanted:
-            predicted = candidates[name].fit(fit_rows).transform(held)
-            scores[name].append(_evaluator(task).evaluate(predicted))
-    return scores
+        return [_evaluator(task).evaluate(candidates[name].fit(fit_rows).transform(held)) for name in wanted]
+
+    with ThreadPool(max(1, min(parallelism, k))) as pool:
+        per_fold = pool.map(inheritable_thread_target(features.sparkSession)(one_fold), range(k))
+    return {name: [scores[i] for scores in per_fold] for i, name in enumerate(wanted)}
 
 
 def compare_models(

@@ -13,6 +13,7 @@ from wardlens.operators import grouping as k
 from wardlens.operators import ownership as o
 from wardlens.operators import safety as c
 from wardlens.operators import timeliness as t
+from wardlens.operators.ranking import sort_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,7 +34,7 @@ def _view(name: str, order: list[str], *tables: str) -> Callable[[Callable[...,
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             fn(*[provider(spark, sf_dir, n) for n in tables]).createOrReplaceTempView(name)
             view = spark.table(name)
-            return view.orderBy(*[view[c].desc() for c in order]) if order else view
+            return sort_rows(view, *[view[c].desc() for c in order]) if order else view
 
         return run
 

@@ -52,16 +52,31 @@ class Constant(Estimator):
         )
 
 
-class Sized(Estimator):
-    """Model whose settings depend on the number of training rows, or that weighs classes evenly."""
+class Ridge(Estimator):
+    """Least squares with penalty ``alpha`` on the squared weights.
 
-    def __init__(self, make: Callable[[int], Estimator], balanced: bool = False):
+    The normal-equation solver divides its penalty by the label's deviation and its loss
+    by the number of rows; both are undone here.
+    """
+
+    def __init__(self, alpha: float = 1.0):
         super().__init__()
-        self.make, self.balanced = make, balanced
+        self.alpha = alpha
+
+    def _fit(self, dataset: DataFrame) -> Transformer:
+        n, spread = dataset.agg(F.count("label"), F.stddev_pop("label")).first()
+        penalty = self.alpha * (spread or 1.0) / n
+        return LinearRegression(regParam=penalty, elasticNetParam=0.0, standardization=False, solver="normal").fit(dataset)
+
+
+class Balanced(Estimator):
+    """Classifier that gives both classes the same total weight; ``make`` gets the row count."""
+
+    def __init__(self, make: Callable[[int], Estimator]):
+        super().__init__()
+        self.make = make
 
     def _fit(self, dataset: DataFrame) -> Transformer:
-        if not self.balanced:
-            return self.make(dataset.count()).fit(dataset)
         counts = {r["label"]: r["count"] for r in dataset.groupBy("label").count().collect()}
         n = sum(counts.values())
         weight = F.lit(1.0)
@@ -77,12 +92,11 @@ def forest_regressor(s: Sizes = Sizes()) -> Estimator:
 
 
 def forest_classifier(s: Sizes = Sizes()) -> Estimator:
-    return Sized(
+    return Balanced(
         lambda n: RandomForestClassifier(
             numTrees=s.trees, maxDepth=s.tree_depth, minInstancesPerNode=s.min_leaf, featureSubsetStrategy="sqrt",
             weightCol="class_weight", seed=s.seed,
-        ),
-        balanced=True,
+        )
     )
 
 
@@ -93,18 +107,17 @@ def candidate_models(task: str, s: Sizes = Sizes()) -> dict[str, Estimator]:
     if not task_of(task).classification:
         return {
             "Baseline (mean)": Constant(False),
-            "Ridge": Sized(lambda n: LinearRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False)),
+            "Ridge": Ridge(),
             "RandomForest": forest_regressor(s),
             "GradientBoosting": GBTRegressor(**boost),
             "GradientBoosting (long)": GBTRegressor(**long),
         }
     return {
         "Baseline (majority)": Constant(True),
-        "LogisticRegression": Sized(
+        "LogisticRegression": Balanced(
             lambda n: LogisticRegression(
                 maxIter=s.max_iter, regParam=1.0 / n, elasticNetParam=0.0, standardization=False, weightCol="class_weight"
-            ),
-            balanced=True,
+            )
         ),
         "RandomForest": forest_classifier(s),
         "GradientBoosting": GBTClassifier(**boost),

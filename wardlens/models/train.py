@@ -16,6 +16,7 @@ from wardlens.models.documents import metrics_document
 from wardlens.models.preprocess import Preprocessor
 from wardlens.models.splits import SEED, TEST_SHARE, hold_out
 from wardlens.models.triage import risk_rank
+from wardlens.sources.scratch import materialize
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,7 @@ def train_satisfaction(features: DataFrame, sizes: Sizes = Sizes(), test: float
     prepared = Preprocessor(REG_NUMERIC).fit(train)
     forest = forest_regressor(sizes).fit(prepared.transform(train))
     model = PipelineModel([prepared, forest])
-    return Trained(model, train, model.transform(held).select("facility_id", "label", "prediction"))
+    return Trained(model, train, materialize(model.transform(held).select("facility_id", "label", "prediction"), "tested"))
 
 
 def train_underperformer(features: DataFrame, sizes: Sizes = Sizes(), test: float = TEST_SHARE, seed: int = SEED) -> Trained:
@@ -42,7 +43,7 @@ def train_underperformer(features: DataFrame, sizes: Sizes = Sizes(), test: floa
     prepared = Preprocessor(CLF_NUMERIC).fit(train)
     forest = forest_classifier(sizes).fit(prepared.transform(train))
     model = PipelineModel([prepared, forest])
-    return Trained(model, train, with_risk(model, held).select("facility_id", "label", "score"))
+    return Trained(model, train, materialize(with_risk(model, held).select("facility_id", "label", "score"), "tested"))
 
 
 def with_risk(model: PipelineModel, rows: DataFrame, out: str = "score") -> DataFrame:
@@ -51,10 +52,10 @@ def with_risk(model: PipelineModel, rows: DataFrame, out: str = "score") -> Data
 
 
 def score(features: DataFrame, model: PipelineModel) -> DataFrame:
-    """Risk of every hospital, three decimals, ranked."""
+    """Risk of every hospital, three decimals, ranked. Rows are scored once and written."""
     shown = ["facility_id", "facility_name", *CATEGORICAL, "overall_rating", "patient_star_avg"]
     scored = with_risk(model, features).select(*shown, half_even("score", 3).alias("predicted_risk"))
-    return risk_rank(scored)
+    return risk_rank(materialize(scored, "scored"))
 
 
 def evaluate(satisfaction: Trained, underperformer: Trained) -> DataFrame:

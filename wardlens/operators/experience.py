@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardlens.functions.clean import composite_risk, num, same_text, to_num
 from wardlens.functions.rounding import half_up
 from wardlens.operators.grouping import mean_by, mean_parts, merged_mean
-from wardlens.operators.ranking import rank_rows, top_n_within
+from wardlens.operators.ranking import rank_rows, sort_rows, top_n_within
 from wardlens.operators.safety import v_risk_summary
 from wardlens.operators.timeliness import change_over_time, timely_mean_all
 
@@ -23,19 +23,15 @@ def starred(s: DataFrame) -> DataFrame:
 
 
 def answers_for(s: DataFrame, name: str = "SOUTHEAST HEALTH MEDICAL CENTER") -> DataFrame:
-    return (
-        s.filter(same_text("facility_name", name))
-        .select("facility_name", "hcahps_question", "hcahps_answer_description", "hcahps_answer_percent")
-        .orderBy("hcahps_question")
+    rows = s.filter(same_text("facility_name", name)).select(
+        "facility_name", "hcahps_question", "hcahps_answer_description", "hcahps_answer_percent"
     )
+    return sort_rows(rows, "hcahps_question")
 
 
 def five_star(s: DataFrame, measure: str = "H_STAR_RATING", stars: int = 5) -> DataFrame:
-    return (
-        s.filter(same_text("hcahps_measure_id", measure) & (F.col(STAR) == str(stars)))
-        .select("facility_name", "state", "hcahps_measure_id", STAR)
-        .orderBy("state", "facility_name")
-    )
+    rows = s.filter(same_text("hcahps_measure_id", measure) & (F.col(STAR) == str(stars)))
+    return sort_rows(rows.select("facility_name", "state", "hcahps_measure_id", STAR), "state", "facility_name")
 
 
 def low_response(s: DataFrame, below: int = 20) -> DataFrame:
@@ -195,4 +191,4 @@ def scorecard_rows(h: DataFrame, t: DataFrame, s: DataFrame) -> DataFrame:
 def scorecard(h: DataFrame, t: DataFrame, s: DataFrame) -> DataFrame:
     """National rank on the rounded overall score."""
     ranked = rank_rows(scorecard_rows(h, t, s), [("overall_score", "desc")], ["facility_id"], "national_rank")
-    return ranked.drop("facility_id").orderBy("national_rank", "facility_name")
+    return sort_rows(ranked.drop("facility_id"), "national_rank", "facility_name")

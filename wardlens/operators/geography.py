@@ -17,15 +17,12 @@ from wardlens.operators.grouping import (
     rank_groups,
     rated,
 )
-from wardlens.operators.ranking import top_n_within
+from wardlens.operators.ranking import sort_rows, top_n_within
 
 
 def hospitals_in_state(h: DataFrame, state: str = "CA") -> DataFrame:
-    return (
-        h.filter(same_text("state", state))
-        .select("facility_name", "city_town", "state", "overall_rating")
-        .orderBy("facility_name")
-    )
+    rows = h.filter(same_text("state", state)).select("facility_name", "city_town", "state", "overall_rating")
+    return sort_rows(rows, "facility_name")
 
 
 def distinct_states(h: DataFrame) -> DataFrame:
@@ -33,20 +30,18 @@ def distinct_states(h: DataFrame) -> DataFrame:
 
 
 def with_rating(h: DataFrame, stars: int = 1) -> DataFrame:
-    return (
-        h.filter(F.col("overall_rating") == str(stars))
-        .select("facility_name", "city_town", "county_parish", "state", "overall_rating")
-        .orderBy("state", "facility_name")
+    rows = h.filter(F.col("overall_rating") == str(stars)).select(
+        "facility_name", "city_town", "county_parish", "state", "overall_rating"
     )
+    return sort_rows(rows, "state", "facility_name")
 
 
 def hospitals_in_county(h: DataFrame, county: str = "Los Angeles") -> DataFrame:
     """Type and ownership are both shown under their own names."""
-    return (
-        h.filter(same_text("county_parish", county))
-        .select("facility_name", "city_town", "county_parish", "hospital_type", "hospital_ownership")
-        .orderBy("facility_name")
+    rows = h.filter(same_text("county_parish", county)).select(
+        "facility_name", "city_town", "county_parish", "hospital_type", "hospital_ownership"
     )
+    return sort_rows(rows, "facility_name")
 
 
 def top_rated(h: DataFrame, state: str = "TX", n: int = 20) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardlens.functions.clean import same_text, worse
 from wardlens.functions.rounding import half_up
 from wardlens.operators.grouping import mean_by, rated
-from wardlens.operators.ranking import top_n_within
+from wardlens.operators.ranking import sort_rows, top_n_within
 
 # The publisher's ownership words behind each profit class.
 FOR_PROFIT = ("Proprietary",)
@@ -20,15 +20,12 @@ NON_PROFIT = (
 
 
 def type_ownership_list(h: DataFrame) -> DataFrame:
-    return h.select("facility_name", "hospital_type", "hospital_ownership").orderBy("facility_name")
+    return sort_rows(h.select("facility_name", "hospital_type", "hospital_ownership"), "facility_name")
 
 
 def _listed(h: DataFrame, column: str, value: str) -> DataFrame:
-    return (
-        h.filter(same_text(column, value))
-        .select("facility_name", "city_town", "state", column)
-        .orderBy("state", "facility_name")
-    )
+    rows = h.filter(same_text(column, value)).select("facility_name", "city_town", "state", column)
+    return sort_rows(rows, "state", "facility_name")
 
 
 def by_ownership(h: DataFrame, value: str = "Government - State") -> DataFrame:

@@ -42,12 +42,27 @@ def join_by_size(big: DataFrame, small: DataFrame, on: Sequence[str], limit: int
     return joined.drop(*[f"_j_{c}" for c in on])
 
 
+def sort_rows(df: DataFrame, *keys: Column | str) -> DataFrame:
+    """Global sort that also splits rows with equal keys over tasks.
+
+    The row's place in its input is the last sort key, so a name shared by a third of the
+    rows does not end in one range partition.
+    """
+    return df.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*keys, "_tie").drop("_tie")
+
+
 def place_rows(df: DataFrame, keys: Sequence[Column]) -> tuple[DataFrame, int]:
-    """Rows with their 1-based global position ``_pos`` in the order ``keys``, and their number."""
+    """Rows with their 1-based global position ``_pos`` in the order ``keys``, and their number.
+
+    Rows with equal keys are in no certain order among themselves, and may lie in several partitions.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = [*keys, F.col("_tie")]
     placed = materialize(
-        df.repartitionByRange(parts, *keys)
-        .sortWithinPartitions(*keys)
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(parts, *spread)
+        .sortWithinPartitions(*spread)
+        .drop("_tie")
         .withColumn("_id", F.monotonically_increasing_id()),
         "placed",
     )
@@ -105,10 +120,12 @@ def running_total(
 ) -> DataFrame:
     """Sum of ``value`` over all rows before this one; ``by`` holds distinct keys.
 
-    A frame counted to be small takes one plain window. A larger one is range-placed:
-    totals per partition are added up, and the window runs inside each partition.
+    The frame is written once. Counted to be small, it takes one plain window. A larger
+    one is range-placed: totals per partition are added up, and the window runs inside
+    each partition.
     """
     keys = [_sort_key(o) for o in by]
+    df = materialize(df, "totals")
     if df.limit(limit + 1).count() <= limit:
         before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)))

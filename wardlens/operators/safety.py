@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from wardlens.functions.clean import BETTER_COUNTS, WORSE_COUNTS, better, composite_risk, num, worse
 from wardlens.functions.rounding import half_up
 from wardlens.operators.grouping import mean_by
-from wardlens.operators.ranking import ntile_rows, rank_by_value, top_n_within
+from wardlens.operators.ranking import ntile_rows, rank_by_value, sort_rows, top_n_within
 
 _ALL_WORSE = list(WORSE_COUNTS.values())
 
 
 def worse_counts(h: DataFrame) -> DataFrame:
-    return h.select("facility_name", "state", WORSE_COUNTS["mort"], WORSE_COUNTS["safety"]).orderBy("facility_name")
+    rows = h.select("facility_name", "state", WORSE_COUNTS["mort"], WORSE_COUNTS["safety"])
+    return sort_rows(rows, "facility_name")
 
 
 def _counted(h: DataFrame, keep: Column, column: str) -> DataFrame:
@@ -24,26 +25,23 @@ def _counted(h: DataFrame, keep: Column, column: str) -> DataFrame:
 def worse_gt(h: DataFrame, group: str = "readm", more_than: int = 0) -> DataFrame:
     """Largest counts first, in number order."""
     rows = _counted(h, worse(group) > more_than, WORSE_COUNTS[group])
-    return rows.orderBy(num(WORSE_COUNTS[group], "int").desc(), F.asc("facility_name"))
+    return sort_rows(rows, num(WORSE_COUNTS[group], "int").desc(), F.asc("facility_name"))
 
 
 def worse_eq(h: DataFrame, group: str = "mort", value: int = 0) -> DataFrame:
-    return _counted(h, worse(group) == value, WORSE_COUNTS[group]).orderBy("state", "facility_name")
+    return sort_rows(_counted(h, worse(group) == value, WORSE_COUNTS[group]), "state", "facility_name")
 
 
 def better_gt(h: DataFrame, group: str = "safety", more_than: int = 2) -> DataFrame:
     """Largest counts first, in number order."""
     rows = _counted(h, better(group) > more_than, BETTER_COUNTS[group])
-    return rows.orderBy(num(BETTER_COUNTS[group], "int").desc(), F.asc("facility_name"))
+    return sort_rows(rows, num(BETTER_COUNTS[group], "int").desc(), F.asc("facility_name"))
 
 
 def all_zero(h: DataFrame) -> DataFrame:
     """No worse measure in any group; a missing count is not zero."""
-    return (
-        h.filter((worse("mort") == 0) & (worse("safety") == 0) & (worse("readm") == 0))
-        .select("facility_name", "city_town", "state", *_ALL_WORSE)
-        .orderBy("facility_name")
-    )
+    zero = h.filter((worse("mort") == 0) & (worse("safety") == 0) & (worse("readm") == 0))
+    return sort_rows(zero.select("facility_name", "city_town", "state", *_ALL_WORSE), "facility_name")
 
 
 def avg_worse_by(h: DataFrame, group: str, by: str, out: str) -> DataFrame:
@@ -63,9 +61,8 @@ def rank_by_composite(h: DataFrame) -> DataFrame:
     """National rank by composite risk. The score is a small whole number, so ranks come from value counts."""
     scored = h.select("facility_name", "state", *_ALL_WORSE, composite_risk().cast("long").alias("total_risk_score"))
     ranked = rank_by_value(scored, "total_risk_score", "desc", "national_rank")
-    return ranked.select("facility_name", "state", *_ALL_WORSE, "total_risk_score", "national_rank").orderBy(
-        "national_rank", "facility_name"
-    )
+    shown = ranked.select("facility_name", "state", *_ALL_WORSE, "total_risk_score", "national_rank")
+    return sort_rows(shown, "national_rank", "facility_name")
 
 
 def high_risk_by_state(h: DataFrame, tiles: int = 10, text_order: bool = False) -> DataFrame:
@@ -105,8 +102,5 @@ def above_national(h: DataFrame, group: str = "safety", margin: float = 0.0) ->
     """Hospitals whose worse count is above the national mean by more than ``margin``."""
     count = worse(group)
     national = h.agg(F.avg(count.cast("double"))).scalar()
-    return (
-        h.filter(count > national + F.lit(margin))
-        .select("facility_name", "state", WORSE_COUNTS[group])
-        .orderBy(num(WORSE_COUNTS[group], "int").desc(), F.asc("facility_name"))
-    )
+    rows = h.filter(count > national + F.lit(margin)).select("facility_name", "state", WORSE_COUNTS[group])
+    return sort_rows(rows, num(WORSE_COUNTS[group], "int").desc(), F.asc("facility_name"))

@@ -9,7 +9,8 @@ from wardlens.functions.clean import NOT_AVAILABLE, fold, num, same_text, to_num
 from wardlens.functions.periods import parse_date
 from wardlens.functions.rounding import half_up
 from wardlens.operators.grouping import mean_by, mean_parts, merged_mean
-from wardlens.operators.ranking import ntile_rows, number_rows
+from wardlens.operators.ranking import ntile_rows, number_rows, sort_rows
+from wardlens.sources.scratch import materialize
 
 
 def scored(t: DataFrame) -> DataFrame:
@@ -18,35 +19,26 @@ def scored(t: DataFrame) -> DataFrame:
 
 
 def measures_for(t: DataFrame, name: str = "SOUTHEAST HEALTH MEDICAL CENTER") -> DataFrame:
-    return (
-        t.filter(same_text("facility_name", name)).select("facility_name", "measure_name", "score").orderBy("measure_name")
-    )
+    rows = t.filter(same_text("facility_name", name)).select("facility_name", "measure_name", "score")
+    return sort_rows(rows, "measure_name")
 
 
 def condition_records(t: DataFrame, condition: str = "Emergency Department") -> DataFrame:
-    return (
-        scored(t.filter(same_text("condition_name", condition)))
-        .orderBy(F.desc("_score"), F.asc("facility_name"), F.asc("measure_name"))
-        .select("facility_name", "state", "condition_name", "measure_name", "score")
-    )
+    rows = scored(t.filter(same_text("condition_name", condition)))
+    ordered = sort_rows(rows, F.desc("_score"), F.asc("facility_name"), F.asc("measure_name"))
+    return ordered.select("facility_name", "state", "condition_name", "measure_name", "score")
 
 
 def perfect_scores(t: DataFrame, condition: str = "Healthcare Personnel Vaccination", score: float = 100.0) -> DataFrame:
-    return (
-        t.filter(same_text("condition_name", condition) & (to_num("score") == score))
-        .select("facility_name", "state", "measure_name", "score")
-        .orderBy("facility_name")
-    )
+    rows = t.filter(same_text("condition_name", condition) & (to_num("score") == score))
+    return sort_rows(rows.select("facility_name", "state", "measure_name", "score"), "facility_name")
 
 
 def missing_scores(t: DataFrame, measure: str = "OP_23") -> DataFrame:
     """Score absent or written as the missing word; an empty text is neither."""
-    return (
-        t.filter(same_text("measure_id", measure))
-        .filter(F.col("score").isNull() | same_text("score", NOT_AVAILABLE))
-        .select("facility_name", "state", "measure_name", "score")
-        .orderBy("state", "facility_name")
-    )
+    absent = F.col("score").isNull() | same_text("score", NOT_AVAILABLE)
+    rows = t.filter(same_text("measure_id", measure) & absent)
+    return sort_rows(rows.select("facility_name", "state", "measure_name", "score"), "state", "facility_name")
 
 
 def avg_score_by(t: DataFrame, by: str, lowest_first: bool = False) -> DataFrame:
@@ -82,9 +74,11 @@ def avg_score_by_state(t: DataFrame, h: DataFrame, condition: str = "Emergency D
 def states_below_national(t: DataFrame, h: DataFrame, measure: str = "IMM_3") -> DataFrame:
     """States whose mean is below the mean over all scored rows of the measure.
 
-    The national mean is taken before the join, from the same per-hospital sums.
+    The national mean is taken before the join, from the same per-hospital sums; they are
+    written once, so the long table is read once.
     """
     parts = mean_parts(scored(t.filter(same_text("measure_id", measure))), ["facility_id"], "_score")
+    parts = materialize(parts, "parts")
     national = parts.agg(merged_mean()).scalar()
     return (
         _state_means(parts, h)
@@ -119,9 +113,8 @@ def flag_bottom(t: DataFrame, measure: str = "IMM_3", tiles: int = 10) -> DataFr
     rows = scored(t.filter(same_text("measure_id", measure))).select("facility_id", "facility_name", "state", "_score")
     tiled = ntile_rows(rows, tiles, [("_score", "asc")], ["facility_id"], "risk_group")
     label = F.when(F.col("risk_group") == 1, f"Bottom {100 // tiles}%").otherwise("Other")
-    return tiled.select(
-        "facility_name", "state", F.col("_score").alias("score"), label.alias("performance")
-    ).orderBy("score", "facility_name")
+    shown = tiled.select("facility_name", "state", F.col("_score").alias("score"), label.alias("performance"))
+    return sort_rows(shown, "score", "facility_name")
 
 
 def change_over_time(df: DataFrame, within: list[str], value: str, previous: str, change: str) -> DataFrame:

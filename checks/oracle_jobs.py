@@ -204,7 +204,7 @@ SELECT facility_id, facility_name, state, hospital_type, hospital_ownership, eme
         "t_latest": on_panel(f"@{latest} SELECT * FROM last_row"),
         "t_warn": on_panel(
             f"""@{fitted}, {latest} SELECT facility_id, facility_name, state, {even('sat', 4)} AS satisfaction_slope,
- {even('risk', 4)} AS risk_slope, CAST(coalesce(sat < -0.03, false) OR coalesce(risk > 0.05, false) AS INTEGER)
+ {even('risk', 4)} AS risk_slope, CAST(coalesce({even('sat', 9)} < -0.03, false) OR coalesce({even('risk', 9)} > 0.05, false) AS INTEGER)
  AS declining_trajectory FROM fitted JOIN last_row USING (facility_id)"""
         ),
         "t_national": on_panel(f"@{national} SELECT * FROM nat"),

@@ -56,6 +56,7 @@ def sources() -> dict[str, str]:
                 f"{c} || ' é' AS {c}" if c == "facility_name" else f"nullif({c}, '') AS {c}" for c in GENERAL_FIELDS
             ) + " FROM h",
         ),
+        "src_clean": over("t", "SELECT facility_id, period, score, points, lower(measure_id) AS measure FROM t"),
         "src_archive": _archive(),
         "src_snapshots": on_panel("SELECT * FROM panel"),
         "src_derived_csv": job["t_warn"],

@@ -14,7 +14,7 @@ from checks.provider_tables import PROVIDER_SQL, SOURCES, provider
 from checks.registry_jobs import feature_table, release_panel, scored_hospitals
 from checks.registry_models import document, leaderboard_baseline
 from wardlens.models.triage import read_metrics
-from wardlens.plans import panel, trends
+from wardlens.plans import ingest, panel, trends
 from wardlens.sources import archives, delimited, schemas, sinks, snapshots
 from wardlens.sources.scratch import materialize, scratch_path
 
@@ -106,6 +106,15 @@ def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.features_of_archives(files)
 
 
+def clean_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long care table parsed once and stored with typed companions, one folder per release."""
+    path = scratch_path(spark, "clean")
+    ingest.write_clean(provider(spark, sf_dir, "timely"), "timely", path)
+    return ingest.read_clean(spark, path).select(
+        "facility_id", "period", "score", F.col("score__double").alias("points"), F.col("measure_id__key").alias("measure")
+    )
+
+
 def snapshot_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder per release written by period, then loaded by folder name and stacked."""
     path = scratch_path(spark, "snapshots")
@@ -156,6 +165,7 @@ def sources() -> dict[str, Query]:
     return {
         "src_csv_positional": positional,
         "src_csv_text": text,
+        "src_clean": clean_tables,
         "src_archive": archive,
         "src_snapshots": snapshot_folders,
         "src_derived_csv": derived_csv,

@@ -31,7 +31,7 @@ def test_decimal_text_is_not_an_int(spark):
 
 def test_rating_has_one_decimal(spark):
     df = column(spark, ["4", "3.44", "not available", "100"])
-    assert got(df, clean.rating("c")) == [4.0, 3.4, None, None]
+    assert got(df, clean.rating(column="c")) == [4.0, 3.4, None, None]
 
 
 def test_text_comparison_ignores_case_and_outer_blanks(spark):

@@ -55,19 +55,32 @@ def to_num(c: Column | str) -> Column:
     return num(c, "double")
 
 
-def rating(c: Column | str = "overall_rating") -> Column:
+def _stored(df: DataFrame | None, column: str, kind: str) -> Column | None:
+    """The typed companion a clean table keeps next to a text column (see plans.ingest)."""
+    name = f"{column}__{kind}"
+    return F.col(name) if df is not None and name in df.columns else None
+
+
+def number(df: DataFrame | None, column: str, kind: str = "double") -> Column:
+    """Typed value of a text column: the stored companion, else a safe cast."""
+    stored = _stored(df, column, kind)
+    return num(column, kind) if stored is None else stored
+
+
+def rating(df: DataFrame | None = None, column: str = "overall_rating") -> Column:
     """Star rating: read as decimal(3,1), carried as double."""
-    return num(c, "decimal(3,1)").cast("double")
+    stored = _stored(df, column, "rating")
+    return num(column, "decimal(3,1)").cast("double") if stored is None else stored
 
 
-def worse(group: str) -> Column:
+def worse(group: str, df: DataFrame | None = None) -> Column:
     """Worse-than-average measure count of one group, as int."""
-    return num(WORSE_COUNTS[group], "int")
+    return number(df, WORSE_COUNTS[group], "int")
 
 
-def better(group: str) -> Column:
+def better(group: str, df: DataFrame | None = None) -> Column:
     """Better-than-average measure count of one group, as int."""
-    return num(BETTER_COUNTS[group], "int")
+    return number(df, BETTER_COUNTS[group], "int")
 
 
 def fold(c: Column | str) -> Column:
@@ -80,6 +93,12 @@ def same_text(c: Column | str, value: str) -> Column:
     return fold(c) == value.strip().lower()
 
 
+def text_is(df: DataFrame, column: str, value: str) -> Column:
+    """``same_text`` that compares the stored key of a clean table, so the filter reaches the scan."""
+    stored = _stored(df, column, "key")
+    return same_text(column, value) if stored is None else stored == value.strip().lower()
+
+
 def is_missing(c: Column | str) -> Column:
     """NULL or one of the missing words, in any letter case."""
     return _col(c).isNull() | fold(c).isin([t.lower() for t in MISSING_TOKENS])
@@ -94,9 +113,9 @@ def row_sum0(cols: list[Column | str]) -> Column:
     return reduce(add, [zero_if_null(c) for c in cols])
 
 
-def composite_risk() -> Column:
+def composite_risk(df: DataFrame | None = None) -> Column:
     """Worse counts of the three groups added up; a missing count adds 0."""
-    return row_sum0([worse(g) for g in WORSE_COUNTS])
+    return row_sum0([worse(g, df) for g in WORSE_COUNTS])
 
 
 def yes_flag(c: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.functions.clean import composite_risk, num, same_text, to_num
+from wardlens.functions.clean import composite_risk, number, text_is
 from wardlens.functions.rounding import half_up
 from wardlens.operators.grouping import mean_by, mean_parts, merged_mean
 from wardlens.operators.ranking import rank_rows, sort_rows, top_n_within
@@ -19,24 +19,24 @@ COMPLETED = "number_of_completed_surveys"
 
 def starred(s: DataFrame) -> DataFrame:
     """Rows with a star rating, as ``_star``."""
-    return s.withColumn("_star", to_num(STAR)).filter(F.col("_star").isNotNull())
+    return s.withColumn("_star", number(s, STAR)).filter(F.col("_star").isNotNull())
 
 
 def answers_for(s: DataFrame, name: str = "SOUTHEAST HEALTH MEDICAL CENTER") -> DataFrame:
-    rows = s.filter(same_text("facility_name", name)).select(
+    rows = s.filter(text_is(s, "facility_name", name)).select(
         "facility_name", "hcahps_question", "hcahps_answer_description", "hcahps_answer_percent"
     )
     return sort_rows(rows, "hcahps_question")
 
 
 def five_star(s: DataFrame, measure: str = "H_STAR_RATING", stars: int = 5) -> DataFrame:
-    rows = s.filter(same_text("hcahps_measure_id", measure) & (F.col(STAR) == str(stars)))
+    rows = s.filter(text_is(s, "hcahps_measure_id", measure) & (F.col(STAR) == str(stars)))
     return sort_rows(rows.select("facility_name", "state", "hcahps_measure_id", STAR), "state", "facility_name")
 
 
 def low_response(s: DataFrame, below: int = 20) -> DataFrame:
     return (
-        s.filter(num(RATE, "int") < below)
+        s.filter(number(s, RATE, "int") < below)
         .select("facility_name", "state", RATE)
         .distinct()
         .orderBy("state", "facility_name", RATE)
@@ -45,7 +45,7 @@ def low_response(s: DataFrame, below: int = 20) -> DataFrame:
 
 def top_completed(s: DataFrame, n: int = 15) -> DataFrame:
     return (
-        s.select("facility_name", "state", num(COMPLETED, "int").alias("_done"))
+        s.select("facility_name", "state", number(s, COMPLETED, "int").alias("_done"))
         .filter(F.col("_done").isNotNull())
         .groupBy("facility_name", "state")
         .agg(F.max("_done").alias("completed_surveys"))
@@ -65,7 +65,7 @@ def avg_star_by(s: DataFrame, h: DataFrame, by: str = "state") -> DataFrame:
 
 
 def avg_answer_by_measure(s: DataFrame) -> DataFrame:
-    answered = s.withColumn("_pct", to_num("hcahps_answer_percent")).filter(F.col("_pct").isNotNull())
+    answered = s.withColumn("_pct", number(s, "hcahps_answer_percent")).filter(F.col("_pct").isNotNull())
     means = mean_by(answered, ["hcahps_measure_id"], F.col("_pct"), "_mean")
     return means.select("hcahps_measure_id", half_up("_mean", 2).alias("avg_answer_percent")).orderBy(
         "avg_answer_percent", "hcahps_measure_id"
@@ -74,7 +74,7 @@ def avg_answer_by_measure(s: DataFrame) -> DataFrame:
 
 def low_response_by_ownership(s: DataFrame, h: DataFrame, below: int = 30) -> DataFrame:
     """Hospitals are made distinct before the join, so it meets one row per hospital."""
-    low = s.filter(num(RATE, "int") < below).select("facility_id").distinct()
+    low = s.filter(number(s, RATE, "int") < below).select("facility_id").distinct()
     owners = h.select("facility_id", "hospital_ownership")
     return (
         low.join(owners, "facility_id")
@@ -134,10 +134,10 @@ def top_star_per_state(s: DataFrame, h: DataFrame) -> DataFrame:
 def v_patient_experience(s: DataFrame, h: DataFrame) -> DataFrame:
     """Mean star, best response rate and survey count per hospital; hospitals without stars stay."""
     per_hospital = s.groupBy("facility_id", "facility_name").agg(
-        F.sum(to_num(STAR)).alias("_sum"),
-        F.count(to_num(STAR)).alias("_n"),
-        F.max(num(RATE, "int")).alias("_rate"),
-        F.max(num(COMPLETED, "int")).alias("_done"),
+        F.sum(number(s, STAR)).alias("_sum"),
+        F.count(number(s, STAR)).alias("_n"),
+        F.max(number(s, RATE, "int")).alias("_rate"),
+        F.max(number(s, COMPLETED, "int")).alias("_done"),
     )
     return (
         per_hospital.join(h.select("facility_id", "state", "hospital_ownership"), "facility_id")
@@ -153,7 +153,7 @@ def v_patient_experience(s: DataFrame, h: DataFrame) -> DataFrame:
 def response_change(s: DataFrame) -> DataFrame:
     """Best response rate per hospital and period, and its change to the period before."""
     rates = (
-        s.select("facility_id", "facility_name", "start_date", "end_date", num(RATE, "int").alias("_rate"))
+        s.select("facility_id", "facility_name", "start_date", "end_date", number(s, RATE, "int").alias("_rate"))
         .filter(F.col("_rate").isNotNull())
         .groupBy("facility_id", "facility_name", "start_date", "end_date")
         .agg(F.max("_rate").alias("response_rate"))
@@ -171,7 +171,7 @@ def scorecard_rows(h: DataFrame, t: DataFrame, s: DataFrame) -> DataFrame:
     """
     stars = mean_by(starred(s), ["facility_id"], F.col("_star"), "_star_mean")
     timely = timely_mean_all(t, "_timely_mean")
-    risk = h.select("facility_id", "facility_name", "state", composite_risk().cast("long").alias("composite_risk_score"))
+    risk = h.select("facility_id", "facility_name", "state", composite_risk(h).cast("long").alias("composite_risk_score"))
     overall = F.col("_star_mean") * 20 + F.col("_timely_mean") - F.col("composite_risk_score") * 10
     return (
         risk.join(timely, "facility_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.functions.clean import num, rating, same_text, worse
+from wardlens.functions.clean import number, rating, text_is, worse
 from wardlens.functions.rounding import half_up
 from wardlens.operators.grouping import (
     avg_rating_by,
@@ -21,7 +21,7 @@ from wardlens.operators.ranking import sort_rows, top_n_within
 
 
 def hospitals_in_state(h: DataFrame, state: str = "CA") -> DataFrame:
-    rows = h.filter(same_text("state", state)).select("facility_name", "city_town", "state", "overall_rating")
+    rows = h.filter(text_is(h, "state", state)).select("facility_name", "city_town", "state", "overall_rating")
     return sort_rows(rows, "facility_name")
 
 
@@ -38,16 +38,16 @@ def with_rating(h: DataFrame, stars: int = 1) -> DataFrame:
 
 def hospitals_in_county(h: DataFrame, county: str = "Los Angeles") -> DataFrame:
     """Type and ownership are both shown under their own names."""
-    rows = h.filter(same_text("county_parish", county)).select(
+    rows = h.filter(text_is(h, "county_parish", county)).select(
         "facility_name", "city_town", "county_parish", "hospital_type", "hospital_ownership"
     )
     return sort_rows(rows, "facility_name")
 
 
 def top_rated(h: DataFrame, state: str = "TX", n: int = 20) -> DataFrame:
-    stars = num("overall_rating", "int")
+    stars = number(h, "overall_rating", "int")
     return (
-        h.filter(same_text("state", state) & stars.isNotNull())
+        h.filter(text_is(h, "state", state) & stars.isNotNull())
         .orderBy(stars.desc(), F.asc("facility_name"), F.asc("facility_id"))
         .limit(n)
         .select("facility_name", "city_town", "overall_rating")
@@ -77,7 +77,7 @@ def low_rated_counties(h: DataFrame, more_than: int = 5, ratings: tuple[str, ...
 
 def emergency_split(h: DataFrame) -> DataFrame:
     def having(answer: str):
-        return F.count_if(F.coalesce(same_text("emergency_services", answer), F.lit(False)))
+        return F.count_if(F.coalesce(text_is(h, "emergency_services", answer), F.lit(False)))
 
     return (
         h.groupBy("state")
@@ -88,7 +88,7 @@ def emergency_split(h: DataFrame) -> DataFrame:
 
 def count_worse_by(h: DataFrame, group: str, by: str, out: str = "hospital_count", more_than: int | None = None) -> DataFrame:
     """Hospitals with at least one worse measure, per ``by``; optionally only large groups."""
-    counts = h.filter(worse(group) > 0).groupBy(by).agg(F.count("*").alias(out))
+    counts = h.filter(worse(group, h) > 0).groupBy(by).agg(F.count("*").alias(out))
     if more_than is not None:
         counts = counts.filter(F.col(out) > more_than)
     return counts.orderBy(F.desc(out), by)
@@ -100,7 +100,7 @@ def rank_states(h: DataFrame) -> DataFrame:
 
 def bottom_n_per(h: DataFrame, by: str = "state", n: int = 1) -> DataFrame:
     """The ``n`` lowest-rated hospitals of every group; ties by name, then id."""
-    stars = h.withColumn("_stars", num("overall_rating", "int")).filter(F.col("_stars").isNotNull())
+    stars = h.withColumn("_stars", number(h, "overall_rating", "int")).filter(F.col("_stars").isNotNull())
     lowest = top_n_within(stars, [by], [F.asc("_stars"), F.asc("facility_name"), F.asc("facility_id")], n)
     return lowest.orderBy(by, "rn").select(by, "facility_name", "city_town", "county_parish", "overall_rating")
 
@@ -121,7 +121,7 @@ def counties_below_national(h: DataFrame) -> DataFrame:
 def v_state_summary(h: DataFrame) -> DataFrame:
     """Count and mean rating of the rated hospitals per state; register as a view for reuse."""
     return (
-        h.select("state", rating().alias("_rating"))
+        h.select("state", rating(h).alias("_rating"))
         .filter(F.col("_rating").isNotNull())
         .groupBy("state")
         .agg(F.count("*").alias("total_hospitals"), half_up(F.avg("_rating"), 2).alias("average_rating"))

@@ -44,7 +44,7 @@ def merged_mean() -> Column:
 
 def rated(h: DataFrame) -> DataFrame:
     """Hospitals with a usable rating, as ``_rating``."""
-    return h.withColumn("_rating", rating()).filter(F.col("_rating").isNotNull())
+    return h.withColumn("_rating", rating(h)).filter(F.col("_rating").isNotNull())
 
 
 def avg_rating_by(h: DataFrame, by: str, digits: int | None = 2, out: str = "average_rating") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.functions.clean import same_text, worse
+from wardlens.functions.clean import text_is, worse
 from wardlens.functions.rounding import half_up
 from wardlens.operators.grouping import mean_by, rated
 from wardlens.operators.ranking import sort_rows, top_n_within
@@ -24,7 +24,7 @@ def type_ownership_list(h: DataFrame) -> DataFrame:
 
 
 def _listed(h: DataFrame, column: str, value: str) -> DataFrame:
-    rows = h.filter(same_text(column, value)).select("facility_name", "city_town", "state", column)
+    rows = h.filter(text_is(h, column, value)).select("facility_name", "city_town", "state", column)
     return sort_rows(rows, "state", "facility_name")
 
 
@@ -48,7 +48,7 @@ def avg_rating_having(h: DataFrame, by: str = "hospital_ownership", above: float
 
 def birthing_by_ownership(h: DataFrame) -> DataFrame:
     return (
-        h.filter(same_text("birthing_friendly", "Y"))
+        h.filter(text_is(h, "birthing_friendly", "Y"))
         .groupBy("hospital_ownership")
         .agg(F.count("*").alias("birthing_friendly_hospitals"))
         .orderBy(F.desc("birthing_friendly_hospitals"), "hospital_ownership")
@@ -66,7 +66,7 @@ def profit_class(c: str = "hospital_ownership") -> Column:
 
 def profit_class_mortality(h: DataFrame) -> DataFrame:
     classed = h.withColumn("ownership_category", profit_class())
-    means = mean_by(classed, ["ownership_category"], worse("mort").cast("double"), "_mean")
+    means = mean_by(classed, ["ownership_category"], worse("mort", h).cast("double"), "_mean")
     return means.select("ownership_category", half_up("_mean", 2).alias("avg_mortality_measures")).orderBy(
         "ownership_category"
     )
@@ -74,7 +74,7 @@ def profit_class_mortality(h: DataFrame) -> DataFrame:
 
 def pct_zero_safety(h: DataFrame) -> DataFrame:
     """Share with no worse safety measure among all hospitals; missing is not zero."""
-    zero = F.count_if(F.coalesce(worse("safety") == 0, F.lit(False)))
+    zero = F.count_if(F.coalesce(worse("safety", h) == 0, F.lit(False)))
     return (
         h.groupBy("hospital_ownership")
         .agg(F.count("*").alias("total_hospitals"), zero.alias("zero_safety_hospitals"))
@@ -88,7 +88,7 @@ def pct_zero_safety(h: DataFrame) -> DataFrame:
 
 def v_type_ownership(h: DataFrame) -> DataFrame:
     """Rated hospitals per type and owner: count, mean rating, share with emergency services."""
-    emergency = F.count_if(F.coalesce(same_text("emergency_services", "Yes"), F.lit(False)))
+    emergency = F.count_if(F.coalesce(text_is(h, "emergency_services", "Yes"), F.lit(False)))
     return (
         rated(h)
         .groupBy("hospital_type", "hospital_ownership")

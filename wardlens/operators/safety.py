@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.functions.clean import BETTER_COUNTS, WORSE_COUNTS, better, composite_risk, num, worse
+from wardlens.functions.clean import BETTER_COUNTS, WORSE_COUNTS, better, composite_risk, num, number, worse
 from wardlens.functions.rounding import half_up
 from wardlens.operators.grouping import mean_by
 from wardlens.operators.ranking import ntile_rows, rank_by_value, sort_rows, top_n_within
@@ -24,34 +24,34 @@ def _counted(h: DataFrame, keep: Column, column: str) -> DataFrame:
 
 def worse_gt(h: DataFrame, group: str = "readm", more_than: int = 0) -> DataFrame:
     """Largest counts first, in number order."""
-    rows = _counted(h, worse(group) > more_than, WORSE_COUNTS[group])
+    rows = _counted(h, worse(group, h) > more_than, WORSE_COUNTS[group])
     return sort_rows(rows, num(WORSE_COUNTS[group], "int").desc(), F.asc("facility_name"))
 
 
 def worse_eq(h: DataFrame, group: str = "mort", value: int = 0) -> DataFrame:
-    return sort_rows(_counted(h, worse(group) == value, WORSE_COUNTS[group]), "state", "facility_name")
+    return sort_rows(_counted(h, worse(group, h) == value, WORSE_COUNTS[group]), "state", "facility_name")
 
 
 def better_gt(h: DataFrame, group: str = "safety", more_than: int = 2) -> DataFrame:
     """Largest counts first, in number order."""
-    rows = _counted(h, better(group) > more_than, BETTER_COUNTS[group])
+    rows = _counted(h, better(group, h) > more_than, BETTER_COUNTS[group])
     return sort_rows(rows, num(BETTER_COUNTS[group], "int").desc(), F.asc("facility_name"))
 
 
 def all_zero(h: DataFrame) -> DataFrame:
     """No worse measure in any group; a missing count is not zero."""
-    zero = h.filter((worse("mort") == 0) & (worse("safety") == 0) & (worse("readm") == 0))
+    zero = h.filter((worse("mort", h) == 0) & (worse("safety", h) == 0) & (worse("readm", h) == 0))
     return sort_rows(zero.select("facility_name", "city_town", "state", *_ALL_WORSE), "facility_name")
 
 
 def avg_worse_by(h: DataFrame, group: str, by: str, out: str) -> DataFrame:
-    means = mean_by(h, [by], worse(group).cast("double"), "_mean")
+    means = mean_by(h, [by], worse(group, h).cast("double"), "_mean")
     return means.select(by, half_up("_mean", 2).alias(out)).orderBy(F.desc_nulls_last(out), by)
 
 
 def avg_worse_by_rating(h: DataFrame, group: str = "safety") -> DataFrame:
-    tiers = h.filter(num("overall_rating", "int").isNotNull())
-    means = mean_by(tiers, ["overall_rating"], worse(group).cast("double"), "_mean")
+    tiers = h.filter(number(h, "overall_rating", "int").isNotNull())
+    means = mean_by(tiers, ["overall_rating"], worse(group, h).cast("double"), "_mean")
     return means.select("overall_rating", half_up("_mean", 2).alias("avg_safety_measures_worse")).orderBy(
         num("overall_rating", "int")
     )
@@ -59,7 +59,7 @@ def avg_worse_by_rating(h: DataFrame, group: str = "safety") -> DataFrame:
 
 def rank_by_composite(h: DataFrame) -> DataFrame:
     """National rank by composite risk. The score is a small whole number, so ranks come from value counts."""
-    scored = h.select("facility_name", "state", *_ALL_WORSE, composite_risk().cast("long").alias("total_risk_score"))
+    scored = h.select("facility_name", "state", *_ALL_WORSE, composite_risk(h).cast("long").alias("total_risk_score"))
     ranked = rank_by_value(scored, "total_risk_score", "desc", "national_rank")
     shown = ranked.select("facility_name", "state", *_ALL_WORSE, "total_risk_score", "national_rank")
     return sort_rows(shown, "national_rank", "facility_name")
@@ -70,7 +70,7 @@ def high_risk_by_state(h: DataFrame, tiles: int = 10, text_order: bool = False)
 
     ``text_order`` orders by the three counts written one after another, as text.
     """
-    key = F.concat(*_ALL_WORSE) if text_order else composite_risk()
+    key = F.concat(*_ALL_WORSE) if text_order else composite_risk(h)
     scored = h.select("facility_id", "state", key.alias("_risk"))
     tiled = ntile_rows(scored, tiles, [("_risk", "desc")], ["facility_id"], "risk_group")
     return (
@@ -84,15 +84,15 @@ def high_risk_by_state(h: DataFrame, tiles: int = 10, text_order: bool = False)
 def v_risk_summary(h: DataFrame) -> DataFrame:
     """Composite risk per hospital, next to the counts it is made of."""
     return h.select(
-        "facility_id", "facility_name", "state", *_ALL_WORSE, composite_risk().cast("long").alias("composite_risk_score")
+        "facility_id", "facility_name", "state", *_ALL_WORSE, composite_risk(h).cast("long").alias("composite_risk_score")
     )
 
 
 def worst_per_state(h: DataFrame) -> DataFrame:
     """Highest composite risk per state among hospitals with any count; ties by name, then id."""
-    known = worse("mort").isNotNull() | worse("safety").isNotNull() | worse("readm").isNotNull()
+    known = worse("mort", h).isNotNull() | worse("safety", h).isNotNull() | worse("readm", h).isNotNull()
     scored = h.filter(known).select(
-        "facility_id", "facility_name", "state", composite_risk().cast("long").alias("risk_score")
+        "facility_id", "facility_name", "state", composite_risk(h).cast("long").alias("risk_score")
     )
     worst = top_n_within(scored, ["state"], [F.desc("risk_score"), F.asc("facility_name"), F.asc("facility_id")], 1)
     return worst.select("state", "facility_name", "risk_score").orderBy("state")
@@ -100,7 +100,7 @@ def worst_per_state(h: DataFrame) -> DataFrame:
 
 def above_national(h: DataFrame, group: str = "safety", margin: float = 0.0) -> DataFrame:
     """Hospitals whose worse count is above the national mean by more than ``margin``."""
-    count = worse(group)
+    count = worse(group, h)
     national = h.agg(F.avg(count.cast("double"))).scalar()
     rows = h.filter(count > national + F.lit(margin)).select("facility_name", "state", WORSE_COUNTS[group])
     return sort_rows(rows, num(WORSE_COUNTS[group], "int").desc(), F.asc("facility_name"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlens.functions.clean import NOT_AVAILABLE, fold, num, same_text, to_num
+from wardlens.functions.clean import NOT_AVAILABLE, fold, num, number, text_is
 from wardlens.functions.periods import parse_date
 from wardlens.functions.rounding import half_up
 from wardlens.operators.grouping import mean_by, mean_parts, merged_mean
@@ -15,29 +15,29 @@ from wardlens.sources.scratch import materialize
 
 def scored(t: DataFrame) -> DataFrame:
     """Rows with a numeric score, as ``_score``. Minute-based measures stay in."""
-    return t.withColumn("_score", to_num("score")).filter(F.col("_score").isNotNull())
+    return t.withColumn("_score", number(t, "score")).filter(F.col("_score").isNotNull())
 
 
 def measures_for(t: DataFrame, name: str = "SOUTHEAST HEALTH MEDICAL CENTER") -> DataFrame:
-    rows = t.filter(same_text("facility_name", name)).select("facility_name", "measure_name", "score")
+    rows = t.filter(text_is(t, "facility_name", name)).select("facility_name", "measure_name", "score")
     return sort_rows(rows, "measure_name")
 
 
 def condition_records(t: DataFrame, condition: str = "Emergency Department") -> DataFrame:
-    rows = scored(t.filter(same_text("condition_name", condition)))
+    rows = scored(t.filter(text_is(t, "condition_name", condition)))
     ordered = sort_rows(rows, F.desc("_score"), F.asc("facility_name"), F.asc("measure_name"))
     return ordered.select("facility_name", "state", "condition_name", "measure_name", "score")
 
 
 def perfect_scores(t: DataFrame, condition: str = "Healthcare Personnel Vaccination", score: float = 100.0) -> DataFrame:
-    rows = t.filter(same_text("condition_name", condition) & (to_num("score") == score))
+    rows = t.filter(text_is(t, "condition_name", condition) & (number(t, "score") == score))
     return sort_rows(rows.select("facility_name", "state", "measure_name", "score"), "facility_name")
 
 
 def missing_scores(t: DataFrame, measure: str = "OP_23") -> DataFrame:
     """Score absent or written as the missing word; an empty text is neither."""
-    absent = F.col("score").isNull() | same_text("score", NOT_AVAILABLE)
-    rows = t.filter(same_text("measure_id", measure) & absent)
+    absent = F.col("score").isNull() | text_is(t, "score", NOT_AVAILABLE)
+    rows = t.filter(text_is(t, "measure_id", measure) & absent)
     return sort_rows(rows.select("facility_name", "state", "measure_name", "score"), "state", "facility_name")
 
 
@@ -63,7 +63,7 @@ def _state_means(parts: DataFrame, h: DataFrame) -> DataFrame:
 
 
 def avg_score_by_state(t: DataFrame, h: DataFrame, condition: str = "Emergency Department") -> DataFrame:
-    parts = mean_parts(scored(t.filter(same_text("condition_name", condition))), ["facility_id"], "_score")
+    parts = mean_parts(scored(t.filter(text_is(t, "condition_name", condition))), ["facility_id"], "_score")
     return (
         _state_means(parts, h)
         .select("state", half_up("_mean", 2).alias("average_score"))
@@ -77,7 +77,7 @@ def states_below_national(t: DataFrame, h: DataFrame, measure: str = "IMM_3") ->
     The national mean is taken before the join, from the same per-hospital sums; they are
     written once, so the long table is read once.
     """
-    parts = mean_parts(scored(t.filter(same_text("measure_id", measure))), ["facility_id"], "_score")
+    parts = mean_parts(scored(t.filter(text_is(t, "measure_id", measure))), ["facility_id"], "_score")
     parts = materialize(parts, "parts")
     national = parts.agg(merged_mean()).scalar()
     return (
@@ -90,7 +90,7 @@ def states_below_national(t: DataFrame, h: DataFrame, measure: str = "IMM_3") ->
 
 def rank_in_state(t: DataFrame, h: DataFrame, measure: str = "IMM_3") -> DataFrame:
     """Row number within the state by score, best first; ties by name, then id."""
-    rows = scored(t.filter(same_text("measure_id", measure))).select("facility_id", "facility_name", "measure_id", "_score")
+    rows = scored(t.filter(text_is(t, "measure_id", measure))).select("facility_id", "facility_name", "measure_id", "_score")
     joined = rows.join(h.select("facility_id", "state"), "facility_id")
     ranked = number_rows(joined, [("_score", "desc")], ["facility_name", "facility_id"], ["state"], "state_rank")
     return ranked.select(
@@ -110,7 +110,7 @@ def v_timely_summary(t: DataFrame, h: DataFrame) -> DataFrame:
 
 def flag_bottom(t: DataFrame, measure: str = "IMM_3", tiles: int = 10) -> DataFrame:
     """Lowest tile nationally on a measure marked; ties by id."""
-    rows = scored(t.filter(same_text("measure_id", measure))).select("facility_id", "facility_name", "state", "_score")
+    rows = scored(t.filter(text_is(t, "measure_id", measure))).select("facility_id", "facility_name", "state", "_score")
     tiled = ntile_rows(rows, tiles, [("_score", "asc")], ["facility_id"], "risk_group")
     label = F.when(F.col("risk_group") == 1, f"Bottom {100 // tiles}%").otherwise("Other")
     shown = tiled.select("facility_name", "state", F.col("_score").alias("score"), label.alias("performance"))
@@ -142,7 +142,7 @@ def score_change(t: DataFrame) -> DataFrame:
 
 def timely_by_rating(t: DataFrame, h: DataFrame) -> DataFrame:
     parts = mean_parts(scored(t), ["facility_id"], "_score")
-    tiers = h.select("facility_id", "overall_rating").filter(num("overall_rating", "int").isNotNull())
+    tiers = h.filter(number(h, "overall_rating", "int").isNotNull()).select("facility_id", "overall_rating")
     return (
         parts.join(tiers, "facility_id")
         .groupBy("overall_rating")

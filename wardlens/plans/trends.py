@@ -61,10 +61,12 @@ def latest_attrs(panel: DataFrame) -> DataFrame:
 def early_warning(panel: DataFrame, satisfaction: float = SATISFACTION_DECLINE, risk: float = RISK_RISE) -> DataFrame:
     """Hospitals with their slopes; flagged when satisfaction falls or risk rises fast enough.
 
-    The limits apply to the unrounded slopes. Hospitals without a slope come last.
+    The limits apply to the slopes with nine decimals: unrounded in effect, but a slope that
+    equals a limit does not pass it by the last bit of a double. Hospitals without a slope
+    come last.
     """
-    falling = F.coalesce(F.col("_sat") < satisfaction, F.lit(False))
-    rising = F.coalesce(F.col("_risk") > risk, F.lit(False))
+    falling = F.coalesce(half_even("_sat", 9) < satisfaction, F.lit(False))
+    rising = F.coalesce(half_even("_risk", 9) > risk, F.lit(False))
     return (
         _trajectories(panel)
         .select(

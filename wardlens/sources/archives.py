@@ -22,6 +22,7 @@ from wardlens.functions.periods import PERIOD_PATTERN
 from wardlens.plans.features import PER_RELEASE, assemble, load_general, load_hcahps, load_timely
 from wardlens.sources.schemas import RELEASE_FIELDS, RELEASE_FILES
 from wardlens.sources.scratch import materialize
+from wardlens.sources.sinks import write_table
 
 ARCHIVE_GLOB = "hospitals_annual_*.zip"
 CHUNK_ROWS = 20_000
@@ -122,3 +123,11 @@ def features_of_archives(files: DataFrame) -> DataFrame:
         load_timely(release_table(rows, "timely"), PER_RELEASE),
         PER_RELEASE,
     )
+
+
+def build_snapshots(spark: SparkSession, folder: str, out: str) -> None:
+    """Feature rows of every release in the archives of ``folder``, stored under ``period=`` folders."""
+    files = archive_files(spark, folder)
+    if files.select("path").isEmpty():
+        raise FileNotFoundError(f"no {ARCHIVE_GLOB} in {folder}")
+    write_table(features_of_archives(files), out, ["period"])

@@ -54,6 +54,15 @@ def _one_release(spark: SparkSession, period: str, files: dict[str, str]) -> Dat
     return frame.withColumn("period", F.lit(period))
 
 
+def load_release(spark: SparkSession, folder: str) -> DataFrame:
+    """Feature table of the one release in ``folder``, without a label."""
+    folders = release_folders(spark, folder)
+    if len(folders) != 1:
+        raise FileNotFoundError(f"{folder} holds {len(folders)} releases, not one")
+    ((period, files),) = folders.items()
+    return _one_release(spark, period, files).drop("period")
+
+
 def load_snapshots(spark: SparkSession, root: str) -> list[DataFrame]:
     """One feature frame per release folder, in label order, tagged with its label."""
     folders = release_folders(spark, root)

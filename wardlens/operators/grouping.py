@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from wardlens.functions.clean import fold, rating
 from wardlens.functions.rounding import half_up
+from wardlens.operators.ranking import BROADCAST_ROWS, rank_rows
+from wardlens.sources.scratch import materialize
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
@@ -56,10 +58,14 @@ def avg_rating_by(h: DataFrame, by: str, digits: int | None = 2, out: str = "ave
 def rank_groups(h: DataFrame, by: str, out: str) -> DataFrame:
     """Groups ranked by their unrounded mean rating.
 
-    The window sees one row per level of a category column (states, ownership kinds).
+    The group means are written once and counted: the levels of a category column (states,
+    ownership kinds) take one small window, a column with very many levels is range-placed.
     """
-    means = mean_by(rated(h), [by], F.col("_rating"), "_mean")
-    ranked = means.withColumn(out, F.rank().over(Window.orderBy(F.desc_nulls_last("_mean"))).cast("long"))
+    means = materialize(mean_by(rated(h), [by], F.col("_rating"), "_mean"), "means")
+    if means.count() <= BROADCAST_ROWS:
+        ranked = means.withColumn(out, F.rank().over(Window.orderBy(F.desc_nulls_last("_mean"))).cast("long"))
+    else:
+        ranked = rank_rows(means, [("_mean", "desc")], [by], out)
     return ranked.select(by, half_up("_mean", 2).alias("average_rating"), out).orderBy(out, by)
 
 

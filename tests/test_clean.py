@@ -93,3 +93,10 @@ def test_period_index_follows_text_order(spark):
 def test_row_sum_ignores_null(spark):
     df = spark.createDataFrame([(1.0, None), (None, None)], "a double, b double")
     assert [r[0] for r in df.select(clean.row_sum0(["a", F.col("b")])).collect()] == [1.0, 0.0]
+
+
+def test_int_and_decimal_casts_need_no_guard(spark):
+    df = column(spark, [" 7\t", "\n8 ", "5d", "5f", "NaN", "Infinity", "1e2", "0x1", "", "1_0"])
+    assert got(df, clean.num("c", "int")) == [7, 8] + [None] * 8
+    ratings = got(df, clean.rating(column="c"))
+    assert ratings[:6] == [7.0, 8.0, None, None, None, None] and ratings[7:] == [None] * 3

@@ -16,7 +16,8 @@ MISSING_TOKENS = ("Not Available", "Not Applicable", "", "N/A", "NA", "*")
 NOT_AVAILABLE = "Not Available"
 
 # Characters a plain decimal or scientific number can hold. Anything else
-# ("NaN", "Infinity", "5d", hex) would still pass a double cast on the JVM.
+# ("NaN", "Infinity", "5d", hex) would still pass a double cast on the JVM; the int
+# and decimal casts take none of these and need no guard.
 NUMBER_CHARS = "0123456789+-.eE"
 BLANKS = " \t\r\n"
 
@@ -46,6 +47,8 @@ def num(c: Column | str, dtype: str = "double") -> Column:
 
     Decimal text in an ``int`` cast is NULL.
     """
+    if dtype not in ("double", "float"):
+        return _col(c).try_cast(dtype)
     text = strip(c)
     return F.when(F.translate(text, NUMBER_CHARS, "") == "", text.try_cast(dtype))
 

@@ -28,12 +28,15 @@ def _sort_key(order: Order) -> Column:
     return F.col(name).desc_nulls_last() if way == "desc" else F.col(name).asc_nulls_first()
 
 
-def join_by_size(big: DataFrame, small: DataFrame, on: Sequence[str], limit: int = BROADCAST_ROWS) -> DataFrame:
+def join_by_size(
+    big: DataFrame, small: DataFrame, on: Sequence[str], limit: int = BROADCAST_ROWS, at_most: int | None = None
+) -> DataFrame:
     """Inner null-safe join; ``small`` is broadcast only when counted to be small.
 
     Above ``limit`` rows it is a shuffle join, whose hot keys adaptive execution splits.
+    ``at_most`` is a number of rows ``small`` is known not to exceed, which may save the count.
     """
-    fits = small.limit(limit + 1).count() <= limit
+    fits = (at_most is not None and at_most <= limit) or small.limit(limit + 1).count() <= limit
     renamed = small.select(
         *[F.col(c).alias(f"_j_{c}") for c in on], *[c for c in small.columns if c not in on]
     )
@@ -52,7 +55,8 @@ def sort_rows(df: DataFrame, *keys: Column | str) -> DataFrame:
 
 
 def place_rows(df: DataFrame, keys: Sequence[Column]) -> tuple[DataFrame, int]:
-    """Rows with their 1-based global position ``_pos`` in the order ``keys``, and their number.
+    """Rows with their 1-based global position ``_pos`` in the order ``keys``, and their number
+    (from the footers of the written table).
 
     Rows with equal keys are in no certain order among themselves, and may lie in several partitions.
     """
@@ -93,12 +97,12 @@ def number_rows(
 ) -> DataFrame:
     """``row_number() over (partition by within order by by, tie)``."""
     order = [*[(c, "asc") for c in within], *by, *[(c, "asc") for c in tie]]
-    placed, _ = place_rows(df, [_sort_key(o) for o in order])
+    placed, total = place_rows(df, [_sort_key(o) for o in order])
     if not within:
         return placed.withColumnRenamed("_pos", out)
     starts = placed.groupBy(*within).agg(F.min("_pos").alias("_start"))
     return (
-        join_by_size(placed, starts, list(within))
+        join_by_size(placed, starts, list(within), at_most=total)
         .withColumn(out, F.col("_pos") - F.col("_start") + 1)
         .drop("_pos", "_start")
     )
@@ -109,10 +113,10 @@ def rank_rows(df: DataFrame, by: Sequence[Order], tie: Sequence[str], out: str =
 
     ``tie`` only spreads equal rows over tasks; it does not change the rank.
     """
-    placed, _ = place_rows(df, [_sort_key(o) for o in [*by, *[(c, "asc") for c in tie]]])
+    placed, total = place_rows(df, [_sort_key(o) for o in [*by, *[(c, "asc") for c in tie]]])
     keys = [c for c, _ in by]
     firsts = placed.groupBy(*keys).agg(F.min("_pos").alias(out))
-    return join_by_size(placed, firsts, keys).drop("_pos")
+    return join_by_size(placed, firsts, keys, at_most=total).drop("_pos")
 
 
 def running_total(
@@ -126,7 +130,7 @@ def running_total(
     """
     keys = [_sort_key(o) for o in by]
     df = materialize(df, "totals")
-    if df.limit(limit + 1).count() <= limit:
+    if df.count() <= limit:
         before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import statistics
 from collections.abc import Iterable
+from functools import partial
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -47,8 +48,11 @@ def fold_scores(
         fit_rows, held = ready.filter(F.col("fold") != fold), ready.filter(F.col("fold") == fold)
         return [_evaluator(task).evaluate(candidates[name].fit(fit_rows).transform(held)) for name in wanted]
 
+    # Wrapped once per fold: each wrapper carries its own copy of the thread's job properties.
+    threaded = inheritable_thread_target(features.sparkSession)
+    tasks = [threaded(partial(one_fold, fold)) for fold in range(k)]
     with ThreadPool(max(1, min(parallelism, k))) as pool:
-        per_fold = pool.map(inheritable_thread_target(features.sparkSession)(one_fold), range(k))
+        per_fold = pool.map(lambda task: task(), tasks)
     return {name: [scores[i] for scores in per_fold] for i, name in enumerate(wanted)}
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlens.llm import token_counts
+from wardlens.llm import outliers, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), path)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and robust outliers of every document."""
+    return outliers.judge(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries of this package by name."""
-    return {"op2_token_counts": op2_token_counts}
+    return {
+        "op2_token_counts": op2_token_counts,
+        "op10_quality_rules": op10_quality_rules,
+    }

@@ -108,17 +108,31 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def grams(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of ``size`` consecutive items (runs across rows included)."""
-    n = len(hashes) - size + 1
-    if n <= 0:
+    """Hash of each run of ``size`` consecutive items (runs across rows included), by doubling."""
+    if len(hashes) < size:
         return np.zeros(0, np.uint64)
-    out = hashes[:n].copy()
-    for j in range(1, size):
-        out *= _GRAM
-        out += hashes[j : j + n]
+    out, have, power, power_have = None, 0, hashes, 1
+    while size > have:
+        if (size - have) & power_have:  # runs of the lowest missing power of two go to the right
+            if out is None:
+                out, have = power, power_have
+            else:
+                n = len(hashes) - have - power_have + 1
+                out = out[:n] * _power(power_have) + power[have : have + n]
+                have += power_have
+        if size > have:
+            n = len(hashes) - 2 * power_have + 1
+            if n <= 0:
+                break
+            power = power[:n] * _power(power_have) + power[power_have : power_have + n]
+            power_have *= 2
     return mix(out)
 
 
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(int(_GRAM), n, 1 << 64))
+
+
 def minima(values: np.ndarray, width: int) -> np.ndarray:
     """Smallest of each ``width`` consecutive values, by doubling."""
     out, have = values, 1

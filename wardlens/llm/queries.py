@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlens.llm import outliers, token_counts
+from wardlens.llm import outliers, phrase_automata, suffix_buckets, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +27,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op4_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without passages of 20 words that start earlier."""
+    return phrase_automata.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without strings of 200 bytes that start anywhere else."""
+    return suffix_buckets.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries of this package by name."""
     return {
         "op2_token_counts": op2_token_counts,
+        "op4_phrase_automata": op4_phrase_automata,
+        "op6_suffix_buckets": op6_suffix_buckets,
         "op10_quality_rules": op10_quality_rules,
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlens.llm import outliers, phrase_automata, suffix_buckets, token_counts
+from wardlens.llm import jaccard_orders, outliers, phrase_automata, suffix_buckets, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +37,17 @@ def op6_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_buckets.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of near duplicates of every document."""
+    return jaccard_orders.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries of this package by name."""
     return {
         "op2_token_counts": op2_token_counts,
         "op4_phrase_automata": op4_phrase_automata,
         "op6_suffix_buckets": op6_suffix_buckets,
+        "op7_jaccard_orders": op7_jaccard_orders,
         "op10_quality_rules": op10_quality_rules,
     }

@@ -25,6 +25,7 @@ from wardlens.llm.tables import materialize
 SPACE = r"\x20\x09-\x0D"
 SHARE = 0.75
 MIN_GROUP = 60
+BROADCAST_GROUPS = 10_000
 BINS_PER_OCTAVE = 16
 UNIT = 4096
 # Smallest spread of each statistic that counts as ordinary, added to the diagonal.
@@ -113,9 +114,10 @@ def vector() -> dict[str, Column]:
     return {k: F.when(~F.col("base_failed"), F.round(v * UNIT).cast("long")) for k, v in values.items()}
 
 
-def _on_group(rows: DataFrame, side: DataFrame) -> DataFrame:
-    """Rows with the estimate of their group; Spark broadcasts it only below its size threshold."""
-    return rows.join(side, "group", "left")
+def _on_group(rows: DataFrame, side: DataFrame, groups: int) -> DataFrame:
+    """Rows with the estimate of their group: one row of 28 numbers per group, sent to all tasks
+    while the groups were counted to be few, else joined by key, where Spark splits hot groups."""
+    return rows.join(F.broadcast(side) if groups <= BROADCAST_GROUPS else side, "group", "left")
 
 
 def _grouped(rows: DataFrame, lang: str, source: str, size: int) -> DataFrame:
@@ -167,9 +169,9 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", total).drop(*drop)
 
 
-def _step(rows: DataFrame, estimate: DataFrame, factor: float) -> DataFrame:
+def _step(rows: DataFrame, estimate: DataFrame, factor: float, groups: int) -> DataFrame:
     """One concentration step: estimate from the rows nearest to the last estimate."""
-    near = _distance(_on_group(rows, estimate))
+    near = _distance(_on_group(rows, estimate, groups))
     bin_of = F.floor(F.log2(F.col("d2") + 1e-6) * BINS_PER_OCTAVE)
     dims = range(len(DIMS))
     exact = lambda c: F.sum(c.cast("decimal(18,0)")).cast("decimal(38,0)")
@@ -232,10 +234,11 @@ def judge(
     factor = SHARE / chi2_cdf(chi2_quantile(1 - SHARE, dims), dims + 2)
     estimate = materialize(_start(rows), "quality-start")
     narrow = rows.select("group", *DIMS)
+    groups = estimate.count()
     for _ in range(steps):
-        estimate = materialize(_step(narrow, estimate, factor), "quality-step")
+        estimate = materialize(_step(narrow, estimate, factor, groups), "quality-step")
     sizes = rows.groupBy("group").agg(F.count("*").alias("group_rows"))
-    judged = _distance(_on_group(rows, estimate.join(sizes, "group")))
+    judged = _distance(_on_group(rows, estimate.join(sizes, "group"), groups))
     far = F.coalesce((F.col("d2") > chi2_quantile(p_above, dims)) & (F.col("group_rows") >= min_group), F.lit(False))
     columns = ["doc_id", "text_hash", *COUNTS, "base_failed"]
     judged = judged.select(*columns, (~far).alias("kept"), F.col("d2").alias("distance"))

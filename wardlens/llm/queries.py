@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlens.llm import jaccard_orders, outliers, phrase_automata, suffix_buckets, token_counts
+from wardlens.llm import jaccard_orders, outliers, phrase_automata, secret_battery, suffix_buckets, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op7_jaccard_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_orders.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_battery.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries of this package by name."""
     return {
@@ -49,5 +54,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_phrase_automata": op4_phrase_automata,
         "op6_suffix_buckets": op6_suffix_buckets,
         "op7_jaccard_orders": op7_jaccard_orders,
+        "op9_secret_battery": op9_secret_battery,
         "op10_quality_rules": op10_quality_rules,
     }

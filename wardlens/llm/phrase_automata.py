@@ -62,20 +62,19 @@ def locate(shard: anchors.Shard, window: int) -> tuple[np.ndarray, np.ndarray, n
     if not len(patterns):
         return none, none, none
     letters = _letters(shard.data, starts, ends, hashes)
-    text = letters.tobytes().decode("utf-32-le", "surrogatepass")
+    # one text for the shard, with a break between segments; the iterator copies its text per call
+    spread = np.full(len(letters) + len(shard.ids), _BREAK, np.uint32)
+    spread[np.arange(len(letters)) + rows] = letters
+    text = spread.tobytes().decode("utf-32-le", "surrogatepass")
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for number, word in enumerate(at[patterns].tolist()):
+    for number, word in enumerate((at + segment)[patterns].tolist()):
         automaton.add_word(text[word : word + window], number)
     automaton.make_automaton()
     later = np.zeros(len(segment), bool)
     first_window = np.cumsum(n_windows) - n_windows
-    word_of, pattern_of = [], []
-    for k in range(len(shard.ids)):
-        a, b = int(first_word[k]), int(first_word[k + 1])
-        for end, number in automaton.iter(text, a, b):
-            word_of.append(end - window + 1)
-            pattern_of.append(number)
-    word_of, pattern_of = np.asarray(word_of, np.int64), np.asarray(pattern_of, np.int64)
+    found_at = np.fromiter((x for pair in automaton.iter(text) for x in pair), np.int64).reshape(-1, 2)
+    back = np.cumsum(spread != _BREAK) - 1
+    word_of, pattern_of = back[found_at[:, 0] - window + 1], found_at[:, 1]
     in_segment = rows[word_of]
     place = word_of - first_word[in_segment]
     found = first_window[in_segment] + place

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlens.llm import jaccard_orders, outliers, phrase_automata, secret_battery, suffix_buckets, token_counts
+from wardlens.llm import jaccard_orders, outliers, phrase_automata, secret_battery, suffix_buckets, token_counts, warc_chunks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op4_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_automata.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to WARC archives and read back."""
+    return warc_chunks.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without strings of 200 bytes that start anywhere else."""
     return suffix_buckets.remove_repeats(table(spark, sf_dir, "documents"))
@@ -52,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
         "op4_phrase_automata": op4_phrase_automata,
+        "op5_warc_chunks": op5_warc_chunks,
         "op6_suffix_buckets": op6_suffix_buckets,
         "op7_jaccard_orders": op7_jaccard_orders,
         "op9_secret_battery": op9_secret_battery,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlens.llm import jaccard_orders, outliers, phrase_automata, secret_battery, suffix_buckets, token_counts, warc_chunks
+from wardlens.llm import jaccard_orders, outliers, phrase_automata, pii_feistel, secret_battery, suffix_buckets, token_counts, warc_chunks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,12 @@ def op7_jaccard_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_orders.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms for its personal data; the key is the session's, if it names one."""
+    key = spark.conf.get("spark.wardlens.pseudonymKey", "registered query")
+    return pii_feistel.replace_personal_data(table(spark, sf_dir, "documents"), key.encode())
+
+
 def op9_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secret_battery.scan(table(spark, sf_dir, "documents"))
@@ -60,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_warc_chunks": op5_warc_chunks,
         "op6_suffix_buckets": op6_suffix_buckets,
         "op7_jaccard_orders": op7_jaccard_orders,
+        "op8_pii_feistel": op8_pii_feistel,
         "op9_secret_battery": op9_secret_battery,
         "op10_quality_rules": op10_quality_rules,
     }

@@ -13,8 +13,10 @@ and of any s tokens of the set at least s - d are shared. Candidates pass three
 * Two more hash orders: the prefixes of a pair must meet under both, before its sets are
   intersected exactly.
 
-Equal sets are one class, represented by its smallest document. Lists are worked off from few
-to many leaders: a document's level is drawn by hash (one in 16 per level); in the round of
+Equal sets are one class, represented by its smallest document. Of each list, the set with the
+fewest tokens of its own meets all others first, so a group around one original becomes one
+component with as many pairs as members. Then lists are worked off from few to many leaders: a
+document's level is drawn by hash (one in 16 per level); in the round of
 level k, leaders of level k meet the list members of at most that level in other components.
 Every pair of a list belongs to one round, so no link between components is lost, but the
 members of a large group are linked through its first leaders and their other pairs are never
@@ -223,7 +225,8 @@ def _prefixes(percent: int):
         rank = np.arange(len(ids)) - np.repeat(first, sizes)
         alone = n - np.repeat(sizes, sizes)  # tokens of the set that no other set has come first
         use = rank < slack(n, percent) + 1 - alone
-        return pa.table({"token": token[use], "doc_id": ids[use], "n": n[use]})
+        shared = np.repeat(sizes, sizes)[use]
+        return pa.table({"token": token[use], "doc_id": ids[use], "n": n[use], "s": shared.astype(np.int64)})
 
     return run
 
@@ -261,9 +264,20 @@ def _verify(size: int, percent: int):
     return run
 
 
-def _linked(texts: DataFrame, postings: DataFrame, size: int, percent: int) -> DataFrame | None:
+def _may_link(percent: int):
+    """Whether two sets may be similar, by their sizes and by how many of their tokens any other set has."""
+    m = F.least("s_a", "s_b")
+    return 100 * m >= percent * (F.col("n_a") + F.col("n_b") - m)
+
+
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select(
+        "token", F.col("doc_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "s", "component", "level"))
+    )
+
+
+def _linked(texts: DataFrame, postings: DataFrame, size: int, percent: int) -> DataFrame:
     """``node, component`` over the representatives, round by round from few leaders to all."""
-    spark = texts.sparkSession
     longest = postings.groupBy("token").count().agg(F.max("count")).first()[0] or 0
     top = 0
     while FANOUT ** (top + 1) <= longest:
@@ -273,26 +287,28 @@ def _linked(texts: DataFrame, postings: DataFrame, size: int, percent: int) -> D
     for k in range(1, top + 1):
         level = F.when(draw < FANOUT ** (top - k), k).otherwise(level)
     postings = materialize(postings.withColumn("level", level.cast("int")), "postings")
-    links, labels = None, None
-    for k in range(top, -1, -1):
-        rows = postings.withColumn("component", F.col("doc_id"))
-        if labels is not None:
-            rows = postings.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-                "component", F.coalesce("component", "doc_id")
-            )
-        lead = rows.where(F.col("level") == k).select("token", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-        rest = rows.where(F.col("level") <= k).select("token", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), "level")
-        similar = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-        once = (F.col("level") < k) | (F.col("a") < F.col("b"))
-        pairs = lead.join(rest, (lead["token"] == rest["token"]) & (F.col("c_a") != F.col("c_b")) & similar & once)
+
+    def checked(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
         with_b = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
         both = with_b.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
-        checked = both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, percent), "a long, b long")
-        new = materialize(checked, "links")
-        links = new if links is None else links.unionByName(new)
+        both = both.select("a", "b", "text_a", "text_b")
+        return materialize(both.mapInArrow(_verify(size, percent), "a long, b long"), "links")
+
+    own = postings.withColumn("component", F.col("doc_id"))
+    centre = F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "doc_id", "n", "s", "component", "level"))
+    centres = _side(own.groupBy("token").agg(centre.alias("c")).select("token", "c.*"), "a")
+    links = checked(centres.join(_side(own, "b"), "token").where((F.col("a") != F.col("b")) & _may_link(percent)))
+    for k in range(top, -1, -1):
         labels = components(links)
-    return labels if links is not None else spark.createDataFrame([], "node long, component long")
+        rows = postings.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        rows = rows.withColumn("component", F.coalesce("component", "doc_id"))
+        lead, rest = _side(rows.where(F.col("level") == k), "a"), _side(rows.where(F.col("level") <= k), "b")
+        once = (F.col("level_b") < k) | (F.col("a") < F.col("b"))
+        apart = F.col("component_a") != F.col("component_b")
+        pairs = lead.join(rest, (lead["token"] == rest["token"]) & apart & once & _may_link(percent))
+        links = links.unionByName(checked(pairs))
+    return components(links)
 
 
 def near_duplicates(
@@ -323,7 +339,7 @@ def near_duplicates(
     texts = materialize(binary(known).join(reps, "doc_id", "left_semi"), "candidates")
     tokens = texts.mapInArrow(_all_tokens(size, buckets), PACKED)
     back = tokens.groupBy("bucket").applyInArrow(_frequencies(buckets), PACKED)
-    postings = back.groupBy("bucket").applyInArrow(_prefixes(percent), "token long, doc_id long, n long")
+    postings = back.groupBy("bucket").applyInArrow(_prefixes(percent), "token long, doc_id long, n long, s long")
     labels = _linked(texts, materialize(postings, "postings"), size, percent)
     named = owners.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     out = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

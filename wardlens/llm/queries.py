@@ -4,9 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
-from wardlens.llm import jaccard_orders, outliers, phrase_automata, pii_feistel, secret_battery, suffix_buckets, token_counts, warc_chunks
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wardlens.llm import (
+    decontamination,
+    jaccard_orders,
+    mixing,
+    outliers,
+    phrase_automata,
+    pii_feistel,
+    secret_battery,
+    suffix_buckets,
+    token_counts,
+    warc_chunks,
+)
+
+MIX_WEIGHTS = {
+    "domain": {"d0": 1, "d1": 3, "d2": 2, "d3": 4},
+    "lang": {"en": 4, "de": 2, "fr": 2, "es": 2},
+    "source": {"src0": 2},
+}
+MIX_SHARE = 0.6
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +33,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def source_domain(source: str = "source") -> Column:
+    """Domain of a source: its number modulo 4; null without a number."""
+    number = F.expr(f"try_cast(regexp_extract({source}, '([0-9]+)$', 1) AS int)")
+    return F.concat(F.lit("d"), F.pmod(number, F.lit(4)))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read for a mix of 0.6 of all tokens by domain, language and source weights."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, source_domain(), MIX_WEIGHTS, MIX_SHARE)
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in documents: the best window of each document and item."""
+    found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text."""
     import public_tokenizers
@@ -61,7 +98,9 @@ def op9_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries of this package by name."""
     return {
+        "op1_mixing": op1_mixing,
         "op2_token_counts": op2_token_counts,
+        "op3_decontamination": op3_decontamination,
         "op4_phrase_automata": op4_phrase_automata,
         "op5_warc_chunks": op5_warc_chunks,
         "op6_suffix_buckets": op6_suffix_buckets,

@@ -13,7 +13,7 @@ two of ``window - gram + 2`` positions are anchors, and only these are shuffled.
 2. ``segments``: for every recurring anchor, the piece of text that covers the windows it is
    the anchor of goes to a shard chosen by the anchor, so all occurrences of a window meet in
    one shard. Windows of very frequent anchors travel one by one, sharded by their own hash,
-   and only the first of equal ones per batch; the operator is told of the others.
+   and only the first of equal ones per block; the operator is told of the others.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ from wardlens.llm import arrays
 from wardlens.llm.tables import materialize
 
 PIECE = 1 << 22
-FLUSH = 1 << 20
+FLUSH = 1 << 19
+BODY_BYTES = 16 << 20
 _PLACE = np.uint64((1 << 26) - 1)
 PACKED = "bucket long, kind int, n long, data binary, ids binary, starts binary, counts binary, sizes binary"
 
@@ -44,6 +45,10 @@ class Shape:
     gram: int
     hot: int = 20_000
 
+    def blocks(self, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Row ranges worked on at a time, so that the numbers per item stay near 100 MB."""
+        return arrays.blocks(offsets, arrays.BLOCK_BYTES if self.words else arrays.BLOCK_BYTES // 4)
+
 
 class Items:
     """Items of a block of rows: hash, row, place in the row and byte bounds of each."""
@@ -141,7 +146,7 @@ def _scan(shape: Shape, buckets: int) -> Callable:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = arrays.buffers(batch.column(1))
-            for a, b in arrays.blocks(offsets):
+            for a, b in shape.blocks(offsets):
                 items = Items(shape, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 for _, anchor, hashes in items.windows(shape):
                     keep = np.ones(len(anchor), bool)
@@ -204,11 +209,12 @@ def _cut(shape: Shape, shards: int) -> Callable:
     """Segments of documents with recurring anchors, packed by shard; kinds: 0 segment, 1 known repeat, 2 its first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = arrays.buffers(batch.column(1))
             lists = [[np.asarray(x, np.int64) for x in batch.column(k).to_pylist()] for k in (2, 3)]
-            for a, b in arrays.blocks(offsets):
+            for a, b in shape.blocks(offsets):
                 items = Items(shape, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 marks = np.zeros(len(items.hashes), np.int8)
                 for value, places in ((1, lists[0]), (2, lists[1])):
@@ -216,20 +222,25 @@ def _cut(shape: Shape, shards: int) -> Callable:
                         if len(places[row]):
                             marks[items.first[row - a] + places[row]] = value
                 for start, anchor, hashes in items.windows(shape):
-                    yield from _emit(_rows(shape, shards, ids[a:b], items, marks, start, anchor, hashes))
+                    held += _segments(found, shape, ids[a:b], items, marks, start, anchor, hashes)
+                if held >= BODY_BYTES:
+                    yield from _emit(_packed(found, shards))
+                    found, held = [], 0
+            yield from _emit(_packed(found, shards))
+            found, held = [], 0
 
     return run
 
 
-def _rows(shape, shards, ids, items, marks, start, anchor, hashes) -> list[dict]:
-    rows: list[dict] = []
+def _segments(found, shape, ids, items, marks, start, anchor, hashes) -> int:
+    """Add the segments of a piece to ``found``: (kind, key, ids, places, counts, texts); returns their bytes."""
     kept = np.flatnonzero(marks[anchor] == 1)
     start_c, anchor_c = start[kept], anchor[kept]
     new = np.ones(len(kept), bool)
     new[1:] = (anchor_c[1:] != anchor_c[:-1]) | (start_c[1:] != start_c[:-1] + 1)
     first = np.flatnonzero(new)
     counts = np.diff(np.concatenate([first, [len(kept)]]))
-    _pack_segments(rows, shape, shards, ids, items, start_c[first], counts, hashes[kept][first], 0)
+    size = _add(found, shape, ids, items, start_c[first], counts, hashes[kept][first], 0)
     single = start[marks[anchor] == 2]
     if len(single):  # the first of equal windows is the one with the smallest (doc_id, start)
         single = single[np.lexsort((items.places(single), ids[items.rows[single]]))]
@@ -237,21 +248,35 @@ def _rows(shape, shards, ids, items, marks, start, anchor, hashes) -> list[dict]
         _, at, times = np.unique(run, return_index=True, return_counts=True)
         ones = np.ones(len(at), np.int64)
         for kind, some in ((0, times == 1), (2, times > 1)):
-            _pack_segments(rows, shape, shards, ids, items, single[at[some]], ones[some], run[at[some]], kind)
+            size += _add(found, shape, ids, items, single[at[some]], ones[some], run[at[some]], kind)
         later = np.ones(len(single), bool)
         later[at] = False
-        for b, part in _by_bucket((arrays.mix(single[later].astype(np.uint64)) % np.uint64(shards)).astype(np.int64)):
-            w = single[later][part]
-            rows.append(pack(b, 1, b"", ids[items.rows[w]], items.places(w), np.ones(len(w)), np.zeros(len(w))))
-    return rows
+        w = single[later]
+        key = arrays.mix(w.astype(np.uint64))
+        found.append((1, key, ids[items.rows[w]], items.places(w), np.ones(len(w), np.int64), [b""] * len(w)))
+    return size
 
 
-def _pack_segments(rows, shape, shards, ids, items, start, counts, keys, kind) -> None:
-    for b, part in _by_bucket((arrays.mix(keys) % np.uint64(shards)).astype(np.int64)):
-        s, n = start[part], counts[part]
-        low, high = items.starts[s], items.ends[s + n + shape.window - 2]
-        body = b"".join([items.data[x:y].tobytes() for x, y in zip(low.tolist(), high.tolist(), strict=True)])
-        rows.append(pack(b, kind, body, ids[items.rows[s]], items.places(s), n, high - low))
+def _add(found, shape, ids, items, start, counts, keys, kind) -> int:
+    low, high = items.starts[start], items.ends[start + counts + shape.window - 2]
+    texts = [items.data[x:y].tobytes() for x, y in zip(low.tolist(), high.tolist(), strict=True)]
+    found.append((kind, keys, ids[items.rows[start]], items.places(start), counts, texts))
+    return int((high - low).sum())
+
+
+def _packed(found: list, shards: int) -> list[dict]:
+    """The segments found, one row per shard and kind."""
+    rows = []
+    for kind in (0, 1, 2):
+        parts = [x[1:] for x in found if x[0] == kind and len(x[1])]
+        if not parts:
+            continue
+        keys, ids, places, counts = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        texts = [t for p in parts for t in p[4]]
+        for b, at in _by_bucket((arrays.mix(keys) % np.uint64(shards)).astype(np.int64)):
+            some = [texts[k] for k in at.tolist()]
+            rows.append(pack(b, kind, b"".join(some), ids[at], places[at], counts[at], list(map(len, some))))
+    return rows
 
 
 @dataclass
@@ -263,7 +288,7 @@ class Shard:
     ids: np.ndarray
     starts: np.ndarray
     counts: np.ndarray
-    repeated: np.ndarray  # the same window occurs again in the segment's own batch
+    repeated: np.ndarray  # the same window occurs again in the segment's own block
 
 
 def _load(table: pa.Table) -> tuple[Shard, list]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from wardlens.llm import anchors
 from wardlens.llm.tables import unique_documents
 
-PER_SHARD = 12_000
+PER_SHARD = 4_000
 Q = 8
 
 

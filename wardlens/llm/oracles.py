@@ -1,8 +1,120 @@
-"""DuckDB statements for the queries of this package that SQL can express."""
+"""DuckDB statements for the queries of this package that SQL can express.
+
+Without a statement, and tested against brute force in ``tests/llm`` instead: token counts (the
+tokenizer is no SQL function), decontamination (SimHash of Spark's hash function), byte strings
+(every byte position of every text), pseudonyms (keyed permutations), secret scans (spans of
+regular expressions, test battery) and quality rules (iterated robust estimates).
+"""
 
 from __future__ import annotations
 
+from wardlens.llm.queries import MIX_SHARE, MIX_WEIGHTS
+
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
+def _weight(level: str) -> str:
+    cases = "".join(f" WHEN '={k}' THEN {float(v)}" for k, v in MIX_WEIGHTS[level].items())
+    return f"CASE {level}{cases} ELSE 1.0 END"
+
+
+def _filled(nodes: str, parent: str, name: str) -> str:
+    """Share the parents' budgets among their children (weight w, capacity c)."""
+    return f"""
+    {name}_a AS (
+      SELECT *, c / w AS ratio,
+        coalesce(sum(c) OVER (PARTITION BY {parent} ORDER BY c / w, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken,
+        sum(w) OVER (PARTITION BY {parent} ORDER BY c / w, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+      FROM ({nodes})),
+    {name}_b AS (SELECT *, (budget - taken) / rest >= ratio AS is_full FROM {name}_a),
+    {name}_c AS (
+      SELECT *, budget - coalesce(sum(c) FILTER (WHERE is_full) OVER (PARTITION BY {parent}), 0) AS remaining,
+        sum(w) FILTER (WHERE NOT is_full) OVER (PARTITION BY {parent}) AS open_w
+      FROM {name}_b),
+    {name}_d AS (
+      SELECT *, CASE WHEN is_full THEN c ELSE least(CAST(floor(remaining * w / open_w) AS BIGINT), c) END AS q FROM {name}_c),
+    {name}_e AS (
+      SELECT *, budget - sum(q) OVER (PARTITION BY {parent}) AS lost,
+        sum(CASE WHEN NOT is_full AND q < c THEN 1 ELSE 0 END) OVER (PARTITION BY {parent} ORDER BY {name} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS turn
+      FROM {name}_d),
+    {name}_q AS (
+      SELECT *, q + CASE WHEN NOT is_full AND q < c AND turn <= lost THEN 1 ELSE 0 END AS quota FROM {name}_e)"""
+
+
+OP1 = f"""
+WITH docs AS (
+  SELECT doc_id, len({WORDS.format("coalesce(text, '')")}) AS n_tokens,
+    coalesce('=d' || (TRY_CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS INTEGER) % 4), '-') AS domain,
+    coalesce('=' || lang, '-') AS lang, coalesce('=' || source, '-') AS source
+  FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::BIGINT * 4 AS c FROM docs GROUP BY ALL),
+total AS (SELECT least(CAST(floor(sum(tokens) * {MIX_SHARE}) AS BIGINT), sum(c)::BIGINT) AS budget FROM leaves),
+{_filled(f"SELECT domain, sum(c)::BIGINT AS c, {_weight('domain')} AS w, any_value(budget) AS budget FROM leaves, total GROUP BY domain", "1", "domain")},
+{_filled(f"SELECT l.domain, lang, sum(l.c)::BIGINT AS c, {_weight('lang')} AS w, any_value(quota) AS budget FROM leaves l JOIN domain_q p ON l.domain = p.domain GROUP BY ALL", "domain", "lang")},
+{_filled(f"SELECT l.domain, l.lang, source, sum(l.c)::BIGINT AS c, {_weight('source')} AS w, any_value(quota) AS budget FROM leaves l JOIN lang_q p ON l.domain = p.domain AND l.lang = p.lang GROUP BY ALL", "domain, lang", "source")},
+plan AS (
+  SELECT l.domain, l.lang, l.source, CASE WHEN tokens > 0 THEN CAST(quota AS BIGINT) // tokens ELSE 0 END AS whole, CAST(quota AS BIGINT) AS quota, tokens
+  FROM leaves l JOIN source_q s ON l.domain = s.domain AND l.lang = s.lang AND l.source = s.source),
+run AS (
+  SELECT d.*, whole, quota - whole * tokens AS rest,
+    sum(n_tokens) OVER (PARTITION BY d.domain, d.lang, d.source ORDER BY md5('0|' || whole || '|' || doc_id) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reached
+  FROM docs d JOIN plan p ON d.domain = p.domain AND d.lang = p.lang AND d.source = p.source)
+SELECT doc_id, CASE WHEN domain <> '-' THEN substr(domain, 2) END AS domain, CASE WHEN lang <> '-' THEN substr(lang, 2) END AS lang,
+  CASE WHEN source <> '-' THEN substr(source, 2) END AS source, n_tokens::BIGINT AS n_tokens,
+  CAST(whole + CASE WHEN reached <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM run WHERE whole + CASE WHEN reached <= rest THEN 1 ELSE 0 END > 0
+"""
+
+OP4 = f"""
+WITH d AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS pos FROM d WHERE len(w) >= 20),
+h AS (SELECT doc_id, pos, md5(array_to_string(w[pos : pos + 19], ' ')) AS h FROM s),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) AS nth FROM h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS k FROM r WHERE nth > 1),
+each_word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS body
+  FROM each_word ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP5 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (
+  SELECT page_id, strlen(body)::BIGINT AS payload_bytes, hex,
+    list_reduce(list_transform(range(1, 41), lambda i: right('000' || bin(strpos('0123456789abcdef', hex[i]) - 1), 4)), lambda a, c: a || c) AS bits
+  FROM p),
+e AS (
+  SELECT page_id, payload_bytes, hex, list_reduce(list_transform(range(0, 32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(1, 6), lambda j: CAST(bits[k * 5 + j] AS INTEGER) * (1 << (5 - j)))) AS INTEGER), 1)), lambda a, c: a || c) AS payload_digest
+  FROM b),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first_id FROM e)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM f
+"""
+
+OP7 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS pos FROM d WHERE len(w) > 0),
+sets AS (SELECT DISTINCT doc_id, md5(array_to_string(w[pos : pos + 4], ' ')) AS h FROM s),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT a AS node, a AS pos FROM both_ways
+  UNION
+  SELECT node, b FROM reach JOIN both_ways ON reach.pos = both_ways.a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT node, min(pos) AS low FROM reach GROUP BY node) r ON r.node = d.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Statement by query name."""
-    return {}
+    return {"op1_mixing": OP1, "op4_phrase_automata": OP4, "op5_warc_chunks": OP5, "op7_jaccard_orders": OP7}

@@ -205,8 +205,14 @@ def _frequencies(buckets: int):
     return run
 
 
+PARITY = 4
+_POSTING = "token long, doc_id long, n long, s long, " + ", ".join(f"p{k} long" for k in range(PARITY))
+_FACTS = ["n", "s", *(f"p{k}" for k in range(PARITY))]
+
+
 def _prefixes(percent: int):
-    """Postings (token, doc_id, n) of each document's prefix in order of frequency, then hash."""
+    """Postings of each document's prefix in order of frequency, then hash, with the set's size ``n``,
+    the number ``s`` of its tokens that any other set has, and the parities of these in 256 classes."""
 
     def run(table: pa.Table) -> pa.Table:
         parts = []
@@ -225,8 +231,13 @@ def _prefixes(percent: int):
         rank = np.arange(len(ids)) - np.repeat(first, sizes)
         alone = n - np.repeat(sizes, sizes)  # tokens of the set that no other set has come first
         use = rank < slack(n, percent) + 1 - alone
-        shared = np.repeat(sizes, sizes)[use]
-        return pa.table({"token": token[use], "doc_id": ids[use], "n": n[use], "s": shared.astype(np.int64)})
+        columns = {"token": token[use], "doc_id": ids[use], "n": n[use], "s": np.repeat(sizes, sizes)[use].astype(np.int64)}
+        place = arrays.mix(token.astype(np.uint64)) % np.uint64(64 * PARITY)
+        bit = np.uint64(1) << (place % np.uint64(64))
+        for k in range(PARITY):
+            words = np.bitwise_xor.reduceat(np.where(place // np.uint64(64) == k, bit, np.uint64(0)), first)
+            columns[f"p{k}"] = np.repeat(words, sizes)[use].astype(np.int64)
+        return pa.table(columns)
 
     return run
 
@@ -265,14 +276,19 @@ def _verify(size: int, percent: int):
 
 
 def _may_link(percent: int):
-    """Whether two sets may be similar, by their sizes and by how many of their tokens any other set has."""
+    """Whether two sets may be similar: their tokens of their own, and one token at least for each class whose
+    parity differs, lie in one set only, and may be no more than the similarity allows."""
+    both = F.col("n_a") + F.col("n_b")
+    apart = both - F.col("s_a") - F.col("s_b")
+    for k in range(PARITY):
+        apart = apart + F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b")))
     m = F.least("s_a", "s_b")
-    return 100 * m >= percent * (F.col("n_a") + F.col("n_b") - m)
+    return (100 * m >= percent * (both - m)) & ((100 + percent) * apart <= (100 - percent) * both)
 
 
 def _side(rows: DataFrame, side: str) -> DataFrame:
     return rows.select(
-        "token", F.col("doc_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "s", "component", "level"))
+        "token", F.col("doc_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in (*_FACTS, "component", "level"))
     )
 
 
@@ -296,7 +312,7 @@ def _linked(texts: DataFrame, postings: DataFrame, size: int, percent: int) -> D
         return materialize(both.mapInArrow(_verify(size, percent), "a long, b long"), "links")
 
     own = postings.withColumn("component", F.col("doc_id"))
-    centre = F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "doc_id", "n", "s", "component", "level"))
+    centre = F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "doc_id", *_FACTS, "component", "level"))
     centres = _side(own.groupBy("token").agg(centre.alias("c")).select("token", "c.*"), "a")
     links = checked(centres.join(_side(own, "b"), "token").where((F.col("a") != F.col("b")) & _may_link(percent)))
     for k in range(top, -1, -1):
@@ -339,7 +355,7 @@ def near_duplicates(
     texts = materialize(binary(known).join(reps, "doc_id", "left_semi"), "candidates")
     tokens = texts.mapInArrow(_all_tokens(size, buckets), PACKED)
     back = tokens.groupBy("bucket").applyInArrow(_frequencies(buckets), PACKED)
-    postings = back.groupBy("bucket").applyInArrow(_prefixes(percent), "token long, doc_id long, n long, s long")
+    postings = back.groupBy("bucket").applyInArrow(_prefixes(percent), _POSTING)
     labels = _linked(texts, materialize(postings, "postings"), size, percent)
     named = owners.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     out = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

@@ -1,7 +1,7 @@
 """Feature table, labels per release, panel and trends on small hand-made data."""
 
 import pytest
-from conftest import feature_rows
+from conftest import N_PROVIDERS, feature_rows
 from pyspark.sql import functions as F
 
 from wardlens.plans import features as f
@@ -78,16 +78,17 @@ def _two_releases(spark):
         rows = [(*r[:11], r[11] + rise, *r[12:]) for r in feature_rows()]
         return spark.createDataFrame(rows, FEATURES).withColumn("period", F.lit(label))
 
-    return [release("2024Q1", 0.0), release("2024Q2", 1.0)]
+    return [release("2023-A", 0.0), release("2023-B", -0.25), release("2023-C", 0.5)]
 
 
 def test_panel_deltas(spark):
     got = panel.build_panel(_two_releases(spark))
-    assert got.select("facility_id").distinct().count() == 120
-    deltas = [(r.period, r.patient_star_avg_delta) for r in got.collect()]
-    assert all(d is None for p, d in deltas if p == "2024Q1")
-    later = [d for p, d in deltas if p == "2024Q2"]
-    assert len(later) == 120 and all(abs(d - 1.0) < 1e-9 for d in later)
+    steps = {}
+    for r in got.collect():
+        steps.setdefault(r.period, []).append(r.patient_star_avg_delta)
+    assert {p: len(v) for p, v in steps.items()} == dict.fromkeys(("2023-A", "2023-B", "2023-C"), N_PROVIDERS)
+    for period, change in (("2023-A", None), ("2023-B", -0.25), ("2023-C", 0.75)):
+        assert {None if d is None else round(d, 9) for d in steps[period]} == {change}
 
 
 def test_panel_without_releases_is_an_error(spark, tmp_path):

@@ -38,7 +38,7 @@ def test_training_outputs(spark, features, tmp_path):
     sinks.write_table(features, str(tmp_path / "features"))
     out = str(tmp_path / "models")
     metrics = jobs.train_models(spark, str(tmp_path / "features"), out, TINY)["metrics"].first()
-    assert metrics.classification.n_test == 24
-    assert spark.read.parquet(f"{out}/scored").count() == 120
+    assert metrics.classification.n_test == features.count() // 5
+    assert spark.read.parquet(f"{out}/scored").count() == features.count()
     drivers = spark.read.option("header", True).csv(f"{out}/regression_drivers")
     assert drivers.count() == 7

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from conftest import N_PROVIDERS
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ def test_candidates(spark, task, baseline):
 @pytest.fixture(scope="module")
 def holed(features):
     """Features with gaps and a rare level."""
-    n = F.substring("facility_id", 2, 4).cast("int")
+    n = F.substring("facility_id", 3, 5).cast("int")
     return features.withColumns(
         {
             "timely_care_avg": F.when(n % 7 != 0, F.col("timely_care_avg")),
@@ -54,7 +55,7 @@ def test_preparation_equals_numpy(spark, holed):
     names = preprocess.feature_names(model)
     got = model.transform(rows).orderBy("facility_id").select("*", vector_to_array("features").alias("v")).toPandas()
     matrix = np.array(got["v"].tolist())
-    assert matrix.shape == (120, len(names))
+    assert matrix.shape == (N_PROVIDERS, len(names))
     assert names[-5:] == list(columns.CLF_NUMERIC)
     for i, c in enumerate(columns.CLF_NUMERIC):
         x = got[c].astype(float).to_numpy()
@@ -80,7 +81,7 @@ def test_number_column_without_values_is_left_out(holed):
     rows = columns.model_rows(holed.withColumn("timely_care_avg", F.lit(None).cast("double")), "regression")
     model = preprocess.Preprocessor(columns.REG_NUMERIC).fit(rows)
     assert "timely_care_avg" not in preprocess.feature_names(model)
-    assert model.transform(rows).count() == 120
+    assert model.transform(rows).count() == N_PROVIDERS
 
 
 def test_hold_out_is_exact_and_repeatable(spark, features):
@@ -88,8 +89,8 @@ def test_hold_out_is_exact_and_repeatable(spark, features):
     a_train, a_test = splits.hold_out(rows, stratify=True)
     b_train, b_test = splits.hold_out(rows.repartition(13), stratify=True)
     ids = {r.facility_id for r in a_test.collect()}
-    assert len(ids) == 24 and ids == {r.facility_id for r in b_test.collect()}
-    assert a_train.count() == 96 and not ids & {r.facility_id for r in a_train.collect()}
+    assert len(ids) == N_PROVIDERS // 5 and ids == {r.facility_id for r in b_test.collect()}
+    assert a_train.count() == N_PROVIDERS - N_PROVIDERS // 5 and not ids & {r.facility_id for r in a_train.collect()}
     assert splits.hold_out(rows.limit(101))[1].count() == 21
 
 
@@ -111,7 +112,7 @@ def test_folds_are_contiguous_blocks(features, stratify):
     for g in groups:
         folds = [r.fold for r in folded if g is None or r.label == g]
         assert folds == sorted(folds) and set(folds) == set(range(5))
-    assert len(folded) == 120
+    assert len(folded) == N_PROVIDERS
 
 
 def _prepared(features, task):
@@ -150,23 +151,23 @@ def test_training_scoring_and_storing(spark, features, tmp_path):
     clf = train.train_underperformer(features, TINY)
     reg = train.train_satisfaction(features, TINY)
     doc = train.evaluate(reg, clf).first()
-    assert (doc.classification.n_train, doc.classification.n_test, doc.regression.n_test) == (96, 24, 24)
+    assert (doc.classification.n_train, doc.classification.n_test, doc.regression.n_test) == (N_PROVIDERS - N_PROVIDERS // 5, N_PROVIDERS // 5, N_PROVIDERS // 5)
     assert set(doc.classification.report) == {"0", "1", "macro avg", "weighted avg"}
-    assert doc.classification.report["macro avg"].support == 24
+    assert doc.classification.report["macro avg"].support == N_PROVIDERS // 5
     scored = train.score(features, clf.model)
     rows = scored.collect()
-    assert len(rows) == 120 and all(0 <= r.predicted_risk <= 1 for r in rows)
+    assert len(rows) == N_PROVIDERS and all(0 <= r.predicted_risk <= 1 for r in rows)
     values = sorted((r.predicted_risk for r in rows), reverse=True)
     assert all(r.risk_rank == values.index(r.predicted_risk) + 1 for r in rows)
     save_model(clf.model, str(tmp_path / "m"))
     again = train.score(features, PipelineModel.load(str(tmp_path / "m")))
     assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, rows), key=str)
     assert triage.triage(scored, "All", 5).count() == 5
-    with pytest.raises(ValueError):
-        triage.triage(scored, "All", 51)
+    assert triage.triage(scored, "All", 51).count() == 51 and triage.triage(scored, "All", 1).count() == 1
     names = preprocess.feature_names(clf.model.stages[0])
     assert len(names) == clf.model.stages[1].numFeatures
-    assert explain.split_importance(clf.model).count() <= 12
+    assert explain.split_importance(clf.model).count() == len(names)
+    assert explain.split_importance(clf.model, top=3).count() == 3
 
 
 def test_report_with_a_class_never_predicted(spark):

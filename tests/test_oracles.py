@@ -7,7 +7,6 @@ import __spark_entry__ as entry_point
 from checks.compare import differences, duck
 
 ORACLES = entry_point.oracle_sql()
-SLOW = {"m_cv_baseline", "sink_leaderboard"}
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +18,7 @@ def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(entry_point.queries())
 
 
-@pytest.mark.parametrize("key", [k for k in ORACLES if k not in SLOW])
+@pytest.mark.parametrize("key", list(ORACLES))
 def test_matches_oracle(spark, con, key):
     got = entry_point.queries()[key](spark, SMALL_DATA).toPandas()
     assert differences(got, con.sql(ORACLES[key]).df()) is None

@@ -45,12 +45,13 @@ def strip(c: Column | str) -> Column:
 def num(c: Column | str, dtype: str = "double") -> Column:
     """Safe cast of text to a number: int, double or decimal(p,s).
 
-    Decimal text in an ``int`` cast is NULL.
+    Decimal text in an ``int`` cast is NULL, and so is a number too large for a double.
     """
     if dtype not in ("double", "float"):
         return _col(c).try_cast(dtype)
     text = strip(c)
-    return F.when(F.translate(text, NUMBER_CHARS, "") == "", text.try_cast(dtype))
+    value = text.try_cast(dtype)
+    return F.when((F.translate(text, NUMBER_CHARS, "") == "") & (F.abs(value) < float("inf")), value)
 
 
 def to_num(c: Column | str) -> Column:

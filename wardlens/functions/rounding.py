@@ -11,15 +11,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _EXACT = "decimal(28,9)"
+_WHOLE = 1e18  # doubles from here on have no decimal places, so rounding leaves them as they are
+
+
+def _rounded(c: Column | str, rule, digits: int) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    value = c.cast("double")
+    return F.when(F.abs(value) < _WHOLE, rule(c.cast(_EXACT), digits).cast("double")).otherwise(value)
 
 
 def half_up(c: Column | str, digits: int) -> Column:
     """Ties away from zero (SQL ROUND)."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast(_EXACT), digits).cast("double")
+    return _rounded(c, F.round, digits)
 
 
 def half_even(c: Column | str, digits: int) -> Column:
     """Ties to the even digit (numpy and Python rounding)."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.bround(c.cast(_EXACT), digits).cast("double")
+    return _rounded(c, F.bround, digits)

@@ -39,9 +39,9 @@ def build_snapshots(spark: SparkSession, data: str, out: str) -> dict[str, DataF
 
 def panel(spark: SparkSession, data: str, out: str) -> dict[str, DataFrame]:
     """Panel with changes, from ``period=`` Parquet folders or from a folder of CSV files per release."""
-    try:
+    if snapshots.has_csv(spark, data):
         stacked = snapshots.stack(snapshots.load_snapshots(spark, data))
-    except FileNotFoundError:  # no CSV there
+    else:
         stacked = snapshots.load_snapshot_table(spark, data)
     sinks.write_table(panels.add_deltas(stacked), out, ["period"])
     return {"summary": profiling.panel_summary(snapshots.load_snapshot_table(spark, out))}
@@ -100,7 +100,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     args = parser.parse_args(argv)
     for name, result in STEPS[args.step](build_session(f"wardlens-{args.step}"), args.data, args.out).items():
         print(name)
-        result.show(50, truncate=False)
+        result.show(result.count(), truncate=False)
 
 
 if __name__ == "__main__":

@@ -1,4 +1,4 @@
-"""Competing models per task. The trivial baseline comes first: every other model must beat it."""
+"""Candidate models of the two tasks, by name, with a constant prediction as yardstick."""
 
 from __future__ import annotations
 
@@ -31,9 +31,6 @@ class Sizes:
     seed: int = 42
 
 
-SMALL = Sizes(trees=20, tree_depth=6, boost_rounds=5, long_rounds=8, long_depth=3, max_iter=50)
-
-
 class Constant(Estimator):
     """Predicts the training mean, or the most frequent class (ties: the lower label)."""
 
@@ -44,12 +41,14 @@ class Constant(Estimator):
     def _fit(self, dataset: DataFrame) -> Transformer:
         if self.classification:
             counts = dataset.groupBy("label").count()
-            value = counts.orderBy(F.desc("count"), F.asc("label")).first()["label"]
+            top = counts.where("label IS NOT NULL").orderBy(F.desc("count"), F.asc("label")).first()
+            value = top["label"] if top else None
         else:
             value = dataset.agg(F.avg("label")).first()[0]
-        return SQLTransformer(
-            statement=f"SELECT *, {value!r}D AS prediction, {value!r}D AS rawPrediction FROM __THIS__"
-        )
+        if value is None:
+            raise ValueError("a constant needs at least one training row with a label")
+        number = f"CAST('{float(value)!r}' AS DOUBLE)"
+        return SQLTransformer(statement=f"SELECT *, {number} AS prediction, {number} AS rawPrediction FROM __THIS__")
 
 
 class Ridge(Estimator):

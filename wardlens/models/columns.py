@@ -1,4 +1,4 @@
-"""Which columns a task may use. One place, so the leakage rules cannot drift."""
+"""Predictor, target and barred columns of the two tasks."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+# Column names of the published feature table.
 CATEGORICAL = ("state", "hospital_type", "hospital_ownership")
 REG_NUMERIC = ("emergency_services", "survey_response_rate", "completed_surveys", "timely_care_avg")
 CLF_NUMERIC = (*REG_NUMERIC, "patient_star_avg")
 
-# Never predictors: identifiers, targets, and the counts that make up the rating.
+# Columns that name a hospital or from which its label can be worked out.
 LEAKAGE = (
     "facility_id", "facility_name", "county", "overall_rating",
     "_mort_worse", "_safety_worse", "_readm_worse",
@@ -35,7 +36,7 @@ TASKS = {
 
 def task_of(name: str) -> Task:
     if name not in TASKS:
-        raise ValueError(f"task must be one of {sorted(TASKS)}, got {name!r}")
+        raise ValueError(f"unknown task {name!r}; there are {', '.join(sorted(TASKS))}")
     return TASKS[name]
 
 

@@ -1,7 +1,7 @@
 """Which columns drive a fitted model.
 
 Three views: the split importances the forest stores, the metric lost when a column is
-shuffled over all rows, and Shapley contributions on a bounded sample of rows.
+shuffled over all rows, and Shapley contributions of all rows (or, if asked for, of a sample).
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from wardlens.models.metrics import regression_metrics, roc_auc
 from wardlens.models.preprocess import feature_names
 from wardlens.operators.ranking import number_rows
 
-SAMPLE_ROWS, TOP = 500, 12
-
 
 def _output(model: PipelineModel, rows: DataFrame, task: str) -> DataFrame:
     """Model output as ``output``: positive-class probability, or the predicted value."""
@@ -28,16 +26,17 @@ def _output(model: PipelineModel, rows: DataFrame, task: str) -> DataFrame:
     return model.transform(rows).withColumn("output", value)
 
 
-def split_importance(model: PipelineModel, top: int = TOP) -> DataFrame:
+def split_importance(model: PipelineModel, top: int | None = None) -> DataFrame:
     """Importance of every vector position as the forest stores it."""
     prepared, forest = model.stages
     pairs = list(zip(feature_names(prepared), map(float, forest.featureImportances.toArray())))
     return _small_frame(pairs, top)
 
 
-def _small_frame(pairs: list[tuple[str, float]], top: int) -> DataFrame:
+def _small_frame(pairs: list[tuple[str, float]], top: int | None) -> DataFrame:
     frame = SparkSession.active().createDataFrame(pairs, "feature string, importance double")
-    return frame.orderBy(F.desc("importance"), "feature").limit(top)
+    frame = frame.orderBy(F.desc("importance"), "feature")
+    return frame if top is None else frame.limit(top)
 
 
 def _metric(df: DataFrame, task: str) -> float:
@@ -77,18 +76,18 @@ def hash_sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def shapley_rows(
-    model: PipelineModel, rows: DataFrame, task: str, n: int = SAMPLE_ROWS, orders: int = 8, seed: int = 42
+    model: PipelineModel, rows: DataFrame, task: str, n: int | None = None, orders: int = 8, seed: int = 42
 ) -> DataFrame:
-    """Contribution of every input column to every sampled row: (facility_id, feature, contribution).
+    """Contribution of every input column to every row: (facility_id, feature, contribution).
 
-    For each sampled row and each of ``orders`` random column orders, one other sampled
-    row is the starting point; columns switch to the row's own values one after another,
+    ``n`` restricts the rows to a sample of that size. For each row and each of ``orders``
+    random column orders, one other row is the starting point; columns switch to the row's own values one after another,
     and the change in model output is credited to the column that switched. The
     contributions of a row add up to its output minus the mean output of its starting rows.
-    All ``n * orders * (columns + 1)`` mixed rows are scored by one ``transform``.
+    All ``rows * orders * (columns + 1)`` mixed rows are scored by one ``transform``.
     """
     columns = [*CATEGORICAL, *task_of(task).numeric]
-    sample = hash_sample(rows, min(n, SAMPLE_ROWS), seed).select(
+    sample = (rows if n is None else hash_sample(rows, n, seed)).select(
         "facility_id", F.struct(*columns).alias("own")
     )
     sample = number_rows(sample, [("facility_id", "asc")], [], out="nth").withColumn("nth", F.col("nth") - 1)
@@ -124,16 +123,16 @@ def shapley_rows(
 
 
 def explain(
-    model: PipelineModel, rows: DataFrame, task: str, n: int = SAMPLE_ROWS, top: int = TOP, orders: int = 8, seed: int = 42
+    model: PipelineModel, rows: DataFrame, task: str, n: int | None = None, top: int | None = None, orders: int = 8, seed: int = 42
 ) -> DataFrame:
-    """Columns by mean absolute contribution on the sample, largest first."""
+    """Columns by mean absolute contribution over all rows (or a sample of ``n``), largest first."""
     per_row = shapley_rows(model, rows, task, n, orders, seed)
-    return (
+    board = (
         per_row.groupBy("feature")
         .agg(
             half_even(F.avg(F.abs("contribution")), 6).alias("mean_abs_contribution"),
             half_even(F.avg("contribution"), 6).alias("mean_contribution"),
         )
         .orderBy(F.desc("mean_abs_contribution"), "feature")
-        .limit(top)
     )
+    return board if top is None else board.limit(top)

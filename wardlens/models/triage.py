@@ -10,7 +10,6 @@ from wardlens.operators.grouping import distinct_values
 from wardlens.operators.ranking import rank_by_value
 
 ALL_STATES = "All"
-TRIAGE_MIN, TRIAGE_MAX = 5, 50
 
 
 def risk_rank(scored: DataFrame, risk: str = "predicted_risk") -> DataFrame:
@@ -23,9 +22,7 @@ def state_list(scored: DataFrame) -> DataFrame:
 
 
 def triage(scored: DataFrame, state: str = ALL_STATES, n: int = 15) -> DataFrame:
-    """The ``n`` (5 to 50) riskiest hospitals of a state, or of all."""
-    if not TRIAGE_MIN <= n <= TRIAGE_MAX:
-        raise ValueError(f"n must lie between {TRIAGE_MIN} and {TRIAGE_MAX}, got {n}")
+    """The ``n`` riskiest hospitals of a state, or of all."""
     view = scored if state == ALL_STATES else scored.filter(F.col("state") == state)
     return (
         view.orderBy(F.desc_nulls_last("predicted_risk"), F.asc("facility_id"))

@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.functions.clean import fold, rating
 from wardlens.functions.rounding import half_up
-from wardlens.operators.ranking import BROADCAST_ROWS, rank_rows
-from wardlens.sources.scratch import materialize
+from wardlens.operators.ranking import rank_rows
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
@@ -23,7 +22,9 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def count_by(df: DataFrame, column: str, out: str = "total_hospitals") -> DataFrame:
-    return df.groupBy(column).agg(F.count("*").alias(out)).orderBy(F.desc(out), column)
+    """Rows per value; spellings that differ only in case or outer blanks count as one."""
+    counts = df.groupBy(column).agg(F.count("*").alias(out))
+    return merge_spellings(counts, column, [], [out]).orderBy(F.desc(out), column)
 
 
 def mean_by(df: DataFrame, by: Sequence[str], value: Column, out: str) -> DataFrame:
@@ -49,23 +50,21 @@ def rated(h: DataFrame) -> DataFrame:
     return h.withColumn("_rating", rating(h)).filter(F.col("_rating").isNotNull())
 
 
+def group_means(h: DataFrame, by: str) -> DataFrame:
+    """Mean rating ``_mean`` per value of ``by``, in any letter case."""
+    parts = merge_spellings(mean_parts(rated(h), [by], "_rating"), by, [], ["_sum", "_n"])
+    return parts.select(by, (F.col("_sum") / F.col("_n")).alias("_mean"))
+
+
 def avg_rating_by(h: DataFrame, by: str, digits: int | None = 2, out: str = "average_rating") -> DataFrame:
     """Mean rating per group, best first; ``digits=None`` keeps six decimals."""
-    means = mean_by(rated(h), [by], F.col("_rating"), "_mean")
+    means = group_means(h, by)
     return means.select(by, half_up("_mean", 6 if digits is None else digits).alias(out)).orderBy(F.desc(out), by)
 
 
 def rank_groups(h: DataFrame, by: str, out: str) -> DataFrame:
-    """Groups ranked by their unrounded mean rating.
-
-    The group means are written once and counted: the levels of a category column (states,
-    ownership kinds) take one small window, a column with very many levels is range-placed.
-    """
-    means = materialize(mean_by(rated(h), [by], F.col("_rating"), "_mean"), "means")
-    if means.count() <= BROADCAST_ROWS:
-        ranked = means.withColumn(out, F.rank().over(Window.orderBy(F.desc_nulls_last("_mean"))).cast("long"))
-    else:
-        ranked = rank_rows(means, [("_mean", "desc")], [by], out)
+    """Groups ranked by their unrounded mean rating, range-placed whatever their number."""
+    ranked = rank_rows(group_means(h, by), [("_mean", "desc")], [by], out)
     return ranked.select(by, half_up("_mean", 2).alias("average_rating"), out).orderBy(out, by)
 
 

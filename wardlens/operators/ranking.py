@@ -19,7 +19,6 @@ from wardlens.sources.scratch import materialize
 
 Order = tuple[str, str]  # (column, "asc" | "desc")
 
-BROADCAST_ROWS = 100_000
 _INDEX_BITS = 33  # monotonically_increasing_id: partition above, row index below
 
 
@@ -28,40 +27,37 @@ def _sort_key(order: Order) -> Column:
     return F.col(name).desc_nulls_last() if way == "desc" else F.col(name).asc_nulls_first()
 
 
-def join_by_size(
-    big: DataFrame, small: DataFrame, on: Sequence[str], limit: int = BROADCAST_ROWS, at_most: int | None = None
-) -> DataFrame:
-    """Inner null-safe join; ``small`` is broadcast only when counted to be small.
-
-    Above ``limit`` rows it is a shuffle join, whose hot keys adaptive execution splits.
-    ``at_most`` is a number of rows ``small`` is known not to exceed, which may save the count.
-    """
-    fits = (at_most is not None and at_most <= limit) or small.limit(limit + 1).count() <= limit
+def join_null_safe(big: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join in which NULL equals NULL. Adaptive execution picks the strategy by the sides'
+    real sizes and splits hot keys."""
     renamed = small.select(
         *[F.col(c).alias(f"_j_{c}") for c in on], *[c for c in small.columns if c not in on]
     )
     match = [F.col(c).eqNullSafe(F.col(f"_j_{c}")) for c in on]
-    joined = big.join(F.broadcast(renamed) if fits else renamed, match, "inner")
+    joined = big.join(renamed, match, "inner")
     return joined.drop(*[f"_j_{c}" for c in on])
 
 
 def sort_rows(df: DataFrame, *keys: Column | str) -> DataFrame:
     """Global sort that also splits rows with equal keys over tasks.
 
-    The row's place in its input is the last sort key, so a name shared by a third of the
-    rows does not end in one range partition.
+    The input is written first, and a row's place in that table is the last sort key: a name
+    shared by a third of the rows does not end in one range partition, and a task that runs
+    again gives its rows the same places.
     """
+    df = materialize(df, "sorted")
     return df.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*keys, "_tie").drop("_tie")
 
 
 def place_rows(df: DataFrame, keys: Sequence[Column]) -> tuple[DataFrame, int]:
     """Rows with their 1-based global position ``_pos`` in the order ``keys``, and their number
-    (from the footers of the written table).
+    (from the footers of the written table). The input is written before it is numbered.
 
     Rows with equal keys are in no certain order among themselves, and may lie in several partitions.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = [*keys, F.col("_tie")]
+    df = materialize(df, "unplaced")  # a scan numbers its rows alike whenever a task runs again
     placed = materialize(
         df.withColumn("_tie", F.monotonically_increasing_id())
         .repartitionByRange(parts, *spread)
@@ -97,12 +93,12 @@ def number_rows(
 ) -> DataFrame:
     """``row_number() over (partition by within order by by, tie)``."""
     order = [*[(c, "asc") for c in within], *by, *[(c, "asc") for c in tie]]
-    placed, total = place_rows(df, [_sort_key(o) for o in order])
+    placed, _ = place_rows(df, [_sort_key(o) for o in order])
     if not within:
         return placed.withColumnRenamed("_pos", out)
     starts = placed.groupBy(*within).agg(F.min("_pos").alias("_start"))
     return (
-        join_by_size(placed, starts, list(within), at_most=total)
+        join_null_safe(placed, starts, list(within))
         .withColumn(out, F.col("_pos") - F.col("_start") + 1)
         .drop("_pos", "_start")
     )
@@ -113,39 +109,32 @@ def rank_rows(df: DataFrame, by: Sequence[Order], tie: Sequence[str], out: str =
 
     ``tie`` only spreads equal rows over tasks; it does not change the rank.
     """
-    placed, total = place_rows(df, [_sort_key(o) for o in [*by, *[(c, "asc") for c in tie]]])
+    placed, _ = place_rows(df, [_sort_key(o) for o in [*by, *[(c, "asc") for c in tie]]])
     keys = [c for c, _ in by]
     firsts = placed.groupBy(*keys).agg(F.min("_pos").alias(out))
-    return join_by_size(placed, firsts, keys, at_most=total).drop("_pos")
+    return join_null_safe(placed, firsts, keys).drop("_pos")
 
 
-def running_total(
-    df: DataFrame, by: Sequence[Order], value: str, out: str, limit: int = BROADCAST_ROWS
-) -> DataFrame:
+def running_total(df: DataFrame, by: Sequence[Order], value: str, out: str) -> DataFrame:
     """Sum of ``value`` over all rows before this one; ``by`` holds distinct keys.
 
-    The frame is written once. Counted to be small, it takes one plain window. A larger
-    one is range-placed: totals per partition are added up, and the window runs inside
-    each partition.
+    The frame is range-placed and written: totals per partition are added up, and the window
+    runs inside each partition.
     """
     keys = [_sort_key(o) for o in by]
-    df = materialize(df, "totals")
-    if df.count() <= limit:
-        before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = materialize(df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()), "totals")
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy("_part")
         .agg(F.sum(value).alias("_sum"))
-        .select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+        .select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_ahead"))
     )
     inside = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     return (
         placed.join(F.broadcast(offsets), "_part")
-        .withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .drop("_part", "_before")
+        .withColumn(out, F.col("_ahead") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .drop("_part", "_ahead")
     )
 
 
@@ -157,7 +146,7 @@ def rank_by_value(df: DataFrame, key: str, way: str = "desc", out: str = "rank")
     """
     counts = df.groupBy(key).agg(F.count("*").alias("_rows"))
     ranks = running_total(counts, [(key, way)], "_rows", "_before")
-    return join_by_size(df, ranks.select(key, (F.col("_before") + 1).alias(out)), [key])
+    return join_null_safe(df, ranks.select(key, (F.col("_before") + 1).alias(out)), [key])
 
 
 def ntile_rows(df: DataFrame, tiles: int, by: Sequence[Order], tie: Sequence[str], out: str = "tile") -> DataFrame:

@@ -31,17 +31,21 @@ def _field(df: DataFrame, fields: dict[str, tuple[str, ...]], name: str) -> Colu
 
 
 def load_general(df: DataFrame, keys: Sequence[str] = ONE_RELEASE) -> DataFrame:
-    """Typed hospital record; of repeated ids the first in file order stays (``row_seq``)."""
+    """Typed hospital record; of repeated ids the first in file order stays (``row_seq``).
+
+    Without ``row_seq`` the smallest record stays, compared column by column. A blank id is no id.
+    """
 
     def text(name: str) -> Column:
         return strip(_field(df, GENERAL_FIELDS, name))
 
     has_county = any(c in df.columns for c in (*GENERAL_FIELDS["county_parish"], "county_parish"))
-    order = [df["row_seq"].alias("_seq")] if "row_seq" in df.columns else [F.lit(0).alias("_seq")]
+    in_file = df["row_seq"] if "row_seq" in df.columns else F.struct(*[df[f"`{c}`"] for c in df.columns])
+    order = [in_file.alias("_seq")]
     rows = df.select(
         *_period(df, keys),
         *order,
-        text("facility_id").alias("facility_id"),
+        F.nullif(text("facility_id"), F.lit("")).alias("facility_id"),
         text("facility_name").alias("facility_name"),
         text("state").alias("state"),
         (text("county_parish") if has_county else F.lit("")).alias("county"),
@@ -60,7 +64,7 @@ def _long(df: DataFrame, keys: Sequence[str], fields: dict[str, tuple[str, ...]]
     """Key columns and numeric values of a long table; rows without an id go."""
     rows = df.select(
         *_period(df, keys),
-        strip(_field(df, fields, "facility_id")).alias("facility_id"),
+        F.nullif(strip(_field(df, fields, "facility_id")), F.lit("")).alias("facility_id"),
         *[to_num(_field(df, fields, source)).alias(out) for out, source in values.items()],
     )
     return rows.filter(F.col("facility_id").isNotNull())

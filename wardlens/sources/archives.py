@@ -60,10 +60,11 @@ def _encoding(release: zipfile.ZipFile, member: str) -> str:
 
 
 def _members(release: zipfile.ZipFile) -> dict[str, str]:
-    """Table -> member for the three files; empty when fewer than three are there."""
+    """Table -> member for the three files; empty unless all three are there."""
     names = {file: table for table, file in RELEASE_FILES.items()}
     hits = [(names[base], m) for m in release.namelist() if (base := m.split("/")[-1].lower()) in names]
-    return dict(hits) if len(hits) >= len(names) else {}
+    found = dict(hits)
+    return found if set(found) == set(names.values()) else {}
 
 
 def _release_rows(release: zipfile.ZipFile) -> Iterator[pd.DataFrame]:

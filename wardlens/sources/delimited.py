@@ -30,23 +30,32 @@ def row_order() -> Column:
     )
 
 
-def file_encodings(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
-    """Files below ``path`` by encoding: UTF-8 when every line is valid UTF-8, else ISO-8859-1.
+def file_layouts(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, str], list[str]]:
+    """Files below ``path`` by encoding (UTF-8 when every line is valid UTF-8, else ISO-8859-1) and heading line.
 
     The text source hands over raw bytes, so the test runs split by split on the
-    executors; one row per file comes back.
+    executors; one row per file comes back, with a digest of its first line.
     """
     valid = F.bool_and(F.is_valid_utf8("value"))
+    heading = F.min_by(F.md5(F.btrim("value", F.lit(" \t\r")).cast("binary")), F.struct("order.block", "order.row"))
     rows = (
         spark.read.text(path)
-        .select(F.col("_metadata.file_path").alias("file"), "value")
+        .select(F.col("_metadata.file_path").alias("file"), "value", row_order().alias("order"))
         .groupBy("file")
-        .agg(valid.alias("utf8"))
+        .agg(valid.alias("utf8"), heading.alias("heading"))
         .collect()
     )
-    found: dict[str, list[str]] = {}
+    found: dict[tuple[str, str], list[str]] = {}
     for row in sorted(rows):
-        found.setdefault("UTF-8" if row.utf8 else "ISO-8859-1", []).append(row.file)
+        found.setdefault(("UTF-8" if row.utf8 else "ISO-8859-1", row.heading), []).append(row.file)
+    return found
+
+
+def file_encodings(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """Files below ``path`` by encoding."""
+    found: dict[str, list[str]] = {}
+    for (encoding, _), files in file_layouts(spark, path).items():
+        found[encoding] = sorted([*found.get(encoding, []), *files])
     return found
 
 
@@ -55,12 +64,13 @@ def _heading(name: str) -> str:
 
 
 def read_release_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
-    """One release file (or files of one layout) as text, with trimmed headings.
+    """One release file (or several) as text, with trimmed headings.
 
-    ``row_seq`` records file order. Files of both encodings may lie side by side.
+    ``row_seq`` records file order. Files of both encodings and with different headings may
+    lie side by side: each heading is read with its own files, and columns match by name.
     """
     parts = []
-    for encoding, files in file_encodings(spark, path).items():
+    for (encoding, _), files in file_layouts(spark, path).items():
         raw = spark.read.options(**_CSV, encoding=encoding, multiLine=multi_line).csv(files)
         names = [_heading(c) for c in raw.columns]
         parts.append(

@@ -14,6 +14,15 @@ from wardlens.sources.delimited import read_release_csv
 from wardlens.sources.schemas import FEATURES, PREBUILT_FILE, RELEASE_FILES, conform
 
 
+def has_csv(spark: SparkSession, root: str) -> bool:
+    """Whether any CSV file lies below ``root``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
+    try:
+        return not files.load(root).select("path").isEmpty()
+    except AnalysisException:
+        return False
+
+
 def release_folders(spark: SparkSession, root: str) -> dict[str, dict[str, str]]:
     """Release label -> {lower-cased file name: path}. Only names are listed, nothing is read."""
     try:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from checks.provider_tables import provider
 from wardlens.operators import experience as e
@@ -34,7 +35,7 @@ def _view(name: str, order: list[str], *tables: str) -> Callable[[Callable[...,
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             fn(*[provider(spark, sf_dir, n) for n in tables]).createOrReplaceTempView(name)
             view = spark.table(name)
-            return sort_rows(view, *[view[c].desc() for c in order]) if order else view
+            return sort_rows(view, *[F.desc(c) for c in order]) if order else view
 
         return run
 

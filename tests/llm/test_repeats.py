@@ -85,6 +85,14 @@ def test_bytes(spark, seed, hot):
     assert sum(w[1] for w in want.values()) > 0
 
 
+def test_frequent_passages_of_rare_words(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(45)) for c in "abcdef"]
+    rows = [(k, texts[k % 6]) for k in range(18)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = phrase_automata.remove_repeats(docs, hot=0).collect()
+    assert {r.doc_id: tuple(r[1:]) for r in got} == phrase_reference(rows, 20)
+
+
 @pytest.mark.parametrize("operator", [phrase_automata, suffix_buckets])
 def test_odd_rows(spark, operator):
     text = " ".join(f"w{k}" for k in range(80))

@@ -27,12 +27,13 @@ PER_SHARD = 25_000
 _BREAK, _OTHER, _SURROGATES = 0, 1, 0xD800
 
 
-def _letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """A code point per word: equal for equal words; words that occur once in the shard share one, not used in patterns."""
+def _letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """A code point per word, equal for equal words. Words that occur once in the shard share one; no pattern
+    holds them, but for segments that stand for several (``own``), whose words all have their own."""
     _, first, back, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
     codes: dict[bytes, int] = {}
     letter = np.full(len(first), _OTHER, np.uint32)
-    for k in np.flatnonzero(times > 1).tolist():
+    for k in np.flatnonzero((times > 1) | own[first]).tolist():
         code = codes.setdefault(data[starts[first[k]] : ends[first[k]]].tobytes(), len(codes) + 2)
         letter[k] = code if code < _SURROGATES else code + 0x800
     if len(codes) > 1_100_000:
@@ -61,7 +62,7 @@ def locate(shard: anchors.Shard, window: int) -> tuple[np.ndarray, np.ndarray, n
     patterns = earliest[(times > 1) | shard.repeated[segment[earliest]]]
     if not len(patterns):
         return none, none, none
-    letters = _letters(shard.data, starts, ends, hashes)
+    letters = _letters(shard.data, starts, ends, hashes, shard.repeated[rows])
     # one text for the shard, with a break between segments; the iterator copies its text per call
     spread = np.full(len(letters) + len(shard.ids), _BREAK, np.uint32)
     spread[np.arange(len(letters)) + rows] = letters

@@ -5,6 +5,7 @@ from __future__ import annotations
 from checks.oracle_catalogue import even, over, up
 from checks.provider_tables import ctes
 
+# Column names of the feature table.
 METRICS = ("patient_star_avg", "survey_response_rate", "timely_care_avg", "overall_rating", "composite_risk_score")
 LENGTH_COLUMNS = (
     "facility_id", "facility_name", "city_town", "state", "county_parish", "hospital_type", "hospital_ownership",

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from checks.oracle_catalogue import even, over
 from checks.oracle_jobs import feature_ctes
+from wardlens.models.columns import CATEGORICAL as CATS
+from wardlens.models.columns import CLF_NUMERIC as CLF
+from wardlens.models.columns import REG_NUMERIC as REG
 
-CATS = ("state", "hospital_type", "hospital_ownership")
-REG = ("emergency_services", "survey_response_rate", "completed_surveys", "timely_care_avg")
-CLF = (*REG, "patient_star_avg")
 RARE_BELOW = 60
 
 _CLF_ROWS = f"clf AS (SELECT facility_id, {', '.join(CATS + CLF)}, CAST(is_underperformer AS DOUBLE) AS label FROM feat)"

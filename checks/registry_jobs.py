@@ -26,6 +26,7 @@ def on(*names: str) -> Callable[[Callable[..., DataFrame]], Query]:
 
 # --- profiling -------------------------------------------------------------------
 
+# Published column names.
 CATEGORIES = ("birthing_friendly", "emergency_services", "overall_rating", "hospital_type", "hospital_ownership")
 
 

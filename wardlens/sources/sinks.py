@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet") -> None:
-    """Replace the table at ``path``; CSV gets a heading line."""
+    """Replace the table at ``path``; CSV gets a heading line.
+
+    Rows of a partitioned table are brought together by partition first, so that there are few files
+    per partition; adaptive execution splits the large ones.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True).option("quote", '"').option("escape", '"')

@@ -1,7 +1,7 @@
 """Personal data replaced by format-preserving pseudonyms (operator 8).
 
-Validated numbers (payment cards by length, leading digit and Luhn check, phone numbers,
-IPv4 addresses), dates and e-mail addresses are permuted within their own format by a keyed
+Validated numbers (payment cards of 13 to 19 digits by leading digit 2 to 6 and Luhn check, phone
+numbers with any area code, IPv4 addresses), dates and e-mail addresses are permuted within their own format by a keyed
 Feistel network: a card becomes a card with a valid check digit, a date a date of the
 same layout, an address an address in the same domain. A permutation has no collisions, so
 equal values stay linked across documents and different values stay apart.
@@ -29,8 +29,17 @@ KINDS = ("email", "card", "phone", "ipv4", "date")
 ROUNDS = 10
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _EMAIL = r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-]))"
-_CARD = r"(?P<card>(?<![\w.-])[3-6][0-9]{3}(?P<gap>[ -]?)[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{4}(?![\w-]))"
-_PHONE = r"(?P<phone>(?<![\w+.-])(?:\+1[ .-]?)?\([2-9][0-9]{2}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w+.-])(?:\+1[ .-]?)?[2-9][0-9]{2}[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-]))"
+# Cards of 13 to 19 digits in one piece or in the usual groups. A short last group may be the start of another
+# value (a phone number, an address), so what follows it decides.
+_TAIL = r"(?![\w@%+-]|[./]\w|[ .-][0-9]{3}[ .-][0-9]{4})"
+_CARD = (
+    r"(?P<card>(?<![\w.-])(?:[2-6][0-9]{12,18}(?![\w-])|[2-6][0-9]{3}(?P<gap>[ -])(?:"
+    r"[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{4}(?![\w-])"
+    r"|[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)(?:[0-9]{4}(?P=gap))?[0-9]{1,3}" + _TAIL + r"|[0-9]{4}(?P=gap)[0-9]{5}" + _TAIL
+    + r"|[0-9]{6}(?P=gap)[0-9]{4,5}" + _TAIL + r")|[2-6][0-9]{5}[ -][0-9]{7,13}" + _TAIL + "))"
+)
+_LONG = re.compile(r"[2-6][0-9]{3}(?: [0-9]{4}){3} [0-9]{1,3}" + _TAIL, re.ASCII)
+_PHONE = r"(?P<phone>(?<![\w+.-])(?:\+1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w+.-])(?:\+1[ .-]?)?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-]))"
 _IPV4 = r"(?P<ipv4>(?<![\w.-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w-]|\.[0-9]))"
 _DATE = r"(?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w/-]|\.[0-9]))"
 _ANY = re.compile("|".join((_EMAIL, _CARD, _PHONE, _IPV4, _DATE)), re.ASCII)
@@ -88,20 +97,30 @@ def _refill(pattern: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in pattern)
 
 
+def _valid(digits: str) -> bool:
+    return luhn_digit(digits[:-1]) == digits[-1]
+
+
 def _card(f: Feistel, text: str, inverse: bool) -> str | None:
+    """Cards of one length among themselves. Of 16 digits and a blank group more, the 16 are the card if they
+    pass the check alone; so longer images are permuted again until their first 16 digits fail it."""
     digits = re.sub("[^0-9]", "", text)
-    if luhn_digit(digits[:-1]) != digits[-1]:
+    if not _valid(digits):
         return None
-    body = digits[1:-1]
-    image = digits[0] + str(f.permute("card", int(body), 10 ** len(body), inverse)).zfill(len(body))
-    return _refill(text, image + luhn_digit(image))
+    image = digits
+    while True:
+        body = image[1:-1]
+        image = digits[0] + str(f.permute("card", int(body), 10 ** len(body), inverse)).zfill(len(body))
+        image += luhn_digit(image)
+        if text.count(" ") < 4 or not _valid(image[:16]):
+            return _refill(text, image)
 
 
 def _phone(f: Feistel, text: str, inverse: bool) -> str:
     head = text.startswith("+1")
     digits = re.sub("[^0-9]", "", text)[1 if head else 0 :]
-    value = f.permute("phone", int(digits) - 2 * 10**9, 8 * 10**9, inverse) + 2 * 10**9
-    return _refill(text, ("1" if head else "") + str(value))
+    value = f.permute("phone", int(digits), 10**10, inverse)
+    return _refill(text, ("1" if head else "") + str(value).zfill(10))
 
 
 def _ipv4(f: Feistel, text: str, inverse: bool) -> str | None:
@@ -167,6 +186,8 @@ def pseudonymize(f: Feistel, text: str, inverse: bool = False) -> tuple[str, lis
     parts, spans, at = [], [], 0
     for m in _ANY.finditer(text):
         new = _MAKERS[kind := m.lastgroup if m.lastgroup != "gap" else "card"](f, m[0], inverse)
+        if new is None and kind == "card" and (longer := _LONG.match(text, m.start())):
+            m, new = longer, _card(f, longer[0], inverse)
         if new is None:
             continue
         parts += [text[at : m.start()], new]

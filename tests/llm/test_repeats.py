@@ -112,3 +112,30 @@ def test_refinement_in_one_piece():
     flags = suffix_buckets.refine(np.frombuffer(data, np.uint8), np.full(len(data), len(data)), 50)
     want = [data.count(data[s : s + 50]) > 0 and len(re.findall(b"(?=" + data[s : s + 50] + b")", data)) > 1 if s + 50 <= len(data) else False for s in range(len(data))]
     assert flags.tolist() == want
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_frequent_anchors_are_counted_by_occurrence(spark, words):
+    import numpy as np
+    import pyarrow as pa
+
+    from wardlens.llm import anchors
+
+    text = " ".join(f"w{k}" for k in range(80))
+    docs = spark.createDataFrame([(k, text) for k in range(60)], "doc_id long, text string").coalesce(1)
+    shape = anchors.Shape(words=words, window=20 if words else 200, gram=6 if words else 32, hot=50)
+    found = anchors.recurring(docs, shape).collect()
+    assert found and all(r.hot for r in found)
+    places = sorted({r.place for r in found})
+    kept = {}
+    for hot in (False, True):
+        lists = [[] if hot else places] * 60, [places if hot else []] * 60
+        columns = [pa.array(range(60)), pa.array([text.encode()] * 60), *(pa.array(x, pa.list_(pa.int64())) for x in lists)]
+        batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "cold", "hot"])
+        rows = [r for out in anchors._cut(shape, 3)([batch]) for r in out.to_pylist()]
+        kept[hot] = sum(r["n"] for r in rows if r["kind"] != 1)
+        known = [(r["n"], np.frombuffer(r["counts"], np.int32).sum()) for r in rows if r["kind"] == 1]
+        windows = len(text.split()) - 19 if words else len(text) - 199
+        assert sum(n for _, n in known) == 59 * windows
+        assert not hot or sum(n for n, _ in known) == 59  # neighbouring windows as one run
+    assert kept[True] == windows and kept[False] < windows

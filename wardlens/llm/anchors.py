@@ -7,13 +7,14 @@ windows have equal anchors at equal places: a window can only recur if its ancho
 two of ``window - gram + 2`` positions are anchors, and only these are shuffled.
 
 1. ``recurring``: anchors are bucketed by hash and packed into a few binary rows per Arrow
-   batch. Inside a batch only the first occurrence of an anchor goes to the anchor's bucket;
-   later ones are known to recur and pass through buckets of their own documents. A bucket
-   so receives each anchor once per batch at most, however frequent it is.
+   batch. Inside a batch only the first occurrence of an anchor goes to the anchor's bucket,
+   with the number of occurrences it stands for; later ones are known to recur and pass
+   through buckets of their own documents. A bucket so receives each anchor once per batch at
+   most, however frequent it is.
 2. ``segments``: for every recurring anchor, the piece of text that covers the windows it is
    the anchor of goes to a shard chosen by the anchor, so all occurrences of a window meet in
-   one shard. Windows of very frequent anchors travel one by one, sharded by their own hash,
-   and only the first of equal ones per block; the operator is told of the others.
+   one shard. Windows of very frequent anchors travel one by one, sharded by their own hash.
+   Of equal segments in a batch only the first travels; the operator is told of the others.
 """
 
 from __future__ import annotations
@@ -134,11 +135,13 @@ def _scan(shape: Shape, buckets: int) -> Callable:
         times = np.diff(np.concatenate([np.flatnonzero(first), [len(order)]]))
         once, again = order[first][times == 1], order[first][times > 1]
         rows = []
+        of = np.zeros(len(order), np.int64)  # occurrences that the first one stands for
+        of[order[first]] = times
         own = arrays.mix(ids.astype(np.uint64))
         for kind, some, key in ((0, np.sort(once), hashes), (2, np.sort(again), hashes), (1, np.sort(order[~first]), own)):
             for b, part in _by_bucket((key[some] % np.uint64(buckets)).astype(np.int64)):
                 at = some[part]
-                rows.append(pack(b, kind, hashes[at].tobytes(), ids[at], places[at], [], []))
+                rows.append(pack(b, kind, hashes[at].tobytes(), ids[at], places[at], of[at], []))
         yield from _emit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,20 +166,22 @@ def _scan(shape: Shape, buckets: int) -> Callable:
 
 
 def _repeats(table: pa.Table) -> pa.Table:
-    """Occurrences in a bucket whose anchor occurs at least twice, with how often the bucket saw it."""
-    hashes, ids, places, kinds = [], [], [], []
-    for row in table.select(["kind", "n", "data", "ids", "starts"]).to_pylist():
+    """Occurrences in a bucket whose anchor occurs at least twice, with how often it occurs."""
+    hashes, ids, places, kinds, times = [], [], [], [], []
+    for row in table.select(["kind", "n", "data", "ids", "starts", "counts"]).to_pylist():
         hashes.append(np.frombuffer(row["data"], np.uint64))
         ids.append(unpack_ids(row["ids"], row["n"]))
         places.append(np.frombuffer(row["starts"], np.int32))
         kinds.append(np.full(row["n"], row["kind"], np.int8))
-    hashes, ids, places, kinds = (np.concatenate(x) for x in (hashes, ids, places, kinds))
+        times.append(np.frombuffer(row["counts"], np.int32))
+    hashes, ids, places, kinds, times = (np.concatenate(x) for x in (hashes, ids, places, kinds, times))
     seen = np.zeros(len(hashes), np.int64)
     own = np.flatnonzero(kinds != 1)
     order = own[np.argsort(hashes[own], kind="stable")]
-    cut = np.flatnonzero(np.diff(hashes[order])) + 1
-    runs = np.diff(np.concatenate([[0], cut, [len(order)]])) if len(order) else np.zeros(0, np.int64)
-    seen[order] = np.repeat(runs, runs)
+    if len(order):
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(hashes[order])) + 1])
+        total = np.add.reduceat(times[order].astype(np.int64), cut)
+        seen[order] = np.repeat(total, np.diff(np.concatenate([cut, [len(order)]])))
     keep = (kinds > 0) | (seen > 1)
     return pa.table(
         {
@@ -251,9 +256,10 @@ def _segments(found, shape, ids, items, marks, start, anchor, hashes) -> int:
             size += _add(found, shape, ids, items, single[at[some]], ones[some], run[at[some]], kind)
         later = np.ones(len(single), bool)
         later[at] = False
-        w = single[later]
-        key = arrays.mix(w.astype(np.uint64))
-        found.append((1, key, ids[items.rows[w]], items.places(w), np.ones(len(w), np.int64), [b""] * len(w)))
+        w = np.sort(single[later])
+        first, counts = consecutive(np.ones(len(w), bool), w - np.arange(len(w)) + items.rows[w])
+        w = w[first]  # neighbours go as one run; a new row raises the group number, as a gap does
+        found.append((1, arrays.mix(w.astype(np.uint64)), ids[items.rows[w]], items.places(w), counts, [b""] * len(w)))
     return size
 
 
@@ -264,9 +270,35 @@ def _add(found, shape, ids, items, start, counts, keys, kind) -> int:
     return int((high - low).sum())
 
 
+def _once(found: list) -> list:
+    """Of equal segments the one with the smallest (doc_id, start) as kind 2, the others as known repeats."""
+    parts = [x for x in found if x[0] != 1 and len(x[1])]
+    if not parts:
+        return found
+    kinds = np.concatenate([np.full(len(x[1]), x[0]) for x in parts])
+    keys, ids, places, counts = (np.concatenate([x[k] for x in parts]) for k in range(1, 5))
+    texts = [t for x in parts for t in x[5]]
+    groups: dict[bytes, int] = {}
+    group = np.fromiter((groups.setdefault(t, len(groups)) for t in texts), np.int64, len(texts))
+    several = np.bincount(group) > 1
+    several[group[kinds == 2]] = True
+    order = np.lexsort((places, ids, group))
+    lead = np.ones(len(order), bool)
+    lead[1:] = group[order[1:]] != group[order[:-1]]
+    out = [x for x in found if x[0] == 1]
+    for kind, at in (
+        (0, order[lead & ~several[group[order]]]), (2, order[lead & several[group[order]]]), (1, order[~lead]),
+    ):
+        at = np.sort(at)
+        own = arrays.mix(ids[at].astype(np.uint64) + places[at].astype(np.uint64)) if kind == 1 else keys[at]
+        some = [b""] * len(at) if kind == 1 else [texts[k] for k in at.tolist()]
+        out.append((kind, own, ids[at], places[at], counts[at], some))
+    return out
+
+
 def _packed(found: list, shards: int) -> list[dict]:
-    """The segments found, one row per shard and kind."""
-    rows = []
+    """The segments found, one row per shard and kind; equal ones once."""
+    rows, found = [], _once(found)
     for kind in (0, 1, 2):
         parts = [x[1:] for x in found if x[0] == kind and len(x[1])]
         if not parts:

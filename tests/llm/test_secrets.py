@@ -58,3 +58,35 @@ def test_battery_is_calibrated():
     values = [secret_battery.battery("".join(rng.choice("0123456789abcdef") for _ in range(40)), "hex") for _ in range(2000)]
     assert sum(v < 0.05 for v in values) / 2000 < 0.09
     assert secret_battery.battery("abababababababababababab", "hex") < 1e-6
+
+
+def test_named_and_path_secrets(spark):
+    rng = random.Random(8)
+    base62 = string.ascii_letters + string.digits
+    draw = lambda n, more="": "".join(rng.choice(base62 + more) for _ in range(n))
+    forms = [
+        ("private_key={}", ""), ("DB_PASS={}", "+/"), ("https://host.example/get?sig={}", ""), ("client_key={}==", "+/"),
+        ("https://host.example/files/report-{}/view_all", ""), ("/srv/data_{}", ""), ("a/b-c_{}/plain-text_words/and-more", ""),
+        ("key_{}", "+/"), ("/static/files/{}", "-_"), ("{}", "+/"), ("{}", "-_"),
+    ]
+    plain = ["/usr/share/some-long_directory/name-of-file", "first_name=second_name=third_name_and_more", "well-known/state-of-the-art_item"]
+    words = ["thereof", "and", "the", "Other", "small", "word", *plain]
+    rows, want = [], {}
+    for k in range(120):
+        text = [rng.choice(words) for _ in range(60)]
+        if k % 4 == 0:
+            form, more = forms[k // 4 % len(forms)]
+            want[k] = draw(48, more)
+            text.insert(30, form.format(want[k]))
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in secret_battery.scan(docs).collect():
+        text = rows[r.doc_id][1]
+        spans = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s]
+        if r.doc_id not in want:
+            assert not spans, [text[a:b] for a, b in spans]
+            continue
+        a = text.index(want[r.doc_id])
+        covered = sum(max(0, min(y, a + 48) - max(x, a)) for x, y in spans)
+        assert covered >= 43, (text[a - 20 : a + 60], spans)
+        assert all(x >= a - 40 and y <= a + 80 for x, y in spans)

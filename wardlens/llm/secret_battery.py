@@ -1,6 +1,8 @@
 """Secret scans by fixed patterns and a battery of randomness tests (operator 9).
 
-The patterns give the base spans. Other long tokens are tested: an encoding is inferred (the
+The patterns give the base spans. Other long tokens are tested, cut at inner equals signs (name=value)
+and, besides as a whole, in the parts between '-' and '_', between '/' and '+', and between all four: of
+overlapping parts the least text-like counts, at a level lowered for the choice. An encoding is inferred (the
 smallest alphabet that holds all characters), and chi-squared uniformity over that alphabet, a
 runs test about its middle and the serial correlation of neighbours are combined after Fisher.
 A token that looks random is a secret only if ordinary text does not explain it: with the
@@ -13,6 +15,7 @@ of p-values in fine bins, so no list of tokens is ever sorted in one place.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -36,6 +39,9 @@ _WORDS = ("password", "passwd", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+_PIECE = re.compile("[^=]+")
+_SPLITS = (re.compile("[^_-]+"), re.compile("[^/+]+"), re.compile("[^/+_-]+"))
+MIN_TOKEN = 20
 _DIGITS, _LOW, _HIGH = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALPHABETS = {
     "decimal": _DIGITS, "hex": _DIGITS + "abcdef", "HEX": _DIGITS + "ABCDEF", "base32": _HIGH + "234567",
@@ -103,6 +109,40 @@ def text_level(token: str, name: str, logs: dict[str, float]) -> float:
     return max(0.0, (ratio - math.log(len(ALPHABETS))) / math.log(10))
 
 
+def parts(token: str) -> list[tuple[list[tuple[int, int]], int]]:
+    """Per piece of a token between equals signs: bounds of the parts to test, and in how many ways it was cut."""
+    out = []
+    for m in _PIECE.finditer(token):
+        cuts = {((m.start(), m.end()),)}
+        cuts |= {tuple(x.span() for x in split.finditer(token, m.start(), m.end())) for split in _SPLITS}
+        spans = sorted({(a, b) for cut in cuts for a, b in cut if b - a >= MIN_TOKEN and encoding(token[a:b])})
+        if spans:
+            out.append((spans, len(cuts)))
+    return out
+
+
+def token_levels(token: str, blocked: list[tuple[int, int]], logs: dict[str, float], p_random: float) -> list[tuple[int, int, float]]:
+    """(start, end, level) of the tested parts of a token, none over another or over ``blocked``, in order."""
+    out = []
+    for spans, ways in parts(token):
+        tried = []
+        for a, b in spans:
+            if any(x < b and a < y for x, y in blocked):
+                continue
+            name = encoding(token[a:b])
+            random = battery(token[a:b], name) >= p_random
+            tried.append((max(0.0, text_level(token[a:b], name, logs) - math.log10(ways)) if random else 0.0, a, b))
+        end_of: dict[int, int] = {}
+        starts: list[int] = []
+        for level, a, b in sorted(tried, key=lambda t: (-t[0], t[1] - t[2], t[1])):
+            k = bisect.bisect_left(starts, a)
+            if (k == 0 or end_of[starts[k - 1]] <= a) and (k == len(starts) or b <= starts[k]):
+                starts.insert(k, a)
+                end_of[a] = b
+                out.append((a, b, level))
+    return sorted(out)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(256, np.int64)
     for batch in batches:
@@ -127,12 +167,11 @@ def _scan(logs: dict[str, float], p_random: float):
                 bases.append([{"start": a, "kind": k, "stop": b} for a, k, b in base])
                 tested = []
                 for m in _TOKEN.finditer(text):
-                    token = m[0].rstrip("=")
-                    if any(a < m.end() and m.start() < b for a, _, b in base) or len(token) < 20:
-                        continue
-                    name = encoding(token)
-                    level = 0.0 if name is None or battery(token, name) < p_random else text_level(token, name, logs)
-                    tested.append({"start": m.start(), "kind": 3, "stop": m.end(), "level": level})
+                    token, at = m[0].rstrip("="), m.start()
+                    blocked = [(a - at, b - at) for a, _, b in base if a < m.end() and at < b]
+                    for a, b, level in token_levels(token, blocked, logs, p_random):
+                        stop = m.end() if b == len(token) else at + b  # padding belongs to the last part
+                        tested.append({"start": at + a, "kind": 3, "stop": stop, "level": level})
                 tests.append(tested)
             span = [("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())]
             columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in numbers), pa.array(digests, pa.string())]

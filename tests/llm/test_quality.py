@@ -118,3 +118,25 @@ def test_odd_rows(spark):
     kept = outliers.keep_good(docs)
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1, 1]
     assert outliers.judge(docs.limit(0)).count() == 0 and outliers.keep_good(docs.limit(0)).count() == 0
+
+
+def test_each_statistic_alone_can_reject(spark):
+    rng = random.Random(12)
+    word = lambda low=3, high=9: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(low, high)))
+    lines = lambda n, *sizes: [" ".join(word(*sizes) for _ in range(9)) for _ in range(n)]
+    rows = [(k, "\n".join(lines(rng.randint(18, 26)))) for k in range(300)]
+    body = lines(20)
+    boiler = [x for line in body for x in (line, "menu")]
+    repeated = " ".join(body).split()
+    repeated[100:115] = repeated[20:35]  # 30 of 180 words
+    planted = {
+        "dup_lines": "\n".join(boiler), "repeats": "\n".join(" ".join(repeated[k : k + 9]) for k in range(0, 180, 9)),
+        "symbols": "\n".join(x[:-6] + "#*$%#*" for x in body), "log_length": "\n".join(lines(20, 11, 15)),
+        "upper": "\n".join(lines(20)).upper(), "log_words": "\n".join(lines(1500)),
+    }
+    rows += [(1000 + k, text) for k, text in enumerate(planted.values())]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in outliers.judge(docs).collect()}
+    assert all(got[k].kept for k in range(300))
+    for k, name in enumerate(planted):
+        assert not got[1000 + k].base_failed and not got[1000 + k].kept, (name, got[1000 + k])

@@ -115,6 +115,68 @@ FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT node, min(pos) AS low FR
 """
 
 
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR) || ':' || {value} END"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes of trees of eight-fold runs, and beside each node below a top what stands in its run."""
+    return f"""
+{name} AS (
+  SELECT tree, 0 AS level, pos, n, digest FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 8),
+{name}_side AS (
+  SELECT tree, level, pos,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY tree, level, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY tree, level, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM {name} WHERE n > 1)"""
+
+
+def _walk(name: str, tree: str, start: str) -> str:
+    """Folded digest and siblings of each start (id, tree, pos, acc, proof), level by level."""
+    return f"""
+{name} AS (
+  SELECT id, tree, 0 AS level, pos, acc, proof FROM ({start})
+  UNION ALL
+  SELECT id, w.tree, w.level + 1, w.pos // 8, sha256(before || acc || after), proof || before || after
+  FROM {name} w JOIN {tree}_side s ON w.tree = s.tree AND w.level = s.level AND w.pos = s.pos),
+{name}_end AS (SELECT id, tree, acc, proof FROM {name} QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1)"""
+
+
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_OTHERS = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+# Bits of the decimal id, lowest first in each character, run through the shift register of CRC-32.
+_CRC = """xor(list_reduce(
+      list_prepend(4294967295, list_transform(range(0, 8 * len(doc_id::VARCHAR)), lambda i: (ascii((doc_id::VARCHAR)[i // 8 + 1]) >> (i % 8)) & 1)),
+      lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"""
+
+OP12 = f"""
+WITH RECURSIVE src AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS tree, sha256({_OTHERS} || {_field("text")}) AS leaf,
+    CASE WHEN {_CRC} % 3 = 0 THEN sha256({_OTHERS} || {_field(f"translate(text, {_LETTERS})")}) END AS changed
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (ORDER BY tree, doc_id NULLS FIRST, leaf) AS id,
+    row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n, leaf AS digest
+  FROM src),
+{_tree("lower_tree", "leaves")},
+subroots AS (SELECT tree AS lang_tree, '' AS tree, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM lower_tree WHERE n = 1),
+{_tree("upper_tree", "subroots")},
+{_walk("climb", "lower_tree", "SELECT id, tree, pos, coalesce(changed, leaf) AS acc, '' AS proof FROM leaves")},
+{_walk("summit", "upper_tree", "SELECT id, s.tree, s.pos, acc, proof FROM climb_end c JOIN subroots s ON c.tree = s.lang_tree")}
+SELECT doc_id, leaf, s.digest AS subroot, r.digest AS root, sha256(e.proof) AS proof_sha256, e.acc AS folded_root, e.acc = r.digest AS verified
+FROM leaves l JOIN summit_end e USING (id) JOIN subroots s ON s.lang_tree = l.tree, (SELECT digest FROM upper_tree WHERE n = 1) r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Statement by query name."""
-    return {"op1_mixing": OP1, "op4_phrase_automata": OP4, "op5_warc_chunks": OP5, "op7_jaccard_orders": OP7}
+    return {
+        "op1_mixing": OP1,
+        "op4_phrase_automata": OP4,
+        "op5_warc_chunks": OP5,
+        "op7_jaccard_orders": OP7,
+        "op12_merkle_manifest": OP12,
+    }

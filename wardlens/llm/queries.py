@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wardlens.llm import (
     decontamination,
     jaccard_orders,
+    merkle_manifest,
     mixing,
     outliers,
     phrase_automata,
@@ -95,6 +96,12 @@ def op9_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_battery.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proof of every document; a third of them is tampered with and must fail."""
+    third = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return merkle_manifest.manifest(merkle_manifest.leaves(table(spark, sf_dir, "documents"), tampered=third))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries of this package by name."""
     return {
@@ -108,4 +115,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii_feistel": op8_pii_feistel,
         "op9_secret_battery": op9_secret_battery,
         "op10_quality_rules": op10_quality_rules,
+        "op12_merkle_manifest": op12_merkle_manifest,
     }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardlens.llm import (
     decontamination,
+    fill_middle,
     jaccard_orders,
     merkle_manifest,
     mixing,
@@ -102,6 +103,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(merkle_manifest.leaves(table(spark, sf_dir, "documents"), tampered=third))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in fill-in-middle order, and restored from it."""
+    return fill_middle.digests(fill_middle.pieces(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries of this package by name."""
     return {
@@ -116,4 +122,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secret_battery": op9_secret_battery,
         "op10_quality_rules": op10_quality_rules,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_fill_middle": op13_fill_middle,
     }

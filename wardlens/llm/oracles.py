@@ -115,6 +115,18 @@ FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT node, min(pos) AS low FR
 """
 
 
+OP11 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS c FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(range(1, len(q.c) + 1), lambda i: q.c[i] * v.c[i])) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND len(q.c) = len(v.c))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
 def _field(value: str) -> str:
     return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR) || ':' || {value} END"
 
@@ -203,6 +215,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_phrase_automata": OP4,
         "op5_warc_chunks": OP5,
         "op7_jaccard_orders": OP7,
+        "op11_va_search": OP11,
         "op12_merkle_manifest": OP12,
         "op13_fill_middle": OP13,
     }

@@ -19,6 +19,7 @@ from wardlens.llm import (
     secret_battery,
     suffix_buckets,
     token_counts,
+    va_search,
     warc_chunks,
 )
 
@@ -97,6 +98,11 @@ def op9_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_battery.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_va_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all vectors for every fiftieth."""
+    return va_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle proof of every document; a third of them is tampered with and must fail."""
     third = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
@@ -121,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii_feistel": op8_pii_feistel,
         "op9_secret_battery": op9_secret_battery,
         "op10_quality_rules": op10_quality_rules,
+        "op11_va_search": op11_va_search,
         "op12_merkle_manifest": op12_merkle_manifest,
         "op13_fill_middle": op13_fill_middle,
     }

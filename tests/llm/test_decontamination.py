@@ -36,7 +36,7 @@ def test_leaks(spark):
     items = [(k, " ".join(make(rng.choice([3, 6, 15, 30, 50])))) for k in range(30)] + [(90, None), (91, "")]
     items += [(92, items[3][1]), (93, " ".join(["same"] * 20))]
     docs = []
-    for k in range(150):
+    for k in range(260):
         text = make(rng.choice([0, 2, 8, 40, 200]))
         if k % 2:
             passage = (rng.choice(items)[1] or "").split()

@@ -85,6 +85,40 @@ def test_bytes(spark, seed, hot):
     assert sum(w[1] for w in want.values()) > 0
 
 
+@pytest.mark.parametrize("hot", [3, 20_000])
+def test_equal_hashes_of_different_text(spark, hot, monkeypatch):
+    """With hashes of two bits everything collides; text decides what repeats, and two letters a word do as well."""
+    import numpy as np
+    import pyarrow as pa
+
+    from wardlens.llm import anchors, arrays
+
+    class Poor(arrays.Sums):
+        def of(self, start, end):
+            return super().of(start, end) % np.uint64(4)
+
+    monkeypatch.setattr(arrays, "Sums", Poor)
+    monkeypatch.setattr(phrase_automata, "ALPHABET", 40)
+    rows = [(i, t or "") for i, t in corpus(3, words=300)]
+    for words, locate, window, gram in ((True, phrase_automata.locate, 20, 6), (False, suffix_buckets.locate, 200, 32)):
+        shape = anchors.Shape(words=words, window=window, gram=gram, hot=hot)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        places = {}
+        for r in anchors.recurring(docs, shape).collect():
+            places.setdefault(r.doc_id, ([], []))[int(r.hot)].append(r.place)
+        lists = [[places.get(i, ([], []))[k] for i, _ in rows] for k in (0, 1)]
+        columns = [pa.array([i for i, _ in rows]), pa.array([t.encode() for _, t in rows]), *(pa.array(x, pa.list_(pa.int64())) for x in lists)]
+        packed = [r for out in anchors._cut(shape, 1)([pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "cold", "hot"])]) for r in out.to_pylist()]
+        shard, known = anchors._load(pa.Table.from_pylist(packed, anchors._schema()))
+        segment, first, n = locate(shard, window)
+        gone = {i: set() for i, _ in rows}
+        for ids, starts, counts in [(shard.ids[segment], shard.starts[segment] + first, n), *known]:
+            for i, start, count in zip(ids.tolist(), starts.tolist(), counts.tolist()):
+                gone[i].update(range(start, start + count + window - 1))
+        want = phrase_reference(rows, 20) if words else byte_reference(rows, 200)
+        assert {i: len(g) for i, g in gone.items()} == {i: w[1] for i, w in want.items()}
+
+
 def test_frequent_passages_of_rare_words(spark):
     texts = [" ".join(f"{c}{k}" for k in range(45)) for c in "abcdef"]
     rows = [(k, texts[k % 6]) for k in range(18)]

@@ -14,7 +14,8 @@ two of ``window - gram + 2`` positions are anchors, and only these are shuffled.
 2. ``segments``: for every recurring anchor, the piece of text that covers the windows it is
    the anchor of goes to a shard chosen by the anchor, so all occurrences of a window meet in
    one shard. Windows of very frequent anchors travel one by one, sharded by their own hash.
-   Of equal segments in a batch only the first travels; the operator is told of the others.
+   Of equal segments in a batch only the first travels; the operator is told of the others. Hashes only
+   propose what may be equal: text is compared before anything counts as a repeat.
 """
 
 from __future__ import annotations
@@ -238,76 +239,138 @@ def _cut(shape: Shape, shards: int) -> Callable:
 
 
 def _segments(found, shape, ids, items, marks, start, anchor, hashes) -> int:
-    """Add the segments of a piece to ``found``: (kind, key, ids, places, counts, texts); returns their bytes."""
+    """Add the segments of a piece to ``found`` as ``Found``; returns their bytes."""
+    sums = arrays.Sums(items.hashes)
     kept = np.flatnonzero(marks[anchor] == 1)
     start_c, anchor_c = start[kept], anchor[kept]
     new = np.ones(len(kept), bool)
     new[1:] = (anchor_c[1:] != anchor_c[:-1]) | (start_c[1:] != start_c[:-1] + 1)
     first = np.flatnonzero(new)
     counts = np.diff(np.concatenate([first, [len(kept)]]))
-    size = _add(found, shape, ids, items, start_c[first], counts, hashes[kept][first], 0)
+    size = _add(found, shape, ids, items, sums, start_c[first], counts, hashes[kept][first], 0)
     single = start[marks[anchor] == 2]
     if len(single):  # the first of equal windows is the one with the smallest (doc_id, start)
         single = single[np.lexsort((items.places(single), ids[items.rows[single]]))]
-        run = arrays.grams(items.hashes, shape.window)[single]
-        _, at, times = np.unique(run, return_index=True, return_counts=True)
-        ones = np.ones(len(at), np.int64)
-        for kind, some in ((0, times == 1), (2, times > 1)):
-            size += _add(found, shape, ids, items, single[at[some]], ones[some], run[at[some]], kind)
+        run = sums.of(single, single + shape.window)
+        _, at, group = np.unique(run, return_index=True, return_inverse=True)
         later = np.ones(len(single), bool)
         later[at] = False
-        w = np.sort(single[later])
-        first, counts = consecutive(np.ones(len(w), bool), w - np.arange(len(w)) + items.rows[w])
-        w = w[first]  # neighbours go as one run; a new row raises the group number, as a gap does
-        found.append((1, arrays.mix(w.astype(np.uint64)), ids[items.rows[w]], items.places(w), counts, [b""] * len(w)))
+        order = np.flatnonzero(later)
+        w, lead, n = _equal_runs(shape, items, single[order], single[at[group[order]]])
+        covered_by = np.repeat(w, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        own = np.ones(len(single), bool)  # sent: all but windows that were found equal to their first
+        own[np.isin(single, covered_by)] = False
+        twice = np.isin(single, np.repeat(lead, n) + covered_by - np.repeat(w, n))
+        for kind, some in ((0, own & ~twice), (2, own & twice)):
+            ones = np.ones(int(some.sum()), np.int64)
+            size += _add(found, shape, ids, items, sums, single[some], ones, run[some], kind)
+        known = arrays.mix(ids[items.rows[w]].astype(np.uint64) + items.places(w).astype(np.uint64))
+        found.append(Found(1, known, ids[items.rows[w]], items.places(w), n))
     return size
 
 
-def _add(found, shape, ids, items, start, counts, keys, kind) -> int:
+def _equal_runs(shape: Shape, items: Items, later: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (first window, first window of the leaders, number) of windows ``later`` whose items equal those of ``lead``.
+
+    Neighbours with neighbouring leaders are compared as one stretch of text; where its bytes differ,
+    window by window, as sequences of items.
+    """
+    order = np.argsort(later, kind="stable")
+    w, x = later[order], lead[order]
+    new = np.ones(len(w), bool)
+    new[1:] = (w[1:] != w[:-1] + 1) | (x[1:] != x[:-1] + 1) | (items.rows[w[1:]] != items.rows[w[:-1]]) | (items.rows[x[1:]] != items.rows[x[:-1]])
+    first = np.flatnonzero(new)
+    n = np.diff(np.concatenate([first, [len(w)]]))
+    raw = memoryview(items.data)
+    out = []
+    for a, b, count in zip(w[first].tolist(), x[first].tolist(), n.tolist(), strict=True):
+        if _text(raw, items, a, count, shape) == _text(raw, items, b, count, shape):
+            out.append((a, b, count))
+        elif shape.words:
+            out += [(a + k, b + k, 1) for k in range(count) if _text(raw, items, a + k, 1, shape).tobytes().split() == _text(raw, items, b + k, 1, shape).tobytes().split()]
+    return tuple(np.array([r[k] for r in out], np.int64) for k in range(3))
+
+
+def _text(raw: memoryview, items: Items, start: int, count: int, shape: Shape) -> memoryview:
+    return raw[items.starts[start] : items.ends[start + count + shape.window - 2]]
+
+
+@dataclass
+class Found:
+    """Segments of a piece: kind, key, document, place, number of windows; for those that carry text its hash,
+    its bounds and the bytes these refer to."""
+
+    kind: int
+    keys: np.ndarray
+    ids: np.ndarray
+    places: np.ndarray
+    counts: np.ndarray
+    signs: np.ndarray | None = None
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
+    data: np.ndarray | None = None
+
+
+def _add(found, shape, ids, items, sums, start, counts, keys, kind) -> int:
+    if not len(start):
+        return 0
     low, high = items.starts[start], items.ends[start + counts + shape.window - 2]
-    texts = [items.data[x:y].tobytes() for x, y in zip(low.tolist(), high.tolist(), strict=True)]
-    found.append((kind, keys, ids[items.rows[start]], items.places(start), counts, texts))
+    signs = arrays.mix(sums.of(start, start + counts + shape.window - 1) ^ counts.astype(np.uint64))
+    found.append(Found(kind, keys, ids[items.rows[start]], items.places(start), counts, signs, low, high, items.data))
     return int((high - low).sum())
 
 
-def _once(found: list) -> list:
-    """Of equal segments the one with the smallest (doc_id, start) as kind 2, the others as known repeats."""
-    parts = [x for x in found if x[0] != 1 and len(x[1])]
+def _once(found: list[Found]) -> tuple[list[Found], list[memoryview], np.ndarray]:
+    """Of segments with equal bytes the one with the smallest (doc_id, start) as kind 2, the others as known
+    repeats. Also the pieces of text, and for the segments of each result in turn the number of its piece.
+
+    Only segments with equal hash and length are compared, each with the first of them.
+    """
+    parts = [x for x in found if x.kind != 1]
+    out = [x for x in found if x.kind == 1]
     if not parts:
-        return found
-    kinds = np.concatenate([np.full(len(x[1]), x[0]) for x in parts])
-    keys, ids, places, counts = (np.concatenate([x[k] for x in parts]) for k in range(1, 5))
-    texts = [t for x in parts for t in x[5]]
-    groups: dict[bytes, int] = {}
-    group = np.fromiter((groups.setdefault(t, len(groups)) for t in texts), np.int64, len(texts))
-    several = np.bincount(group) > 1
-    several[group[kinds == 2]] = True
-    order = np.lexsort((places, ids, group))
+        return out, [], np.zeros(0, np.int64)
+    raws = [memoryview(x.data) for x in parts]
+    piece = np.repeat(np.arange(len(parts)), [len(x.keys) for x in parts])
+    kinds = np.array([x.kind for x in parts])[piece]
+    keys, ids, places, counts, signs, low, high = (
+        np.concatenate([getattr(x, c) for x in parts]) for c in ("keys", "ids", "places", "counts", "signs", "low", "high")
+    )
+    order = np.lexsort((places, ids, high - low, signs))
     lead = np.ones(len(order), bool)
-    lead[1:] = group[order[1:]] != group[order[:-1]]
-    out = [x for x in found if x[0] == 1]
-    for kind, at in (
-        (0, order[lead & ~several[group[order]]]), (2, order[lead & several[group[order]]]), (1, order[~lead]),
-    ):
-        at = np.sort(at)
-        own = arrays.mix(ids[at].astype(np.uint64) + places[at].astype(np.uint64)) if kind == 1 else keys[at]
-        some = [b""] * len(at) if kind == 1 else [texts[k] for k in at.tolist()]
-        out.append((kind, own, ids[at], places[at], counts[at], some))
-    return out
-
-
-def _packed(found: list, shards: int) -> list[dict]:
+    lead[1:] = (signs[order[1:]] != signs[order[:-1]]) | ((high - low)[order[1:]] != (high - low)[order[:-1]])
+    leader = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
+    repeat, several = np.zeros(len(order), bool), kinds == 2
+    for a, b in zip(order[~lead].tolist(), leader[~lead].tolist(), strict=True):
+        if raws[piece[a]][low[a] : high[a]] == raws[piece[b]][low[b] : high[b]]:
+            repeat[a] = several[b] = True
+    pieces = []
+    for kind, at in ((0, np.flatnonzero(~several & ~repeat)), (2, np.flatnonzero(several & ~repeat))):
+        out.append(Found(kind, keys[at], ids[at], places[at], counts[at], None, low[at], high[at]))
+        pieces.append(piece[at])
+    at = np.flatnonzero(repeat)
+    out.append(Found(1, arrays.mix(ids[at].astype(np.uint64) + places[at].astype(np.uint64)), ids[at], places[at], counts[at]))
+    return out, raws, np.concatenate(pieces)
+
+
+def _packed(found: list[Found], shards: int) -> list[dict]:
     """The segments found, one row per shard and kind; equal ones once."""
-    rows, found = [], _once(found)
+    rows = []
+    found, raws, piece = _once(found)
     for kind in (0, 1, 2):
-        parts = [x[1:] for x in found if x[0] == kind and len(x[1])]
+        parts = [x for x in found if x.kind == kind and len(x.keys)]
         if not parts:
             continue
-        keys, ids, places, counts = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        texts = [t for p in parts for t in p[4]]
+        keys, ids, places, counts = (np.concatenate([getattr(x, c) for x in parts]) for c in ("keys", "ids", "places", "counts"))
+        if kind != 1:
+            (part,) = parts
+            mine = piece[: len(keys)] if kind == 0 else piece[-len(keys) :]
         for b, at in _by_bucket((arrays.mix(keys) % np.uint64(shards)).astype(np.int64)):
-            some = [texts[k] for k in at.tolist()]
-            rows.append(pack(b, kind, b"".join(some), ids[at], places[at], counts[at], list(map(len, some))))
+            body, sizes = b"", np.zeros(len(at))
+            if kind != 1:
+                bounds = zip(mine[at].tolist(), part.low[at].tolist(), part.high[at].tolist(), strict=True)
+                body, sizes = b"".join([raws[k][x:y] for k, x, y in bounds]), part.high[at] - part.low[at]
+            rows.append(pack(b, kind, body, ids[at], places[at], counts[at], sizes))
     return rows
 
 

@@ -129,6 +129,20 @@ def grams(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+class Sums:
+    """Prefix sums of item hashes, for the hash of any run of items; runs may overlap."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes), _GRAM)]))
+        self.inverse = pow(int(_GRAM), -1, 1 << 64)
+        self.back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes), np.uint64(self.inverse))]))
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * powers[:-1])])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the items from ``start`` up to ``end``."""
+        return mix((self.sums[end] - self.sums[start]) * self.back[start])
+
+
 def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_GRAM), n, 1 << 64))
 

@@ -25,19 +25,27 @@ from wardlens.llm.tables import unique_documents
 
 PER_SHARD = 25_000
 _BREAK, _OTHER, _SURROGATES = 0, 1, 0xD800
+ALPHABET = 1_100_000  # code points to tell words apart
 
 
 def _letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """A code point per word, equal for equal words. Words that occur once in the shard share one; no pattern
-    holds them, but for segments that stand for several (``own``), whose words all have their own."""
+    """One or two code points per word, as columns, equal for equal words. Words that occur once in the shard share
+    one; no pattern holds them, but for segments that stand for several (``own``), whose words all have their own.
+
+    Beyond ALPHABET words a word has a high and a low letter from two alphabets, so no match can start between them.
+    """
     _, first, back, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
     codes: dict[bytes, int] = {}
-    letter = np.full(len(first), _OTHER, np.uint32)
+    word = np.full(len(first), -1)
     for k in np.flatnonzero((times > 1) | own[first]).tolist():
-        code = codes.setdefault(data[starts[first[k]] : ends[first[k]]].tobytes(), len(codes) + 2)
-        letter[k] = code if code < _SURROGATES else code + 0x800
-    if len(codes) > 1_100_000:
-        raise ValueError("too many distinct words in a shard; lower per_shard")
+        word[k] = codes.setdefault(data[starts[first[k]] : ends[first[k]]].tobytes(), len(codes))
+    if len(codes) <= ALPHABET:
+        letter = (word + _OTHER + 1)[:, None]
+    else:
+        half = ALPHABET // 2
+        letter = np.stack([word // half, half + word % half], axis=1) + _OTHER + 1
+        letter[word < 0] = (_OTHER, half + _OTHER)
+    letter = np.where(letter < _SURROGATES, letter, letter + 0x800).astype(np.uint32)
     return letter[back]
 
 
@@ -64,18 +72,19 @@ def locate(shard: anchors.Shard, window: int) -> tuple[np.ndarray, np.ndarray, n
         return none, none, none
     letters = _letters(shard.data, starts, ends, hashes, shard.repeated[rows])
     # one text for the shard, with a break between segments; the iterator copies its text per call
-    spread = np.full(len(letters) + len(shard.ids), _BREAK, np.uint32)
+    wide = letters.shape[1]
+    spread = np.full((len(letters) + len(shard.ids), wide), _BREAK, np.uint32)
     spread[np.arange(len(letters)) + rows] = letters
     text = spread.tobytes().decode("utf-32-le", "surrogatepass")
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for number, word in enumerate((at + segment)[patterns].tolist()):
-        automaton.add_word(text[word : word + window], number)
+        automaton.add_word(text[word * wide : (word + window) * wide], number)
     automaton.make_automaton()
     later = np.zeros(len(segment), bool)
     first_window = np.cumsum(n_windows) - n_windows
     found_at = np.fromiter((x for pair in automaton.iter(text) for x in pair), np.int64).reshape(-1, 2)
-    back = np.cumsum(spread != _BREAK) - 1
-    word_of, pattern_of = back[found_at[:, 0] - window + 1], found_at[:, 1]
+    back = np.cumsum(spread[:, 0] != _BREAK) - 1
+    word_of, pattern_of = back[(found_at[:, 0] + 1) // wide - window], found_at[:, 1]
     in_segment = rows[word_of]
     place = word_of - first_word[in_segment]
     found = first_window[in_segment] + place

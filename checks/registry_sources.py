@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from checks.registry_models import document, leaderboard_baseline
 from wardlens.models.triage import read_metrics
 from wardlens.plans import ingest, panel, trends
 from wardlens.sources import archives, delimited, schemas, sinks, snapshots
-from wardlens.sources.scratch import materialize, scratch_path
+from wardlens.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 HEADINGS = {t: {field: names[0] for field, names in fields.items()} for t, fields in schemas.RELEASE_FIELDS.items()}
 ACCENT = " é"
 ROWS_PER_RELEASE = 20_000
+RELEASES_PER_ARCHIVE = 3
 
 
 def _csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> str:
@@ -54,23 +56,43 @@ def text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(*[F.col(f"`{heading}`").alias(field) for field, heading in HEADINGS["general"].items()])
 
 
-def _zipped(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One annual archive with one release; odd releases hold ISO-8859-1 files."""
+def _release(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One release zip; odd releases hold ISO-8859-1 files."""
     shard = int(pdf["shard"].iloc[0])
     encoding = "utf-8" if shard % 2 == 0 else "latin-1"
-    release, annual = io.BytesIO(), io.BytesIO()
+    release = io.BytesIO()
     with zipfile.ZipFile(release, "w", zipfile.ZIP_DEFLATED) as z:
         for table, file in schemas.RELEASE_FILES.items():
             lines = [",".join(HEADINGS[table].values()), *pdf.loc[pdf["table_name"] == table, "line"]]
             z.writestr(f"data/{file.upper()}", ("\n".join(lines) + "\n").encode(encoding))
+    return pd.DataFrame({"shard": [shard], "content": [release.getvalue()]})
+
+
+def _annual(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One annual archive with its releases, an empty older one for each label, an unusable one and a note."""
+    annual, empty, short = io.BytesIO(), io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(empty, "w") as z:
+        for table, file in schemas.RELEASE_FILES.items():
+            z.writestr(file, ",".join(HEADINGS[table].values()) + "\n")
+    with zipfile.ZipFile(short, "w") as z:
+        z.writestr("other.csv", "a,b\n1,2\n")
     with zipfile.ZipFile(annual, "w") as z:
-        z.writestr(f"releases/r{shard}.zip", release.getvalue())
+        for shard, content in zip(pdf["shard"], pdf["content"]):
+            z.writestr(f"older/r{shard}.zip", empty.getvalue())
+            z.writestr(f"releases/r{shard}.zip", content, zipfile.ZIP_DEFLATED if shard % 3 else zipfile.ZIP_STORED)
+        z.writestr("releases/x-unusable.zip", short.getvalue())
         z.writestr("releases/readme.txt", "not a release")
-    return pd.DataFrame({"path": [f"hospitals_annual_{shard}.zip"], "content": [annual.getvalue()]})
+    return pd.DataFrame({"content": [annual.getvalue()]})
+
+
+def _as_text(batches):
+    """Bytes as text without a change, which the text writer stores as they are."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()).view(pa.string())], ["value"])
 
 
 def annual_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content) of archives made from whole tables, about ROWS_PER_RELEASE rows in each.
+    """Bytes of archives made from whole tables, RELEASES_PER_ARCHIVE releases of about ROWS_PER_RELEASE rows in each.
 
     Rows are dealt to releases by order key, so no hospital's rows pile up in one.
     """
@@ -92,7 +114,9 @@ def annual_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
         for table, (df, deal) in frames.items()
     ]
     rows = lines[0].unionByName(lines[1]).unionByName(lines[2])
-    return rows.groupBy("shard").applyInPandas(_zipped, "path string, content binary")
+    releases = rows.groupBy("shard").applyInPandas(_release, "shard long, content binary")
+    year = F.floor(F.col("shard") / RELEASES_PER_ARCHIVE)
+    return releases.groupBy(year.alias("year")).applyInPandas(_annual, "content binary")
 
 
 def _keyed(spark: SparkSession, base: dict[str, DataFrame], name: str, key: str) -> DataFrame:
@@ -102,8 +126,11 @@ def _keyed(spark: SparkSession, base: dict[str, DataFrame], name: str, key: str)
 
 
 def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = materialize(annual_archives(spark, sf_dir), "annual")
-    return archives.features_of_archives(files)
+    """Archives written as files (a line feed follows each, which readers of zips ignore), read and unpacked."""
+    folder = scratch_path(spark, "annual")
+    files = annual_archives(spark, sf_dir).mapInArrow(_as_text, "value string")
+    files.write.option("maxRecordsPerFile", 1).text(folder)
+    return archives.features_of_archives(archives.archive_chunks(spark, folder, "part-*"))
 
 
 def clean_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -82,25 +83,79 @@ def release_zip(encoding="utf-8", **kw):
     return zipped({names[t]: text.encode(encoding) for t, text in release_files(**kw).items()})
 
 
-def test_archives(spark, tmp_path):
+def archive_folder(folder):
+    """Two annual archives: releases of both encodings, a repeated label, an unusable release, other members."""
     short = zipped({"HCAHPS-Hospital.csv": SURVEY})
     first = zipped({"hospitals_2021-01-27.zip": release_zip(name="Señora", encoding="latin-1", counts=False, county="County Name"),
                     "hospitals_2021-02-01.zip": short, "notes.txt": b"no release"})
-    second = zipped({"spring.zip": release_zip(name="Ñandú", rating="2"), "a_2021-01-27.ZIP": release_zip(name="later wins")})
-    (tmp_path / "hospitals_annual_2021.zip").write_bytes(first)
-    (tmp_path / "hospitals_annual_2022.zip").write_bytes(second)
-    (tmp_path / "other.zip").write_bytes(second)
-    files = archives.archive_files(spark, str(tmp_path))
-    assert files.count() == 2
-    rows = {r.period: r for r in archives.features_of_archives(files).collect()}
-    assert set(rows) == {"2021-01-27", "spring"}
+    second = zipped({"spring.zip": release_zip(name="Ñandú", rating="2"), "a_2021-01-27.ZIP": release_zip(name="later wins"),
+                     "q/2022-04-27.zip": release_zip(name="third"), "q/2022-07-27.zip": release_zip(name="fourth")})
+    (folder / "hospitals_annual_2021.zip").write_bytes(first)
+    (folder / "hospitals_annual_2022.zip").write_bytes(second)
+    (folder / "other.zip").write_bytes(second)
+
+
+@pytest.mark.parametrize("chunk_bytes", [archives.CHUNK_BYTES, 300])
+def test_archives(spark, tmp_path, chunk_bytes):
+    """With chunks of some hundred bytes members and directories lie in many of them, as those of large archives do."""
+    archive_folder(tmp_path)
+    chunks = archives.archive_chunks(spark, str(tmp_path), chunk_bytes=chunk_bytes)
+    assert {r.archive.split("/")[-1] for r in chunks.collect()} == {"hospitals_annual_2021.zip", "hospitals_annual_2022.zip"}
+    rows = {r.period: r for r in archives.features_of_archives(chunks).collect()}
+    assert set(rows) == {"2021-01-27", "spring", "2022-04-27", "2022-07-27"}
     assert rows["spring"].facility_name == "Ñandú" and rows["spring"].is_underperformer == 1
     assert rows["2021-01-27"].facility_name == "later wins"
     assert (rows["spring"].patient_star_avg, rows["spring"].survey_response_rate, rows["spring"].timely_care_avg) == (4.0, 31.0, 90.0)
-    alone = {r.period: r for r in archives.features_of_archives(files.filter("path like '%2021.zip'")).collect()}
+    alone = {r.period: r for r in archives.features_of_archives(chunks.filter("archive like '%2021.zip'")).collect()}
     assert alone["2021-01-27"].facility_name == "Señora" and alone["2021-01-27"].composite_risk_score is None
 
 
+def test_archive_split_over_tasks(spark, tmp_path):
+    """An archive is read by many tasks, byte for byte; directories list what the library lists."""
+    rng = random.Random(4)
+    members = {f"release_{k}.zip": zipped({"x": rng.randbytes(rng.randint(0, 90_000))}) for k in range(30)}
+    body = zipped(members)
+    (tmp_path / "hospitals_annual_1.zip").write_bytes(body + b"\n")
+    with zipfile.ZipFile(tmp_path / "hospitals_annual_2.zip", "w") as z:
+        for name, content in members.items():
+            with z.open(name, "w", force_zip64=True) as out:
+                out.write(content)
+        z.comment = b"a comment of the archive"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        chunks = archives.archive_chunks(spark, str(tmp_path), chunk_bytes=20_000)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    parts = sorted((r.offset, bytes(r.data)) for r in chunks.where("archive like '%1.zip'").collect())
+    assert len(parts) > 30 and b"".join(p for _, p in parts) == body + b"\n"
+    assert [o for o, _ in parts] == [sum(len(p) for _, p in parts[:k]) for k in range(len(parts))]
+    assert sorted(r.member for r in archives.archive_members(chunks).collect()) == sorted([*members, *members])
+    got = {}
+    for r in archives.releases(chunks, 30_000).orderBy("archive", "member", "chunk").collect():
+        got[r.archive, r.member] = got.get((r.archive, r.member), b"") + bytes(r.data)
+    assert len(got) == 60 and all(content == members[m] for (_, m), content in got.items())
+
+
+def test_one_release_per_task_and_one_scan_per_table(spark, tmp_path):
+    archive_folder(tmp_path)
+    chunks = archives.archive_chunks(spark, str(tmp_path))
+    found = archives.releases(chunks)
+    chosen = archives.choose(found).collect()
+    assert sorted(r.task for r in chosen) == [0, 1, 2, 3]
+    rows = archives.unpack_archives(chunks)
+    survey = archives.release_table(rows, "survey")
+    plan = survey._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "PartitionFilters: [isnotnull(table_name" in plan
+    assert {f.split("table_name=")[1].split("/")[0] for f in survey.inputFiles()} == {"survey"} or survey.count() == 8
+
+
+def test_no_archives(spark, tmp_path):
+    (tmp_path / "other.zip").write_bytes(b"")
+    with pytest.raises(FileNotFoundError):
+        archives.build_snapshots(spark, str(tmp_path), str(tmp_path / "out"))
+
+
 def test_metrics_document_round_trip(spark, tmp_path):
     doc = {
         "regression": {"target": "patient_star_avg", "n_train": 40, "n_test": 10, "r2": 0.25, "mae_stars": 0.625},

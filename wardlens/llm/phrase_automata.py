@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -82,7 +83,7 @@ def locate(shard: anchors.Shard, window: int) -> tuple[np.ndarray, np.ndarray, n
     automaton.make_automaton()
     later = np.zeros(len(segment), bool)
     first_window = np.cumsum(n_windows) - n_windows
-    found_at = np.fromiter((x for pair in automaton.iter(text) for x in pair), np.int64).reshape(-1, 2)
+    found_at = np.fromiter(chain.from_iterable(automaton.iter(text)), np.int64).reshape(-1, 2)
     back = np.cumsum(spread[:, 0] != _BREAK) - 1
     word_of, pattern_of = back[(found_at[:, 0] + 1) // wide - window], found_at[:, 1]
     in_segment = rows[word_of]

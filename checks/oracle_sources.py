@@ -44,6 +44,14 @@ SELECT 'r' || shard AS period, * EXCLUDE (shard, total, known), CASE WHEN known
   CAST(CASE WHEN coalesce(overall_rating <= 2, false) OR total > 0 THEN 1 ELSE 0 END AS INTEGER) AS is_underperformer FROM w"""
 
 
+def _snapshots() -> str:
+    """Past releases as ready tables, without what the derived snapshots do not have, and the current one assembled."""
+    past = on_panel("SELECT * FROM panel")
+    current = over("hts", f"@{feature_ctes()} SELECT * FROM feat")
+    return f"""WITH past AS ({past}), current AS ({current})
+SELECT * FROM past UNION ALL BY NAME SELECT *, 'current' AS period FROM current"""
+
+
 def sources() -> dict[str, str]:
     job = jobs()
     return {
@@ -58,7 +66,7 @@ def sources() -> dict[str, str]:
         ),
         "src_clean": over("t", "SELECT facility_id, period, score, points, lower(measure_id) AS measure FROM t"),
         "src_archive": _archive(),
-        "src_snapshots": on_panel("SELECT * FROM panel"),
+        "src_snapshots": _snapshots(),
         "src_derived_csv": job["t_warn"],
         "sink_features": over("hts", f"@{feature_ctes()} SELECT * FROM feat"),
         "sink_panel": on_panel(

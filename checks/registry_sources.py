@@ -17,7 +17,7 @@ from checks.registry_models import document, leaderboard_baseline
 from wardlens.models.triage import read_metrics
 from wardlens.plans import ingest, panel, trends
 from wardlens.sources import archives, delimited, schemas, sinks, snapshots
-from wardlens.sources.scratch import scratch_path
+from wardlens.sources.scratch import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -143,10 +143,15 @@ def clean_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder per release written by period, then loaded by folder name and stacked."""
-    path = scratch_path(spark, "snapshots")
-    sinks.write_table(release_panel(provider(spark, sf_dir, "snapshot")), path, ["period"])
-    return snapshots.load_snapshot_table(spark, path)
+    """A folder per release: ready feature tables for the past ones, the three published files for the
+    current one, all as CSV; loaded in one plan."""
+    root = scratch_path(spark, "snapshots")
+    past = materialize(release_panel(provider(spark, sf_dir, "snapshot")), "panel")
+    for (period,) in past.select("period").distinct().collect():  # one row per release
+        _csv(past.where(F.col("period") == period).drop("period"), f"{root}/{period}/{schemas.PREBUILT_FILE}")
+    for source, table in (("facility", "general"), ("survey", "survey"), ("timely", "timely")):
+        _csv(_with_headings(provider(spark, sf_dir, source), table), f"{root}/current/{schemas.RELEASE_FILES[table]}")
+    return snapshots.load_snapshots(spark, root)
 
 
 def derived_csv(spark: SparkSession, sf_dir: str) -> DataFrame:

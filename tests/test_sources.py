@@ -58,8 +58,7 @@ def test_snapshot_folders(spark, tmp_path):
     heads = [f.name for f in schemas.FEATURES]
     lines = [",".join(map(str, r)) for r in feature_rows(3)]
     (new / "hospital_features.csv").write_text("\n".join([",".join(heads), *lines]) + "\n")
-    frames = snapshots.load_snapshots(spark, str(tmp_path))
-    panel = snapshots.stack(frames)
+    panel = snapshots.load_snapshots(spark, str(tmp_path))
     rows = {(r.period, r.facility_id): r for r in panel.collect()}
     assert set(rows) == {("2021-01-27", "010001"), *[("2021-04-28", f"P-0000{i}") for i in range(3)]}
     first = rows["2021-01-27", "010001"]
@@ -70,6 +69,41 @@ def test_snapshot_folders(spark, tmp_path):
         snapshots.load_snapshots(spark, str(tmp_path))
 
 
+def test_plan_does_not_grow_with_releases(spark, tmp_path):
+    """Releases of both encodings and two headings are read by layout: labels, headings and duplicates stay apart."""
+    names = {"general": "Hospital_General_Information.csv", "survey": "HCAHPS-Hospital.csv", "timely": "Timely_and_Effective_Care-Hospital.csv"}
+
+    def write(label, encoding="utf-8", **kw):
+        folder = tmp_path / label
+        folder.mkdir()
+        for table, text in release_files(**kw).items():
+            if table == "general":  # a part of a folder named like the file
+                (folder / names[table]).mkdir()
+                (folder / names[table] / "part-0.csv").write_bytes(text.encode(encoding))
+            else:
+                (folder / names[table]).write_text(text)
+
+    def scans():
+        plan = snapshots.load_snapshots(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("Relation ")
+
+    write("period=2020-01-01", name="Señora", encoding="latin-1")
+    write("2020 + 02", name="Ñandú", county="County Name", counts=False)
+    few = scans()
+    for k in range(12):
+        write(f"2021-{k:02d}", name=f"Ñ {k}", county="County Name" if k % 2 else "County/Parish", counts=k % 2 == 0, rating=str(1 + k % 5))
+    assert scans() <= few + 2
+    rows = {r.period: r for r in snapshots.load_snapshots(spark, str(tmp_path)).collect()}
+    assert len(rows) == 14
+    assert rows["2020-01-01"].facility_name == "Señora" and rows["2020 + 02"].facility_name == "Ñandú"
+    for k in range(12):
+        r = rows[f"2021-{k:02d}"]
+        assert (r.facility_name, r.county, r.overall_rating, r.composite_risk_score) == (f"Ñ {k}", "HOUSTON", 1.0 + k % 5, None if k % 2 else 1.0)
+    with pytest.raises(FileNotFoundError):
+        snapshots.load_release(spark, str(tmp_path))
+    assert snapshots.load_release(spark, str(tmp_path / "2021-03")).collect()[0].facility_name == "Ñ 3"
+
+
 def zipped(files):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:

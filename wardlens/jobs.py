@@ -40,7 +40,7 @@ def build_snapshots(spark: SparkSession, data: str, out: str) -> dict[str, DataF
 def panel(spark: SparkSession, data: str, out: str) -> dict[str, DataFrame]:
     """Panel with changes, from ``period=`` Parquet folders or from a folder of CSV files per release."""
     if snapshots.has_csv(spark, data):
-        stacked = snapshots.stack(snapshots.load_snapshots(spark, data))
+        stacked = snapshots.load_snapshots(spark, data)
     else:
         stacked = snapshots.load_snapshot_table(spark, data)
     sinks.write_table(panels.add_deltas(stacked), out, ["period"])

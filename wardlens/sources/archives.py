@@ -190,7 +190,7 @@ def _inflated(raw: bytearray, method: int, packed: int) -> bytes:
     raise NotImplementedError(f"zip method {method}")
 
 
-def _tables(release: zipfile.ZipFile) -> dict[str, str]:
+def _members(release: zipfile.ZipFile) -> dict[str, str]:
     """Table -> member for the three files; empty unless all three are there."""
     names = {file: table for table, file in RELEASE_FILES.items()}
     hits = [(names[base], m) for m in release.namelist() if (base := m.split("/")[-1].lower()) in names]
@@ -205,7 +205,7 @@ def _inflate(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa
         archive, member, method, packed = key
         content = _inflated(raw, method, packed)
         with zipfile.ZipFile(io.BytesIO(content)) as release:
-            usable = bool(_tables(release))
+            usable = bool(_members(release))
         names = [f.split(" ")[0] for f in _RELEASES.split(", ")]
         types = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.binary()]
         for k in range(0, len(content), chunk_bytes):
@@ -254,7 +254,7 @@ def _encoding(release: zipfile.ZipFile, member: str) -> str:
 
 
 def _release_rows(release: zipfile.ZipFile) -> Iterator[pd.DataFrame]:
-    for table, member in _tables(release).items():
+    for table, member in _members(release).items():
         encoding, done = _encoding(release, member), 0
         with release.open(member) as source:
             chunks = pd.read_csv(source, dtype=str, keep_default_na=False, encoding=encoding, chunksize=CHUNK_ROWS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ def file_layouts(spark: SparkSession, path: str | list[str]) -> dict[tuple[str,
     )
     found: dict[tuple[str, str], list[str]] = {}
     for row in sorted(rows):
-        found.setdefault(("UTF-8" if row.utf8 else "ISO-8859-1", row.heading), []).append(row.file)
+        found.setdefault(("UTF-8" if row.utf8 else "ISO-8859-1", row.heading), []).append(unquote(row.file))
     return found
 
 
@@ -63,19 +64,25 @@ def _heading(name: str) -> str:
     return name.strip().lstrip("﻿").strip().strip('"').strip()
 
 
-def read_release_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
-    """One release file (or several) as text, with trimmed headings.
+def read_layouts(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> list[DataFrame]:
+    """Files below ``path`` as text with trimmed headings, one frame for each pair of encoding and heading.
 
-    ``row_seq`` records file order. Files of both encodings and with different headings may
-    lie side by side: each heading is read with its own files, and columns match by name.
+    ``row_seq`` records file order. The number of frames does not grow with the number of files.
     """
     parts = []
     for (encoding, _), files in file_layouts(spark, path).items():
         raw = spark.read.options(**_CSV, encoding=encoding, multiLine=multi_line).csv(files)
         names = [_heading(c) for c in raw.columns]
-        parts.append(
-            raw.select("*", row_order().alias("row_seq")).toDF(*names, "row_seq")
-        )
+        parts.append(raw.select("*", row_order().alias("row_seq")).toDF(*names, "row_seq"))
     if not parts:
         raise FileNotFoundError(f"no rows found at {path}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return parts
+
+
+def read_release_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """One release file (or several) as text, with trimmed headings, in file order by ``row_seq``.
+
+    Files of both encodings and with different headings may lie side by side: each heading is read
+    with its own files, and columns match by name.
+    """
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read_layouts(spark, path, multi_line))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from checks.oracle_catalogue import over
 from checks.oracle_jobs import feature_ctes, jobs, on_panel
-from checks.oracle_models import models
 from checks.provider_tables import ctes
 from wardlens.sources.schemas import GENERAL_COLUMNS, GENERAL_FIELDS
 
@@ -76,5 +75,4 @@ def sources() -> dict[str, str]:
         ),
         "sink_trends": job["t_warn"],
         "sink_scored": job["m_rank"],
-        "sink_leaderboard": models()["m_cv_baseline"],
     }

@@ -23,7 +23,6 @@ Sizes = candidates.Sizes
 # its tree ensembles are smaller; the README names both.
 SIZES = Sizes()
 BOARD_SIZES = Sizes(trees=10, tree_depth=5, boost_rounds=5, long_rounds=10, long_depth=3, max_iter=50)
-_fits: dict[tuple, object] = {}
 RARE_BELOW = 60
 
 
@@ -37,13 +36,10 @@ def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fitted(spark: SparkSession, sf_dir: str, task: str):
-    """The forest of a task with its held-out predictions and the table it was fitted on; fitted once per application and data."""
-    key = (spark.sparkContext.applicationId, sf_dir, task)
-    if key not in _fits:
-        table = stored_features(spark, sf_dir)
-        fit = train.train_underperformer if task == "classification" else train.train_satisfaction
-        _fits[key] = (fit(table, SIZES), table)
-    return _fits[key]
+    """The forest of a task with its held-out predictions and the table it was fitted on."""
+    table = stored_features(spark, sf_dir)
+    fit = train.train_underperformer if task == "classification" else train.train_satisfaction
+    return fit(table, SIZES), table
 
 
 def _rows(task: str) -> Query:
@@ -194,7 +190,7 @@ def models() -> dict[str, Query]:
         "m_cv_baseline": leaderboard_baseline,
         "m_score": scored,
         "e_metrics": document,
-        "e_explain": _explained(lambda model, rows: explain.explain(model, rows, "classification", orders=4)),
+        "e_explain": _explained(lambda model, rows: explain.explain(model, rows, "classification")),
         "e_explain_split": _explained(lambda model, rows: explain.split_importance(model)),
         "e_explain_permutation": _explained(
             lambda model, rows: explain.permutation_importance(model, rows, "classification")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from checks.provider_tables import PROVIDER_SQL, SOURCES, provider
 from checks.registry_jobs import feature_table, release_panel, scored_hospitals
-from checks.registry_models import document, leaderboard_baseline
+from checks.registry_models import document, leaderboard
 from wardlens.models.triage import read_metrics
 from wardlens.plans import ingest, panel, trends
 from wardlens.sources import archives, delimited, schemas, sinks, snapshots
@@ -205,6 +205,6 @@ def sources() -> dict[str, Query]:
         "sink_panel": _stored(_panel, ("period",)),
         "sink_trends": _stored(_warned),
         "sink_scored": _stored(_scored),
-        "sink_leaderboard": _stored(leaderboard_baseline),
+        "sink_leaderboard": _stored(leaderboard),
         "sink_metrics_json": metrics_json,
     }

@@ -202,6 +202,19 @@ def test_leaderboard_of_the_cheap_models(features):
     assert (mean.cv_mean, mean.cv_std) == (round(float(np.mean(scores)), 4), round(float(np.std(scores)), 4))
 
 
+def test_folds_grown_together_score_like_fits_fold_by_fold(features):
+    name = "GradientBoosting"
+    together = validate.fold_scores(features, "classification", TINY, models=[name])[name]
+    folded = splits.contiguous_folds(columns.model_rows(features, "classification"), stratify=True)
+    task, alone = columns.TASKS["classification"], []
+    for fold in range(2):
+        prepared = preprocess.Preprocessor(task.numeric).fit(folded.filter(F.col("fold") != fold))
+        fit = candidates.candidate_models("classification", TINY)[name].fit(prepared.transform(folded.filter(F.col("fold") != fold)))
+        held = prepared.transform(folded.filter(F.col("fold") == fold))
+        alone.append(validate._evaluator(task).evaluate(fit.transform(held)))
+    assert len(together) == 5 and together[:2] == pytest.approx(alone, abs=1e-9)
+
+
 def test_shapley_contributions_add_up(spark, features):
     fitted = train.train_satisfaction(features, TINY)
     rows = columns.model_rows(features, "regression")

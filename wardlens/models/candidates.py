@@ -6,12 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlens.models.booster import Booster, Growth
 from wardlens.models.columns import task_of
 
 
@@ -23,7 +24,7 @@ class Sizes:
     tree_depth: int = 30
     min_leaf: int = 5
     boost_rounds: int = 100
-    boost_depth: int = 5
+    boost_leaves: int = 31
     long_rounds: int = 400
     long_depth: int = 5
     long_rate: float = 0.05
@@ -101,15 +102,21 @@ def forest_classifier(s: Sizes = Sizes()) -> Estimator:
 
 def candidate_models(task: str, s: Sizes = Sizes()) -> dict[str, Estimator]:
     """Leaderboard entries by name. The linear penalties match a ridge alpha of 1 and a logistic C of 1."""
-    boost = {"maxIter": s.boost_rounds, "stepSize": 0.1, "maxDepth": s.boost_depth, "minInstancesPerNode": 20, "seed": s.seed}
-    long = {"maxIter": s.long_rounds, "stepSize": s.long_rate, "maxDepth": s.long_depth, "seed": s.seed}
-    if not task_of(task).classification:
+    classification = task_of(task).classification
+    boost = Booster(Growth(s.boost_rounds, 0.1, s.boost_leaves, min_rows=20, classification=classification))
+    long = Booster(
+        Growth(
+            s.long_rounds, s.long_rate, 2**s.long_depth, s.long_depth, min_rows=1, min_hessian=1.0, l2=1.0,
+            classification=classification,
+        )
+    )
+    if not classification:
         return {
             "Baseline (mean)": Constant(False),
             "Ridge": Ridge(),
             "RandomForest": forest_regressor(s),
-            "GradientBoosting": GBTRegressor(**boost),
-            "GradientBoosting (long)": GBTRegressor(**long),
+            "GradientBoosting": boost,
+            "GradientBoosting (long)": long,
         }
     return {
         "Baseline (majority)": Constant(True),
@@ -119,6 +126,6 @@ def candidate_models(task: str, s: Sizes = Sizes()) -> dict[str, Estimator]:
             )
         ),
         "RandomForest": forest_classifier(s),
-        "GradientBoosting": GBTClassifier(**boost),
-        "GradientBoosting (long)": GBTClassifier(**long),
+        "GradientBoosting": boost,
+        "GradientBoosting (long)": long,
     }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import statistics
 from collections.abc import Iterable
-from functools import partial
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -12,6 +12,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvalu
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlens.models.booster import Booster, BoosterModel, fit_many
 from wardlens.models.candidates import Sizes, candidate_models
 from wardlens.models.columns import TASKS, Task, model_rows
 from wardlens.models.preprocess import Preprocessor
@@ -34,26 +35,40 @@ def fold_scores(
     """Score of every candidate on every fold.
 
     Preparation is fitted once per fold on its training rows, and the prepared rows are
-    written once and shared by the candidates. Folds are submitted side by side, as the
+    written once and shared by the candidates. Boosters grow the models of all folds together, in
+    passes over one table. The other fits are submitted fold by fold side by side, as the
     tuning classes of Spark ML do, so the cluster stays busy between small jobs.
     """
     task = TASKS[task_name]
-    folded = contiguous_folds(model_rows(features, task_name), k, stratify=task.classification)
+    folded = materialize(contiguous_folds(model_rows(features, task_name), k, stratify=task.classification), "folds")
     candidates = candidate_models(task_name, sizes)
     wanted = list(models) if models is not None else list(candidates)
+    boosters = [name for name in wanted if isinstance(candidates[name], Booster)]
 
-    def one_fold(fold: int) -> list[float]:
+    def one_fold(fold: int) -> tuple[DataFrame, dict[str, float]]:
         prepared = Preprocessor(task.numeric).fit(folded.filter(F.col("fold") != fold))
         ready = materialize(prepared.transform(folded).select("facility_id", "fold", "label", "features"), "fold")
         fit_rows, held = ready.filter(F.col("fold") != fold), ready.filter(F.col("fold") == fold)
-        return [_evaluator(task).evaluate(candidates[name].fit(fit_rows).transform(held)) for name in wanted]
+        others = [name for name in wanted if name not in boosters]
+        return ready, {name: _evaluator(task).evaluate(candidates[name].fit(fit_rows).transform(held)) for name in others}
 
     # Wrapped once per fold: each wrapper carries its own copy of the thread's job properties.
     threaded = inheritable_thread_target(features.sparkSession)
     tasks = [threaded(partial(one_fold, fold)) for fold in range(k)]
     with ThreadPool(max(1, min(parallelism, k))) as pool:
         per_fold = pool.map(lambda task: task(), tasks)
-    return {name: [scores[i] for scores in per_fold] for i, name in enumerate(wanted)}
+    scores = {name: [found[name] for _, found in per_fold] for name in wanted if name not in boosters}
+    if boosters:
+        ready = [table for table, _ in per_fold]
+        training = [t.filter(F.col("fold") != fold).select(F.lit(fold).alias("model"), "label", "features") for fold, t in enumerate(ready)]
+        together = reduce(DataFrame.unionByName, training)
+        for name in boosters:
+            fitted = fit_many(together, candidates[name].rules, "model")
+            scores[name] = [
+                _evaluator(task).evaluate(BoosterModel(fitted[fold], task.classification).transform(t.filter(F.col("fold") == fold)))
+                for fold, t in enumerate(ready)
+            ]
+    return {name: scores[name] for name in wanted}
 
 
 def compare_models(

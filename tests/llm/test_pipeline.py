@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from tests.llm import test_decontamination, test_jaccard, test_mixing, test_quality, test_secrets
 from wardlens.llm import queries
 
@@ -43,3 +45,26 @@ def test_pipeline(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_clashing_names_and_odd_rows(spark, tmp_path):
+    """Names that operators use inside, null ids and texts, repeated rows: no stage fails or changes what it keeps."""
+    passage = " ".join(f"item{k}" for k in range(30))
+    prose = "every stage keeps this plain document as it is because nothing in it is wrong or said twice"
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [
+        (1, prose), (2, None), (3, ""), (None, prose), (None, None), (4, prose), (5, prose + " " + passage),
+        (6, prose + " password=b7db7aa4a5fcc78305"), (7, "x" * 200_000), (8, "other words " + prose), (8, "other words " + prose),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("_bad_id", "_bad_text", "_copy_id", "_GONE_0", "_gone_1", "__gone_0", "text_hash", "kept", "component_id", "item_id", "spans", "n", "k", "hash", "tree"):
+        docs = docs.withColumn(name, F.lit(7))
+    gone = {"quality_rules": set(), "near_duplicates": {4, 6, 8}, "benchmark_decontamination": {5}, "secret_scans": {6}}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        kept = [r.doc_id for r in got.collect()]
+        if name == "quality_rules":
+            assert {1, 4, 5, None} <= set(kept)
+        else:
+            assert sorted(kept, key=str) == sorted((i for i, _ in rows if i not in gone[name]), key=str), name

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.tables import materialize
+from wardlens.llm.tables import materialize, without
 
 SPACE = r"\x20\x09-\x0D"
 SHINGLE = 5
@@ -152,6 +152,5 @@ def leaks(
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without a benchmark passage, columns as they are."""
     found = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options)
-    bad = found.select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_text")).distinct()
     mine = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad_id")) & (mine == F.col("_bad_text")), "left_anti")
+    return without(docs, found.select("doc_id", "text_hash"), docs[id_col], mine)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from wardlens.llm import arrays
 from wardlens.llm.anchors import _by_bucket, pack, unpack_ids
 from wardlens.llm.components import components
-from wardlens.llm.tables import materialize, unique_documents
+from wardlens.llm.tables import materialize, unique_documents, without
 
 SAMPLE = 0.3
 FANOUT = 16
@@ -378,5 +378,4 @@ def _sizes(size: int):
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its component, columns as they are; rows without id stay."""
     found = near_duplicates(docs, **options)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy_id"))
-    return docs.join(gone, docs[options.get("id_col", "doc_id")] == F.col("_copy_id"), "left_anti")
+    return without(docs, found.where("doc_id <> component_id").select("doc_id"), docs[options.get("id_col", "doc_id")])

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlens.llm.tables import materialize
+from wardlens.llm.tables import materialize, without
 
 SPACE = r"\x20\x09-\x0D"
 SHARE = 0.75
@@ -252,9 +252,7 @@ def judge(
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, all columns as they are."""
-    verdict = judge(docs, **options).where("NOT kept").select(
-        F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_text")
-    ).distinct()
+    verdict = judge(docs, **options).where("NOT kept").select("doc_id", "text_hash")
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     mine = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    return docs.join(verdict, docs[id_col].eqNullSafe(F.col("_bad_id")) & (mine == F.col("_bad_text")), "left_anti")
+    return without(docs, verdict, docs[id_col], mine)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.llm import arrays
-from wardlens.llm.tables import materialize
+from wardlens.llm.tables import materialize, without
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(
@@ -236,6 +236,5 @@ def drop_leaky(docs: DataFrame, **options) -> DataFrame:
     text_hash = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), text_hash.alias("hash")).alias("doc_id"), F.col(text_col).alias("text"))
     found = scan(keyed, "doc_id", "text", **{k: v for k, v in options.items() if k not in ("id_col", "text_col")})
-    bad = found.where("spans <> ''").select(F.col("doc_id.id").alias("_bad_id"), F.col("doc_id.hash").alias("_bad_text"))
-    on = docs[id_col].eqNullSafe(F.col("_bad_id")) & (text_hash == F.col("_bad_text"))
-    return docs.join(bad.distinct(), on, "left_anti")
+    bad = found.where("spans <> ''").select("doc_id.id", "doc_id.hash")
+    return without(docs, bad, docs[id_col], text_hash)

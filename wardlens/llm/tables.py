@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.sources.scratch import materialize, scratch_path
 
-__all__ = ["materialize", "scratch_path", "unique_documents"]
+__all__ = ["materialize", "scratch_path", "unique_documents", "without"]
+
+
+def without(docs: DataFrame, gone: DataFrame, *keys: Column) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` are not a row of ``gone``, null equal to null, columns as they are.
+
+    The columns of ``gone`` get names that ``docs`` does not hold, whatever its columns are called.
+    """
+    taken, names = {c.lower() for c in docs.columns}, []
+    for k in range(len(keys)):
+        name = f"_gone_{k}"
+        while name in taken:
+            name = f"_{name}"
+        names.append(name)
+    gone = gone.toDF(*names).distinct()
+    return docs.join(gone, reduce(Column.__and__, [k.eqNullSafe(gone[n]) for k, n in zip(keys, names)]), "left_anti")
 
 
 def unique_documents(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from wardlens.llm import anchors, arrays
 from wardlens.llm.tables import unique_documents
 
-PER_SHARD = 25_000
+PER_SHARD = 8_000
 _BREAK, _OTHER, _SURROGATES = 0, 1, 0xD800
 ALPHABET = 1_100_000  # code points to tell words apart
 

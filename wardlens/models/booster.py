@@ -127,21 +127,28 @@ class _Grower:
         """(nodes split so far when the best goes first, leaves whose children must be known to go on)."""
         split, open_ = set(), [0]
         while len(open_) < self.rules.max_leaves:
-            some = [n for n in open_ if self.best[n][0] > 0]
+            some = [n for n in open_ if n is not None and self.best[n][0] > 0]
             if not some:
                 break
             node = max(some, key=lambda n: (self.best[n][0], -n))
             if self.wide.feature[node] < 0:
-                if len(open_) + 1 == self.rules.max_leaves:
-                    split.add(node)  # the last split: nothing below is asked for
-                    break
+                if self._last(node) or len(open_) + 1 == self.rules.max_leaves:
+                    split.add(node)  # its children stay leaves, whose values follow from its own sums
+                    open_[open_.index(node)] = None
+                    open_.append(None)
+                    continue
                 room = self.rules.max_leaves - len(open_)
-                return split, sorted((n for n in some if self.wide.feature[n] < 0), key=lambda n: -self.best[n][0])[:room]
+                wanted = (n for n in some if self.wide.feature[n] < 0 and not self._last(n))
+                return split, sorted(wanted, key=lambda n: -self.best[n][0])[:room]
             split.add(node)
             open_.remove(node)
             open_ += [self.wide.left[node], self.wide.left[node] + 1]
         return split, []
 
+    def _last(self, node: int) -> bool:
+        """Whether the children of a node can not be split."""
+        return self.depth[node] + 1 >= self.rules.max_depth
+
     def expand(self, nodes: list[int]) -> list[int]:
         """Split leaves of the wide tree; returns the smaller child of each, which has to be counted."""
         counted = []
@@ -169,7 +176,7 @@ class _Grower:
                 child = out.split(new, feature, cut, missing_left)
                 if self.wide.feature[old] >= 0:
                     todo += [(self.wide.left[old], child), (self.wide.left[old] + 1, child + 1)]
-                else:  # the last split, whose children were never counted
+                else:  # a split whose children were never counted
                     below = self.sums[old][feature, : cut + 1].sum(axis=0) + (self.sums[old][feature, MISSING] if missing_left else 0)
                     for k, part in ((child, below), (child + 1, self.sums[old][feature].sum(axis=0) - below)):
                         out.value[k] = self._value(part)

@@ -197,7 +197,9 @@ class Ensemble:
     trees: list[Tree] = field(default_factory=list)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        bins = to_bins(x, self.cuts)
+        """Output for rows of features; features that only models grown beside this one have count as missing."""
+        absent = np.full((len(x), max(0, len(self.cuts) - x.shape[1])), np.nan)
+        bins = to_bins(np.concatenate([x, absent], axis=1), self.cuts)
         return self.start + sum((np.array(t.value)[t.leaves(bins)] for t in self.trees), np.zeros(len(x)))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardlens.functions.clean import same_text
 from wardlens.functions.rounding import half_even
 from wardlens.operators.grouping import distinct_values
 from wardlens.operators.ranking import rank_by_value
@@ -22,8 +23,8 @@ def state_list(scored: DataFrame) -> DataFrame:
 
 
 def triage(scored: DataFrame, state: str = ALL_STATES, n: int = 15) -> DataFrame:
-    """The ``n`` riskiest hospitals of a state, or of all."""
-    view = scored if state == ALL_STATES else scored.filter(F.col("state") == state)
+    """The ``n`` riskiest hospitals of a state, in any letter case, or of all."""
+    view = scored if state == ALL_STATES else scored.filter(same_text("state", state))
     return (
         view.orderBy(F.desc_nulls_last("predicted_risk"), F.asc("facility_id"))
         .limit(n)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.functions.clean import composite_risk, number, text_is
+from wardlens.functions.clean import composite_risk, fold, number, text_is
 from wardlens.functions.rounding import half_up
-from wardlens.operators.grouping import mean_by, mean_parts, merged_mean
+from wardlens.operators.grouping import mean_by, mean_parts, merge_spellings, merged_mean, text_mean_by
 from wardlens.operators.ranking import rank_rows, sort_rows, top_n_within
 from wardlens.operators.safety import v_risk_summary
 from wardlens.operators.timeliness import change_over_time, timely_mean_all
@@ -56,17 +56,18 @@ def top_completed(s: DataFrame, n: int = 15) -> DataFrame:
 
 def avg_star_by(s: DataFrame, h: DataFrame, by: str = "state") -> DataFrame:
     parts = mean_parts(starred(s), ["facility_id"], "_star")
+    groups = parts.join(h.select("facility_id", by), "facility_id").groupBy(by)
+    sums = groups.agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
     return (
-        parts.join(h.select("facility_id", by), "facility_id")
-        .groupBy(by)
-        .agg(half_up(merged_mean(), 2).alias("avg_star_rating"))
+        merge_spellings(sums, [by], [], ["_sum", "_n"])
+        .select(by, half_up(F.try_divide("_sum", "_n"), 2).alias("avg_star_rating"))
         .orderBy(F.desc("avg_star_rating"), by)
     )
 
 
 def avg_answer_by_measure(s: DataFrame) -> DataFrame:
     answered = s.withColumn("_pct", number(s, "hcahps_answer_percent")).filter(F.col("_pct").isNotNull())
-    means = mean_by(answered, ["hcahps_measure_id"], F.col("_pct"), "_mean")
+    means = text_mean_by(answered, ["hcahps_measure_id"], "_pct", "_mean")
     return means.select("hcahps_measure_id", half_up("_mean", 2).alias("avg_answer_percent")).orderBy(
         "avg_answer_percent", "hcahps_measure_id"
     )
@@ -78,8 +79,12 @@ def low_response_by_ownership(s: DataFrame, h: DataFrame, below: int = 30) -> Da
     owners = h.select("facility_id", "hospital_ownership")
     return (
         low.join(owners, "facility_id")
-        .groupBy("hospital_ownership")
-        .agg(F.countDistinct("facility_id").alias("low_response_hospitals"))
+        .groupBy(fold("hospital_ownership").alias("_owner"))
+        .agg(
+            F.min("hospital_ownership").alias("hospital_ownership"),
+            F.countDistinct("facility_id").alias("low_response_hospitals"),
+        )
+        .drop("_owner")
         .orderBy(F.desc("low_response_hospitals"), "hospital_ownership")
     )
 
@@ -89,17 +94,16 @@ def _hospital_stars(s: DataFrame, h: DataFrame, keys: list[str]) -> DataFrame:
     parts = mean_parts(starred(s), keys, "_star")
     return (
         parts.join(h.select("facility_id", "state"), "facility_id")
-        .groupBy(*keys, "state")
-        .agg(merged_mean().alias("_mean"))
+        .groupBy(*keys, fold("state").alias("_state"))
+        .agg(F.min("state").alias("state"), merged_mean().alias("_mean"))
     )
 
 
 def states_many_low(s: DataFrame, h: DataFrame, below: float = 3.0, more_than: int = 20) -> DataFrame:
+    low = _hospital_stars(s, h, ["facility_id"]).filter(F.col("_mean") < below)
+    counts = low.groupBy("state").agg(F.count("*").alias("low_rated_hospitals"))
     return (
-        _hospital_stars(s, h, ["facility_id"])
-        .filter(F.col("_mean") < below)
-        .groupBy("state")
-        .agg(F.count("*").alias("low_rated_hospitals"))
+        merge_spellings(counts, ["state"], [], ["low_rated_hospitals"])
         .filter(F.col("low_rated_hospitals") > more_than)
         .orderBy(F.desc("low_rated_hospitals"), "state")
     )
@@ -126,7 +130,7 @@ def risk_vs_satisfaction(h: DataFrame, s: DataFrame) -> DataFrame:
 def top_star_per_state(s: DataFrame, h: DataFrame) -> DataFrame:
     stars = _hospital_stars(s, h, ["facility_id", "facility_name"])
     top = top_n_within(
-        stars, ["state"], [F.desc_nulls_last("_mean"), F.asc("facility_name"), F.asc("facility_id")], 1
+        stars, ["_state"], [F.desc_nulls_last("_mean"), F.asc("facility_name"), F.asc("facility_id")], 1
     )
     return top.select("state", "facility_name", half_up("_mean", 2).alias("avg_star_rating")).orderBy("state")
 

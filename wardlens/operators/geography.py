@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.functions.clean import number, rating, text_is, worse
+from wardlens.functions.clean import fold, number, text_is, worse
 from wardlens.functions.rounding import half_up
 from wardlens.operators.grouping import (
     avg_rating_by,
@@ -68,7 +68,7 @@ def low_rated_counties(h: DataFrame, more_than: int = 5, ratings: tuple[str, ...
         F.count("*").alias("low_rated_hospitals")
     )
     return (
-        merge_spellings(spelled, "county_parish", ["state"], ["low_rated_hospitals"])
+        merge_spellings(spelled, ["state", "county_parish"], [], ["low_rated_hospitals"])
         .filter(F.col("low_rated_hospitals") > more_than)
         .select("state", "county_parish", "low_rated_hospitals")
         .orderBy(F.desc("low_rated_hospitals"), "state", "county_parish")
@@ -79,16 +79,16 @@ def emergency_split(h: DataFrame) -> DataFrame:
     def having(answer: str):
         return F.count_if(F.coalesce(text_is(h, "emergency_services", answer), F.lit(False)))
 
-    return (
-        h.groupBy("state")
-        .agg(having("Yes").alias("emergency_hospitals"), having("No").alias("non_emergency_hospitals"))
-        .orderBy("state")
+    counts = h.groupBy("state").agg(
+        having("Yes").alias("emergency_hospitals"), having("No").alias("non_emergency_hospitals")
     )
+    return merge_spellings(counts, ["state"], [], ["emergency_hospitals", "non_emergency_hospitals"]).orderBy("state")
 
 
 def count_worse_by(h: DataFrame, group: str, by: str, out: str = "hospital_count", more_than: int | None = None) -> DataFrame:
     """Hospitals with at least one worse measure, per ``by``; optionally only large groups."""
-    counts = h.filter(worse(group, h) > 0).groupBy(by).agg(F.count("*").alias(out))
+    spelled = h.filter(worse(group, h) > 0).groupBy(by).agg(F.count("*").alias(out))
+    counts = merge_spellings(spelled, [by], [], [out])
     if more_than is not None:
         counts = counts.filter(F.col(out) > more_than)
     return counts.orderBy(F.desc(out), by)
@@ -99,16 +99,16 @@ def rank_states(h: DataFrame) -> DataFrame:
 
 
 def bottom_n_per(h: DataFrame, by: str = "state", n: int = 1) -> DataFrame:
-    """The ``n`` lowest-rated hospitals of every group; ties by name, then id."""
+    """The ``n`` lowest-rated hospitals of every group, in any letter case; ties by name, then id."""
     stars = h.withColumn("_stars", number(h, "overall_rating", "int")).filter(F.col("_stars").isNotNull())
-    lowest = top_n_within(stars, [by], [F.asc("_stars"), F.asc("facility_name"), F.asc("facility_id")], n)
-    return lowest.orderBy(by, "rn").select(by, "facility_name", "city_town", "county_parish", "overall_rating")
+    lowest = top_n_within(stars, [fold(by)], [F.asc("_stars"), F.asc("facility_name"), F.asc("facility_id")], n)
+    return lowest.orderBy(fold(by), "rn").select(by, "facility_name", "city_town", "county_parish", "overall_rating")
 
 
 def counties_below_national(h: DataFrame) -> DataFrame:
     """Counties (spelling variants joined) whose mean rating is below the national mean."""
     spelled = mean_parts(rated(h), ["county_parish", "state"], "_rating")
-    parts = merge_spellings(spelled, "county_parish", ["state"], ["_sum", "_n"])
+    parts = merge_spellings(spelled, ["county_parish", "state"], [], ["_sum", "_n"])
     national = spelled.agg(merged_mean()).scalar()
     mean = F.col("_sum") / F.col("_n")
     return (
@@ -120,9 +120,7 @@ def counties_below_national(h: DataFrame) -> DataFrame:
 
 def v_state_summary(h: DataFrame) -> DataFrame:
     """Count and mean rating of the rated hospitals per state; register as a view for reuse."""
-    return (
-        h.select("state", rating(h).alias("_rating"))
-        .filter(F.col("_rating").isNotNull())
-        .groupBy("state")
-        .agg(F.count("*").alias("total_hospitals"), half_up(F.avg("_rating"), 2).alias("average_rating"))
+    parts = merge_spellings(mean_parts(rated(h), ["state"], "_rating"), ["state"], [], ["_sum", "_n"])
+    return parts.select(
+        "state", F.col("_n").alias("total_hospitals"), half_up(F.col("_sum") / F.col("_n"), 2).alias("average_rating")
     )

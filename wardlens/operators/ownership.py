@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardlens.functions.clean import text_is, worse
 from wardlens.functions.rounding import half_up
-from wardlens.operators.grouping import mean_by, rated
+from wardlens.operators.grouping import mean_by, merge_spellings, rated, same_label, text_mean_by
 from wardlens.operators.ranking import sort_rows, top_n_within
 
 # The publisher's ownership words behind each profit class.
@@ -42,17 +42,15 @@ def no_emergency(h: DataFrame) -> DataFrame:
 
 def avg_rating_having(h: DataFrame, by: str = "hospital_ownership", above: float = 3.5) -> DataFrame:
     """Groups whose unrounded mean rating is above a limit."""
-    means = mean_by(rated(h), [by], F.col("_rating"), "_mean").filter(F.col("_mean") > above)
+    means = text_mean_by(rated(h), [by], "_rating", "_mean").filter(F.col("_mean") > above)
     return means.select(by, half_up("_mean", 2).alias("average_rating")).orderBy(F.desc("average_rating"), by)
 
 
 def birthing_by_ownership(h: DataFrame) -> DataFrame:
-    return (
-        h.filter(text_is(h, "birthing_friendly", "Y"))
-        .groupBy("hospital_ownership")
-        .agg(F.count("*").alias("birthing_friendly_hospitals"))
-        .orderBy(F.desc("birthing_friendly_hospitals"), "hospital_ownership")
-    )
+    friendly = h.filter(text_is(h, "birthing_friendly", "Y"))
+    counts = friendly.groupBy("hospital_ownership").agg(F.count("*").alias("birthing_friendly_hospitals"))
+    merged = merge_spellings(counts, ["hospital_ownership"], [], ["birthing_friendly_hospitals"])
+    return merged.orderBy(F.desc("birthing_friendly_hospitals"), "hospital_ownership")
 
 
 def profit_class(c: str = "hospital_ownership") -> Column:
@@ -75,9 +73,11 @@ def profit_class_mortality(h: DataFrame) -> DataFrame:
 def pct_zero_safety(h: DataFrame) -> DataFrame:
     """Share with no worse safety measure among all hospitals; missing is not zero."""
     zero = F.count_if(F.coalesce(worse("safety", h) == 0, F.lit(False)))
+    counts = h.groupBy("hospital_ownership").agg(
+        F.count("*").alias("total_hospitals"), zero.alias("zero_safety_hospitals")
+    )
     return (
-        h.groupBy("hospital_ownership")
-        .agg(F.count("*").alias("total_hospitals"), zero.alias("zero_safety_hospitals"))
+        merge_spellings(counts, ["hospital_ownership"], [], ["total_hospitals", "zero_safety_hospitals"])
         .withColumn(
             "percentage_zero_safety",
             half_up(F.col("zero_safety_hospitals") * 100.0 / F.col("total_hospitals"), 2),
@@ -89,19 +89,21 @@ def pct_zero_safety(h: DataFrame) -> DataFrame:
 def v_type_ownership(h: DataFrame) -> DataFrame:
     """Rated hospitals per type and owner: count, mean rating, share with emergency services."""
     emergency = F.count_if(F.coalesce(text_is(h, "emergency_services", "Yes"), F.lit(False)))
-    return (
-        rated(h)
-        .groupBy("hospital_type", "hospital_ownership")
-        .agg(
-            F.count("*").alias("total_hospitals"),
-            half_up(F.avg("_rating"), 2).alias("average_rating"),
-            half_up(emergency * 100.0 / F.count("*"), 2).alias("emergency_service_percentage"),
-        )
+    keys = ["hospital_type", "hospital_ownership"]
+    sums = [F.count("*").alias("_n"), F.sum("_rating").alias("_sum"), emergency.alias("_emergency")]
+    groups = merge_spellings(rated(h).groupBy(*keys).agg(*sums), keys, [], ["_n", "_sum", "_emergency"])
+    for key in keys:
+        groups = same_label(groups, key)
+    return groups.select(
+        *keys,
+        F.col("_n").alias("total_hospitals"),
+        half_up(F.col("_sum") / F.col("_n"), 2).alias("average_rating"),
+        half_up(F.col("_emergency") * 100.0 / F.col("_n"), 2).alias("emergency_service_percentage"),
     )
 
 
 def best_group_per(h: DataFrame, outer: str = "hospital_type", inner: str = "hospital_ownership") -> DataFrame:
     """The inner group with the best unrounded mean rating per outer group; ties by name."""
-    means = mean_by(rated(h), [outer, inner], F.col("_rating"), "_mean")
+    means = same_label(text_mean_by(rated(h), [outer, inner], "_rating", "_mean"), outer)
     best = top_n_within(means, [outer], [F.desc_nulls_last("_mean"), F.asc(inner)], 1)
     return best.select(outer, inner, half_up("_mean", 2).alias("average_rating")).orderBy(outer)

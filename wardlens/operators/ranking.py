@@ -166,7 +166,7 @@ def tile_of(position: str, total: int, tiles: int) -> Column:
     return F.when(pos <= head, in_head).otherwise(in_tail).cast("long")
 
 
-def top_n_within(df: DataFrame, within: Sequence[str], order: Sequence[Column], n: int, out: str = "rn") -> DataFrame:
+def top_n_within(df: DataFrame, within: Sequence[str | Column], order: Sequence[Column], n: int, out: str = "rn") -> DataFrame:
     """First ``n`` rows per group. Catalyst cuts each map task to ``n`` rows per
     group before the shuffle (WindowGroupLimit), so a hot group sends few rows."""
     w = Window.partitionBy(*within).orderBy(*order)

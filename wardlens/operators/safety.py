@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.functions.clean import BETTER_COUNTS, WORSE_COUNTS, better, composite_risk, num, number, worse
+from wardlens.functions.clean import BETTER_COUNTS, WORSE_COUNTS, better, composite_risk, fold, num, number, worse
 from wardlens.functions.rounding import half_up
-from wardlens.operators.grouping import mean_by
+from wardlens.operators.grouping import mean_by, merge_spellings, text_mean_by
 from wardlens.operators.ranking import ntile_rows, rank_by_value, sort_rows, top_n_within
 
 _ALL_WORSE = list(WORSE_COUNTS.values())
@@ -45,7 +45,7 @@ def all_zero(h: DataFrame) -> DataFrame:
 
 
 def avg_worse_by(h: DataFrame, group: str, by: str, out: str) -> DataFrame:
-    means = mean_by(h, [by], worse(group, h).cast("double"), "_mean")
+    means = text_mean_by(h, [by], worse(group, h).cast("double"), "_mean")
     return means.select(by, half_up("_mean", 2).alias(out)).orderBy(F.desc_nulls_last(out), by)
 
 
@@ -73,12 +73,9 @@ def high_risk_by_state(h: DataFrame, tiles: int = 10, text_order: bool = False)
     key = F.concat(*_ALL_WORSE) if text_order else composite_risk(h)
     scored = h.select("facility_id", "state", key.alias("_risk"))
     tiled = ntile_rows(scored, tiles, [("_risk", "desc")], ["facility_id"], "risk_group")
-    return (
-        tiled.filter(F.col("risk_group") == 1)
-        .groupBy("state")
-        .agg(F.count("*").alias("high_risk_hospitals"))
-        .orderBy(F.desc("high_risk_hospitals"), "state")
-    )
+    counts = tiled.filter(F.col("risk_group") == 1).groupBy("state").agg(F.count("*").alias("high_risk_hospitals"))
+    merged = merge_spellings(counts, ["state"], [], ["high_risk_hospitals"])
+    return merged.orderBy(F.desc("high_risk_hospitals"), "state")
 
 
 def v_risk_summary(h: DataFrame) -> DataFrame:
@@ -94,7 +91,8 @@ def worst_per_state(h: DataFrame) -> DataFrame:
     scored = h.filter(known).select(
         "facility_id", "facility_name", "state", composite_risk(h).cast("long").alias("risk_score")
     )
-    worst = top_n_within(scored, ["state"], [F.desc("risk_score"), F.asc("facility_name"), F.asc("facility_id")], 1)
+    order = [F.desc("risk_score"), F.asc("facility_name"), F.asc("facility_id")]
+    worst = top_n_within(scored, [fold("state")], order, 1)
     return worst.select("state", "facility_name", "risk_score").orderBy("state")
 
 

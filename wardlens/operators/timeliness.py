@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardlens.functions.clean import NOT_AVAILABLE, fold, num, number, text_is
 from wardlens.functions.periods import parse_date
 from wardlens.functions.rounding import half_up
-from wardlens.operators.grouping import mean_by, mean_parts, merged_mean
+from wardlens.operators.grouping import mean_by, mean_parts, merge_spellings, merged_mean, same_label, text_mean_by
 from wardlens.operators.ranking import ntile_rows, number_rows, sort_rows
 from wardlens.sources.scratch import materialize
 
@@ -42,7 +42,7 @@ def missing_scores(t: DataFrame, measure: str = "OP_23") -> DataFrame:
 
 
 def avg_score_by(t: DataFrame, by: str, lowest_first: bool = False) -> DataFrame:
-    means = mean_by(scored(t), [by], F.col("_score"), "_mean").select(by, half_up("_mean", 2).alias("average_score"))
+    means = text_mean_by(scored(t), [by], "_score", "_mean").select(by, half_up("_mean", 2).alias("average_score"))
     order = F.asc("average_score") if lowest_first else F.desc("average_score")
     return means.orderBy(order, by)
 
@@ -59,7 +59,10 @@ def reporters_per_measure(t: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def _state_means(parts: DataFrame, h: DataFrame) -> DataFrame:
-    return parts.join(h.select("facility_id", "state"), "facility_id").groupBy("state").agg(merged_mean().alias("_mean"))
+    sums = [F.sum(c).alias(c) for c in ("_sum", "_n")]
+    states = parts.join(h.select("facility_id", "state"), "facility_id").groupBy("state").agg(*sums)
+    merged = merge_spellings(states, ["state"], [], ["_sum", "_n"])
+    return merged.select("state", F.try_divide("_sum", "_n").alias("_mean"))
 
 
 def avg_score_by_state(t: DataFrame, h: DataFrame, condition: str = "Emergency Department") -> DataFrame:
@@ -92,10 +95,11 @@ def rank_in_state(t: DataFrame, h: DataFrame, measure: str = "IMM_3") -> DataFra
     """Row number within the state by score, best first; ties by name, then id."""
     rows = scored(t.filter(text_is(t, "measure_id", measure))).select("facility_id", "facility_name", "measure_id", "_score")
     joined = rows.join(h.select("facility_id", "state"), "facility_id")
-    ranked = number_rows(joined, [("_score", "desc")], ["facility_name", "facility_id"], ["state"], "state_rank")
+    joined = joined.withColumn("_state", fold("state"))
+    ranked = number_rows(joined, [("_score", "desc")], ["facility_name", "facility_id"], ["_state"], "state_rank")
     return ranked.select(
         "state", "facility_name", "measure_id", F.col("_score").alias("score"), "state_rank"
-    ).orderBy("state", "state_rank")
+    ).orderBy(fold("state"), "state_rank")
 
 
 def v_timely_summary(t: DataFrame, h: DataFrame) -> DataFrame:
@@ -134,7 +138,8 @@ def _by_date() -> list[Column]:
 
 
 def score_change(t: DataFrame) -> DataFrame:
-    means = mean_by(scored(t), ["condition_name", "start_date", "end_date"], F.col("_score"), "avg_score")
+    means = text_mean_by(scored(t), ["condition_name"], "_score", "avg_score", ["start_date", "end_date"])
+    means = same_label(means, "condition_name").select("condition_name", "start_date", "end_date", "avg_score")
     return change_over_time(means, ["condition_name"], "avg_score", "previous_score", "score_change").orderBy(
         "condition_name", *_by_date()
     )

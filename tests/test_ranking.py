@@ -109,3 +109,35 @@ def test_exact_medians(spark, rows):
         values = [r[0] for r in df.select(c).collect() if r[0] is not None]
         assert found[c] == (len(values), statistics.median(values))
     assert "none" not in found
+
+
+def test_runs_over_many_partition_borders(spark):
+    """One key fills several partitions, nulls and NaN are keys of their own, batches are small."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        values = [None] * 90 + [float("nan")] * 70 + [-0.0, 0.0] * 40 + [1.5] * 700 + [float(i // 3) for i in range(200)]
+        data = [(i, v, None if i % 7 == 0 else "ab"[i % 2]) for i, v in enumerate(values)]
+        df = spark.createDataFrame(data, "id int, v double, g string").repartition(5)
+        for way, key in (("asc", F.asc_nulls_first("v")), ("desc", F.desc_nulls_last("v"))):
+            got = ranking.rank_rows(df, [("v", way)], ["id"], "k")
+            same(got.select("id", "k"), df.select("id", F.rank().over(Window.orderBy(key)).alias("k")))
+            got = ranking.number_rows(df, [("v", way)], ["id"], ["g"], "k")
+            same(got.select("id", "k"), df.select("id", F.row_number().over(Window.partitionBy("g").orderBy(key, "id")).alias("k")))
+            two = ranking.rank_rows(df, [("g", "asc"), ("v", way)], ["id"], "k")
+            same(two.select("id", "k"), df.select("id", F.rank().over(Window.orderBy(F.asc_nulls_first("g"), key)).alias("k")))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_ranks_join_on_no_value(rows):
+    plan = ranking.rank_rows(rows, [("score", "desc")], ["id"], "k")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "score#" not in plan.split("BroadcastHashJoin")[1].split("\n")[0]
+
+
+def test_no_rows_have_no_rank(spark):
+    none = spark.createDataFrame([], "id int, v double")
+    assert ranking.rank_rows(none, [("v", "desc")], ["id"]).count() == 0
+    assert ranking.number_rows(none, [("v", "desc")], ["id"], ["v"]).count() == 0

@@ -4,16 +4,24 @@ A plain window with no partition key sorts every row in one task, and a window
 over a hot key does the same for that key. Here rows are placed by one range
 shuffle over (group, order, tie-break). The tie-break is part of the range key,
 so a value held by a third of the rows is split like any other. The placement is
-written once; counts per partition then give each row its global position, and
-group starts are subtracted to get positions inside a group.
+written once; counts per partition then give each row its global position.
+
+Ranks and positions inside a group need the position of the first row with the same
+key. It is found inside each sorted partition as the rows are written; a key that
+reaches over a partition border takes its start from the partition before. So
+nothing is joined on a value or group, however many rows share it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructType
 
 from wardlens.sources.scratch import materialize
 
@@ -84,6 +92,103 @@ def place_rows(df: DataFrame, keys: Sequence[Column]) -> tuple[DataFrame, int]:
     return positioned, placed.count()
 
 
+def _differs(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Where two arrays differ, by the rules of grouping: null equals null and NaN equals NaN."""
+    other = pc.fill_null(pc.not_equal(a, b), False)
+    if pa.types.is_floating(a.type):
+        both = pc.and_(pc.fill_null(pc.is_nan(a), False), pc.fill_null(pc.is_nan(b), False))
+        other = pc.and_not(other, both)
+    return pc.or_(other, pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+
+
+def _mark_runs(keys: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds to the rows of a partition sorted by ``keys``: ``_first``, the index of the first row with
+    the same keys, and ``_edge``, true for the first and the last row. Holds one batch back."""
+
+    def closed(held: tuple[pa.RecordBatch, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        batch, first, edge = held
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(first), pa.array(edge)], [*batch.schema.names, "_first", "_edge"])
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tails, start, at = None, None, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+            fresh = np.zeros(batch.num_rows, dtype=bool)
+            fresh[0] = held is None
+            for k, column in enumerate(columns):
+                if tails:
+                    fresh |= _differs(column, pa.concat_arrays([tails[k], column[:-1]]))
+                else:
+                    fresh[1:] |= _differs(column[1:], column[:-1])
+            first = np.maximum.accumulate(np.where(fresh, np.arange(at, at + batch.num_rows), start))
+            edge = np.zeros(batch.num_rows, dtype=bool)
+            if held:
+                yield closed(held)
+            else:
+                edge[0] = True
+            held, tails, start, at = (batch, first, edge), [c[-1:] for c in columns], int(first[-1]), at + batch.num_rows
+        if held:
+            held[2][-1] = True
+            yield closed(held)
+
+    return marked
+
+
+def place_runs(df: DataFrame, order: Sequence[Order], runs: Sequence[str]) -> DataFrame:
+    """Rows with their 1-based global position ``_pos`` by ``order``, and ``_start``, the position of
+    the first row with the same ``runs``, the leading columns of the order.
+
+    After the placement nothing is shuffled but the two outer rows of each partition.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = [*[_sort_key(o) for o in order], F.col("_tie")]
+    df = materialize(df, "unplaced")
+    marks = StructType([*df.schema.fields]).add("_first", LongType()).add("_edge", BooleanType())
+    placed = materialize(
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(parts, *spread)
+        .sortWithinPartitions(*spread)
+        .drop("_tie")
+        .mapInArrow(_mark_runs(runs), marks)
+        .withColumn("_id", F.monotonically_increasing_id()),
+        "placed",
+    )
+    part = F.shiftright("_id", _INDEX_BITS)
+    index = F.col("_id").bitwiseAND(F.lit((1 << _INDEX_BITS) - 1))
+    key = F.struct(*runs)
+    # At most two rows per shuffle partition, so the single-task windows and the broadcast are bounded.
+    in_order = Window.orderBy("_part")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    borders = (
+        placed.filter("_edge")
+        .groupBy(part.alias("_part"))
+        .agg(
+            (F.max(index) + 1).alias("_rows"), F.max("_first").alias("_open"),
+            F.min_by(key, "_id").alias("_head"), F.max_by(key, "_id").alias("_foot"),
+        )
+        .withColumns(
+            {
+                "_before": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)),
+                "_goes_on": F.coalesce(F.col("_head").eqNullSafe(F.lag("_foot").over(in_order)), F.lit(False)),
+            }
+        )
+        # Start of the last key of each partition: its own, or that of the partition before if one key fills it.
+        .withColumn("_own", F.when(~F.col("_goes_on") | (F.col("_open") > 0), F.col("_before") + F.col("_open") + 1))
+        .withColumn("_last_start", F.last("_own", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+        .select("_part", "_before", F.when(F.col("_goes_on"), F.lag("_last_start").over(in_order)).alias("_carried"))
+    )
+    from_before = (F.col("_first") == 0) & F.col("_carried").isNotNull()
+    return (
+        placed.withColumn("_part", part)
+        .join(F.broadcast(borders), "_part")
+        .withColumn("_pos", F.col("_before") + index + 1)
+        .withColumn("_start", F.when(from_before, F.col("_carried")).otherwise(F.col("_before") + F.col("_first") + 1))
+        .drop("_part", "_before", "_carried", "_first", "_edge", "_id")
+    )
+
+
 def number_rows(
     df: DataFrame,
     by: Sequence[Order],
@@ -93,15 +198,10 @@ def number_rows(
 ) -> DataFrame:
     """``row_number() over (partition by within order by by, tie)``."""
     order = [*[(c, "asc") for c in within], *by, *[(c, "asc") for c in tie]]
-    placed, _ = place_rows(df, [_sort_key(o) for o in order])
     if not within:
-        return placed.withColumnRenamed("_pos", out)
-    starts = placed.groupBy(*within).agg(F.min("_pos").alias("_start"))
-    return (
-        join_null_safe(placed, starts, list(within))
-        .withColumn(out, F.col("_pos") - F.col("_start") + 1)
-        .drop("_pos", "_start")
-    )
+        return place_rows(df, [_sort_key(o) for o in order])[0].withColumnRenamed("_pos", out)
+    placed = place_runs(df, order, list(within))
+    return placed.withColumn(out, F.col("_pos") - F.col("_start") + 1).drop("_pos", "_start")
 
 
 def rank_rows(df: DataFrame, by: Sequence[Order], tie: Sequence[str], out: str = "rank") -> DataFrame:
@@ -109,10 +209,8 @@ def rank_rows(df: DataFrame, by: Sequence[Order], tie: Sequence[str], out: str =
 
     ``tie`` only spreads equal rows over tasks; it does not change the rank.
     """
-    placed, _ = place_rows(df, [_sort_key(o) for o in [*by, *[(c, "asc") for c in tie]]])
-    keys = [c for c, _ in by]
-    firsts = placed.groupBy(*keys).agg(F.min("_pos").alias(out))
-    return join_null_safe(placed, firsts, keys).drop("_pos")
+    placed = place_runs(df, [*by, *[(c, "asc") for c in tie]], [c for c, _ in by])
+    return placed.drop("_pos").withColumnRenamed("_start", out)
 
 
 def running_total(df: DataFrame, by: Sequence[Order], value: str, out: str) -> DataFrame:

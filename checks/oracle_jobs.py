@@ -206,9 +206,18 @@ SELECT facility_id, facility_name, state, hospital_type, hospital_ownership, eme
         "t_warn": on_panel(
             f"""@{fitted}, {latest} SELECT facility_id, facility_name, state, {even('sat', 4)} AS satisfaction_slope,
  {even('risk', 4)} AS risk_slope, CAST(coalesce({even('sat', 9)} < -0.03, false) OR coalesce({even('risk', 9)} > 0.05, false) AS INTEGER)
+ AS declining_trajectory FROM fitted JOIN last_row USING (facility_id)"""
+        ),
+        "t_state_warn": on_panel(
+            f"""@{fitted}, {latest} SELECT facility_id, facility_name, state, {even('sat', 4)} AS satisfaction_slope,
+ {even('risk', 4)} AS risk_slope, CAST(coalesce({even('sat', 9)} < -0.03, false) OR coalesce({even('risk', 9)} > 0.05, false) AS INTEGER)
  AS declining_trajectory FROM fitted JOIN last_row USING (facility_id)"""
         ),
         "t_national": on_panel(f"@{national} SELECT * FROM nat"),
+        "t_state_national": on_panel(f"@{national} SELECT * FROM nat"),
+        "p_state_delta": on_panel(
+            f"@moved AS (SELECT facility_id, period, {deltas} FROM panel) SELECT * FROM moved WHERE period = (SELECT max(period) FROM panel)"
+        ),
         "t_indexed": on_panel(
             f"@{national} SELECT nat.period, {indexed} FROM nat, (SELECT * FROM nat ORDER BY period LIMIT 1) f"
         ),

@@ -11,8 +11,9 @@ from checks.provider_tables import provider
 from wardlens.functions import clean, periods, rounding
 from wardlens.models import documents, metrics, triage
 from wardlens.operators.timeliness import timely_mean_all, timely_mean_0_100
-from wardlens.plans import features, panel, training_extract, trends
+from wardlens.plans import features, panel, training_extract, trend_state, trends
 from wardlens.sources import profiling, snapshots
+from wardlens.sources.scratch import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -195,6 +196,29 @@ def _deltas(x: DataFrame) -> DataFrame:
     return moved.select("facility_id", "period", *[rounding.half_even(f"{m}_delta", 6).alias(f"{m}_delta") for m in panel.METRICS])
 
 
+def _last_release(x: DataFrame) -> tuple[trend_state.TrendState, DataFrame, str]:
+    """Stored state of all releases but the newest, and the newest without its label."""
+    past = materialize(release_panel(x), "panel")
+    newest = past.agg(F.max("period")).first()[0]
+    path = scratch_path(x.sparkSession, "trend-state")
+    trend_state.write(trend_state.from_panel(past.filter(F.col("period") < newest)), path)
+    return trend_state.read(x.sparkSession, path), past.filter(F.col("period") == newest).drop("period"), newest
+
+
+def _state_warning(x: DataFrame) -> DataFrame:
+    return trend_state.early_warning(trend_state.add_release(*_last_release(x)))
+
+
+def _state_national(x: DataFrame) -> DataFrame:
+    return trend_state.national_trends(trend_state.add_release(*_last_release(x)))
+
+
+def _state_deltas(x: DataFrame) -> DataFrame:
+    state, release, newest = _last_release(x)
+    moved = trend_state.release_deltas(state, release).withColumn("period", F.lit(newest))
+    return moved.select("facility_id", "period", *[rounding.half_even(f"{m}_delta", 6).alias(f"{m}_delta") for m in panel.METRICS])
+
+
 PLANS = {
     "x_train": on("facility", "timely", "survey")(training_extract.training_extract),
     "timely_mean_all": on("timely")(timely_mean_all),
@@ -211,6 +235,9 @@ PLANS = {
     "t_slope": on("snapshot")(lambda x: trends.slopes(release_panel(x))),
     "t_latest": on("snapshot")(lambda x: trends.latest_attrs(release_panel(x))),
     "t_warn": on("snapshot")(lambda x: trends.early_warning(release_panel(x))),
+    "t_state_warn": on("snapshot")(_state_warning),
+    "t_state_national": on("snapshot")(_state_national),
+    "p_state_delta": on("snapshot")(_state_deltas),
     "t_national": on("snapshot")(lambda x: trends.national_trends(release_panel(x))),
     "t_indexed": on("snapshot")(lambda x: trends.indexed_trends(trends.national_trends(release_panel(x)))),
 }

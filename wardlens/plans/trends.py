@@ -59,7 +59,12 @@ def latest_attrs(panel: DataFrame) -> DataFrame:
 
 
 def early_warning(panel: DataFrame, satisfaction: float = SATISFACTION_DECLINE, risk: float = RISK_RISE) -> DataFrame:
-    """Hospitals with their slopes; flagged when satisfaction falls or risk rises fast enough.
+    """Hospitals with their slopes; flagged when satisfaction falls or risk rises fast enough."""
+    return warned(_trajectories(panel), satisfaction, risk)
+
+
+def warned(lines: DataFrame, satisfaction: float, risk: float) -> DataFrame:
+    """Flags for rows of ``facility_id``, raw slopes ``_sat`` and ``_risk``, and last row ``_last``.
 
     The limits apply to the slopes with nine decimals: unrounded in effect, but a slope that
     equals a limit does not pass it by the last bit of a double. Hospitals without a slope
@@ -68,8 +73,7 @@ def early_warning(panel: DataFrame, satisfaction: float = SATISFACTION_DECLINE,
     falling = F.coalesce(half_even("_sat", 9) < satisfaction, F.lit(False))
     rising = F.coalesce(half_even("_risk", 9) > risk, F.lit(False))
     return (
-        _trajectories(panel)
-        .select(
+        lines.select(
             "facility_id",
             "_last.facility_name",
             "_last.state",

@@ -71,6 +71,11 @@ def sources() -> dict[str, str]:
         "sink_panel": on_panel(
             """SELECT facility_id, period, overall_rating,
  overall_rating - lag(overall_rating) OVER (PARTITION BY facility_id ORDER BY period) AS overall_rating_delta,
+ composite_risk_score FROM panel"""
+        ),
+        "sink_releases": on_panel(
+            """SELECT facility_id, period, overall_rating,
+ overall_rating - lag(overall_rating) OVER (PARTITION BY facility_id ORDER BY period) AS overall_rating_delta,
  composite_risk_score FROM panel"""
         ),
         "sink_trends": job["t_warn"],

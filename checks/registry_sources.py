@@ -16,7 +16,7 @@ from checks.registry_jobs import feature_table, release_panel, scored_hospitals
 from checks.registry_models import document, leaderboard
 from wardlens.models.triage import read_metrics
 from wardlens.plans import ingest, panel, trends
-from wardlens.sources import archives, delimited, schemas, sinks, snapshots
+from wardlens.sources import archives, delimited, release_store, schemas, sinks, snapshots
 from wardlens.sources.scratch import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,6 +174,17 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_table(*[provider(spark, sf_dir, n) for n in ("facility", "timely", "survey")])
 
 
+def _replaced_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel stored with a provisional newest release, which is then replaced by the final one."""
+    path = scratch_path(spark, "releases")
+    table = materialize(_panel(spark, sf_dir), "panel")
+    newest = table.agg(F.max("period")).first()[0]
+    provisional = F.when(F.col("period") < newest, F.col("overall_rating"))
+    release_store.write_releases(table.withColumn("overall_rating", provisional), path)
+    release_store.write_releases(table.filter(F.col("period") == newest), path)
+    return release_store.read_releases(spark, path).select(table.columns)
+
+
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = panel.add_deltas(release_panel(provider(spark, sf_dir, "snapshot")))
     return moved.select("facility_id", "period", "overall_rating", "overall_rating_delta", "composite_risk_score")
@@ -203,6 +214,7 @@ def sources() -> dict[str, Query]:
         "src_derived_csv": derived_csv,
         "sink_features": _stored(_features),
         "sink_panel": _stored(_panel, ("period",)),
+        "sink_releases": _replaced_releases,
         "sink_trends": _stored(_warned),
         "sink_scored": _stored(_scored),
         "sink_leaderboard": _stored(leaderboard),

@@ -118,3 +118,21 @@ def test_without_rows_or_spread(spark):
     assert booster.Booster(Growth(rounds=2)).fit(flat).ensemble.raw(np.array([[5.0]])).tolist() == [2.0]
     with pytest.raises(ValueError):
         booster.Booster(Growth()).fit(flat.limit(0))
+
+
+def test_passes_over_partitions_equal_one_task_and_send_each_node_once(spark, monkeypatch):
+    """What reaches the driver does not grow with the number of partitions."""
+    x, y = data(300, 5, False, True)
+    df = spark.createDataFrame([(float(t), Vectors.dense(r)) for r, t in zip(x.tolist(), y.tolist())], ["label", "features"])
+    rules = Growth(rounds=3, max_leaves=6, min_rows=5)
+    alone = booster.Booster(rules).fit(df).ensemble
+    monkeypatch.setattr(booster, "LOCAL_ROWS", 0)
+    assert np.allclose(booster.Booster(rules).fit(df).ensemble.raw(x), alone.raw(x), atol=1e-9)
+    bins = booster.to_bins(x, alone.cuts)
+    kept = np.zeros((4, booster.BINS + 1), bool)
+    kept[:, :200] = kept[:, booster.MISSING] = True
+    parts = [{0: (bins[k::6], y[k::6], np.zeros(len(y[k::6])))} for k in range(6)]
+    blocks = spark.sparkContext.parallelize(parts, 6)
+    got = booster._totals(blocks, {0: booster.Tree()}, {0: [0]}, rules, {0: kept})
+    want = booster._sums({0: (bins, y, np.zeros(len(y)))}, {0: booster.Tree()}, {0: [0]}, rules)
+    assert np.allclose(got[0], want[0])

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
-from wardlens.models import candidates, forest
+from wardlens.models import candidates, explain, forest
 from wardlens.models.forest import Rules
 
 
@@ -98,6 +101,33 @@ def test_deep_trees_take_no_job_per_level(spark):
     assert max(t.depth for t in model.trees) > 8 and counts[0] == counts[1]
 
 
+@pytest.mark.parametrize("classes", [0, 2])
+def test_predictions_in_parts_equal_spark_ml_after_a_store(spark, monkeypatch, tmp_path, classes):
+    """Groups of trees meet blocks of rows in tasks of their own; the stored model gives the same."""
+    for name, value in (("BLOCK", 16), ("PART_ROWS", 70), ("GROUPS", 2)):
+        monkeypatch.setattr(forest, name, value)
+    df = made(spark, 200, classes)
+    fitted = forest.Forest(Rules(trees=5, max_depth=8, min_leaf=3), bool(classes)).fit(df)
+    PipelineModel([fitted]).write().overwrite().save(str(tmp_path / "m"))
+    (again,) = PipelineModel.load(str(tmp_path / "m")).stages
+    value = vector_to_array("probability")[1] if classes else F.col("prediction")
+    rows = df.unionAll(df.where("facility_id < 'P-12'"))
+    want, *got = [
+        sorted(tuple(r) for r in m.transform(rows).select("facility_id", F.round("prediction", 9), F.round(value, 9)).collect())
+        for m in (fitted.spark_model(), fitted, again)
+    ]
+    assert len(want) > 200 and got == [want, want]
+    assert np.allclose(fitted.featureImportances.toArray(), fitted.spark_model().featureImportances.toArray())
+
+
+def test_permutations_are_scored_together(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(explain, "_output", lambda model, rows, task: calls.append(1) or rows.withColumn("output", F.col("a") + F.col("b")))
+    rows = spark.createDataFrame([(f"P-{k}", k % 7, k % 2, float(k % 7 > 3)) for k in range(60)], ["facility_id", "a", "b", "label"])
+    found = explain.permutation_importance(None, rows, "classification", columns=["a", "b"]).collect()
+    assert len(calls) == 1 and found[0].feature == "a" and found[0].importance > 0.2
+
+
 def test_labels_are_needed(spark):
     df = made(spark, 30, 2)
     for bad in (df.limit(0), df.selectExpr("IF(label = 1, null, label) AS label", "w", "features")):

@@ -7,7 +7,9 @@ them out for itself.
 1. Tops. Nodes that hold more than ``LOCAL_ROWS`` rows are split by passes over the table, a level of all trees at a time:
    tasks add up sums per (tree, node, feature, bin), a shuffle by (tree, node) finds the splits, and only these reach the driver.
 2. Rests. Each row goes to the nodes below the tops that drew it, one node to a task, which grows all that is below it.
-3. The nodes are written in the form in which Spark ML stores forests and loaded as such a model.
+3. The nodes are written in the form in which Spark ML stores forests. They stay there: no model lies in the driver.
+4. Prediction. Rows are binned by the same cuts and packed in blocks; each group of trees meets all blocks in tasks that hold
+   the nodes of their group only, and the votes of all groups are added up by block.
 
 The same forest comes out for any ``LOCAL_ROWS``.
 """
@@ -19,15 +21,18 @@ import math
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import RandomForestClassificationModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.ml.regression import RandomForestRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardlens.models.booster import MISSING, quantile_cuts, to_bins
@@ -36,6 +41,11 @@ from wardlens.sources.scratch import materialize, scratch_path
 LOCAL_ROWS = 1 << 17
 ROW_ID = "facility_id"  # rows with this column are drawn by it, hence alike on any partitioning; others by their place
 TASKS = 2_000  # at most this many tasks grow the rests; each works off its nodes one after another
+GROUPS = 48  # groups of trees that predict apart, at least (if there are as many trees)
+GROUP_NODES = 1 << 21  # nodes of a group, at most (if a tree has fewer)
+PART_ROWS = 1 << 21  # rows that a task predicts
+BLOCK = 1 << 13
+_VOTES = "first long, group int, votes binary"
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 _NODES = "slot long, id long, feature int, threshold double, gain double, left_id long, sums array<double>"
 
@@ -377,8 +387,8 @@ def _binned(dataset: DataFrame, weight: str | None) -> tuple[DataFrame, list[np.
     return stored, cuts, count
 
 
-def fit_nodes(dataset: DataFrame, rules: Rules, weight: str | None = None, local_rows: int = LOCAL_ROWS) -> tuple[DataFrame, int]:
-    """(``tree, id, feature, threshold, gain, left_id, sums`` of all nodes, number of features). ``id`` runs from 0 in each tree."""
+def fit_nodes(dataset: DataFrame, rules: Rules, weight: str | None = None, local_rows: int = LOCAL_ROWS) -> tuple[DataFrame, list[np.ndarray], int]:
+    """(``tree, id, feature, threshold, gain, left_id, sums`` of all nodes, cut points, number of nodes). ``id`` runs from 0 in each tree."""
     spark = dataset.sparkSession
     stored, cuts, count = _binned(dataset, weight)
     width = len(cuts)
@@ -419,11 +429,11 @@ def fit_nodes(dataset: DataFrame, rules: Rules, weight: str | None = None, local
     if upper:
         schema = "tree int, id long, feature int, threshold double, gain double, left_id long, right_id long, sums array<double>"
         nodes = nodes.unionByName(spark.createDataFrame(upper, schema))
-    return nodes, width
+    return nodes, cuts, sum(sizes.values()) + len(upper)
 
 
 class Forest(Estimator):
-    """Random forest on ``label`` and ``features``; its model is the one of Spark ML."""
+    """Random forest on ``label`` and ``features``."""
 
     def __init__(self, rules: Rules, classification: bool, weight: str | None = None, root_subset: bool = False):
         super().__init__()
@@ -437,10 +447,198 @@ class Forest(Estimator):
         classes = max(2, int(heads["top"]) + 1) if self.classification else 0
         subset = math.ceil(math.sqrt(heads["width"])) if self.root_subset else rules.subset
         rules = Rules(rules.trees, rules.max_depth, rules.min_leaf, subset, classes, rules.seed)
-        nodes, width = fit_nodes(dataset, rules, self.weight)
+        nodes, cuts, count = fit_nodes(dataset, rules, self.weight)
         path = scratch_path(spark, "forest")
-        _write(nodes, path, rules, width)
-        return (RandomForestClassificationModel if classes else RandomForestRegressionModel).load(path)
+        _write(nodes, path, rules, len(cuts))
+        return ForestModel(path, rules.trees, classes, count, [c.tolist() for c in cuts])
+
+
+def _pack(batches: Iterator[pa.RecordBatch], cuts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Blocks of binned rows with consecutive numbers: ``first, bins``."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch.column(0).to_numpy()
+        bins = to_bins(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1), cuts)
+        jumps = np.flatnonzero(np.diff(rows) != 1) + 1
+        starts = [low for a, b in zip([0, *jumps], [*jumps, len(rows)]) for low in range(a, b, BLOCK)]
+        parts = [bins[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(rows)])]
+        yield pa.RecordBatch.from_pydict({"first": pa.array(rows[starts], pa.int64()), "bins": pa.array(parts, pa.binary())})
+
+
+class _Trees:
+    """Nodes of some trees, end to end."""
+
+    def __init__(self, cuts: list[np.ndarray], size: int) -> None:
+        self.cuts, self.size, self.held, self.roots = cuts, size, [], []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        tree, id_, feature, threshold, left, right = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2, 8))
+        cut = np.zeros(len(tree), np.uint8)
+        for f in np.unique(feature[feature >= 0]):
+            at = feature == f
+            cut[at] = np.searchsorted(self.cuts[f], threshold[at], "left")
+        value = np.zeros((len(tree), self.size))
+        value[feature < 0] = batch.column(8).flatten().to_numpy(zero_copy_only=False).reshape(-1, self.size)
+        self.held.append((tree, id_, feature, cut, left, right, value))
+
+    def close(self) -> None:
+        tree, id_, feature, cut, left, right, value = (np.concatenate(c) for c in zip(*self.held))
+        found, slot, counts = np.unique(tree, return_inverse=True, return_counts=True)
+        self.roots = np.cumsum(counts) - counts
+        place = np.empty(len(tree), np.int64)
+        place[self.roots[slot] + id_] = np.arange(len(tree))
+        self.feature, self.cut, self.value = feature[place], cut[place], value[place]
+        self.left, self.right = ((c + self.roots[slot])[place] for c in (left, right))
+        self.held = []
+
+    def votes(self, bins: np.ndarray) -> np.ndarray:
+        """Sum of the values of all trees for each binned row."""
+        out = np.zeros((len(bins), self.size))
+        for root in self.roots:
+            node = np.full(len(bins), root)
+            rows = np.arange(len(bins)) if self.feature[root] >= 0 else np.zeros(0, np.int64)
+            while len(rows):
+                at = node[rows]
+                at = np.where(bins[rows, self.feature[at]] <= self.cut[at], self.left[at], self.right[at])
+                node[rows] = at
+                rows = rows[self.feature[at] >= 0]
+            out += self.value[node]
+        return out
+
+
+def _vote(batches: Iterator[pa.RecordBatch], cuts: list[np.ndarray], size: int) -> Iterator[pa.RecordBatch]:
+    """Votes of each group's trees on each block. Of a (group, part of the rows) the nodes come first, then the blocks."""
+    key, trees, ready = None, None, False
+    for batch in batches:
+        groups, blocks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero((np.diff(groups) != 0) | (np.diff(blocks) != 0)) + 1
+        for a, b in zip([0, *edges], [*edges, len(groups)]):
+            some = batch.slice(a, b - a)
+            if groups[a] != key:
+                key, trees, ready = groups[a], _Trees(cuts, size), False
+            if not blocks[a]:
+                trees.add(some)
+                continue
+            if not ready:
+                trees.close()
+                ready = True
+            for first, bins in zip(some.column(9).to_pylist(), some.column(10).to_pylist()):
+                votes = trees.votes(np.frombuffer(bins, np.uint8).reshape(-1, len(cuts)))
+                yield pa.RecordBatch.from_pydict({"first": pa.array([first]), "group": pa.array([key], pa.int32()), "votes": pa.array([votes.tobytes()])})
+
+
+def _added(pdf: pd.DataFrame, size: int) -> pd.DataFrame:
+    """Votes of all groups on the rows of one block, always added up in the same order."""
+    votes = reduce(np.add, (np.frombuffer(v).reshape(-1, size) for v in pdf.sort_values("group")["votes"]))
+    return pd.DataFrame({"_row": int(pdf["first"].iloc[0]) + np.arange(len(votes)), "_votes": list(votes)})
+
+
+class ForestModel(Model, MLWritable, MLReadable):
+    """Forest stored at ``path`` as Spark ML stores it; ``classes`` is 0 in regression.
+
+    ``transform`` predicts at once: the rows are written with a number each, the votes are stored by number.
+    """
+
+    def __init__(self, path: str, trees: int, classes: int, nodes: int, cuts: list[list[float]]):
+        super().__init__()
+        self.path, self.getNumTrees, self.classes, self.nodes, self.cuts = path, trees, classes, nodes, cuts
+
+    def _nodes(self, spark: SparkSession) -> DataFrame:
+        node = F.col("nodeData")
+        stats = node["impurityStats"]
+        total = F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)
+        shares = F.transform(stats, lambda x: F.when(total == 0, 0.0).otherwise(x / total))
+        return spark.read.parquet(f"{self.path}/data").select(
+            F.col("treeID").alias("tree"), node["id"].alias("id"), node["split"]["featureIndex"].alias("feature"),
+            F.coalesce(F.get(node["split"]["leftCategoriesOrThreshold"], 0), F.lit(0.0)).alias("threshold"),
+            node["leftChild"].alias("left"), node["rightChild"].alias("right"), node["gain"].alias("gain"),
+            (total if self.classes else stats[0]).alias("weight"),
+            (shares if self.classes else F.array(node["prediction"])).alias("value"),
+        )
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        cuts, size, kept = [np.array(c) for c in self.cuts], max(1, self.classes), "first long, bins binary"
+        stored = materialize(dataset.withColumn("_row", F.monotonically_increasing_id()), "to-predict")
+        groups = min(self.getNumTrees, max(GROUPS, -(-self.nodes // GROUP_NODES)))
+        parts = max(1, -(-stored.count() // PART_ROWS))
+        blocks = stored.select("_row", vector_to_array("features").alias("x")).mapInArrow(lambda batches: _pack(batches, cuts), kept)
+        none = lambda kind: F.lit(None).cast(kind)
+        # A task has the nodes of one group and one part of the blocks.
+        task = lambda group, part: (group * parts + part).cast("int")
+        nodes = self._nodes(dataset.sparkSession).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        nodes = nodes.select(
+            task(F.col("tree") % groups, F.col("part")).alias("group"), F.lit(False).alias("block"), "tree", "id", "feature", "threshold", "left", "right",
+            F.when(F.col("feature") < 0, F.col("value")).otherwise(F.array().cast("array<double>")).alias("value"),
+            none("long").alias("first"), none("binary").alias("bins"),
+        )
+        asked = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(
+            task(F.col("group"), F.pmod(F.xxhash64("first"), F.lit(parts))).alias("group"), F.lit(True).alias("block"),
+            *[none(kind).alias(c) for c, kind in nodes.dtypes[2:9]], "first", "bins",
+        )
+        dealt = nodes.unionByName(asked).repartitionById(min(groups * parts, TASKS), (F.col("group") % min(groups * parts, TASKS)).cast("int"))
+        votes = dealt.sortWithinPartitions("group", "block").mapInArrow(lambda batches: _vote(batches, cuts, size), _VOTES)
+        added = votes.groupBy("first").applyInPandas(lambda pdf: _added(pdf, size), "_row long, _votes array<double>")
+        scored = stored.join(materialize(added, "votes"), "_row").drop("_row")
+        if not self.classes:
+            return scored.withColumn("prediction", F.col("_votes")[0] / self.getNumTrees).drop("_votes")
+        total = F.aggregate("_votes", F.lit(0.0), lambda a, x: a + x)
+        shares = F.transform("_votes", lambda x: x / total)
+        best = (F.array_position("_votes", F.array_max("_votes")) - 1).cast("double")
+        return scored.withColumns(
+            {"rawPrediction": array_to_vector("_votes"), "probability": array_to_vector(shares), "prediction": best}
+        ).drop("_votes")
+
+    @property
+    def featureImportances(self) -> DenseVector:
+        """Gain by feature, weighted by the rows of the node; every tree counts the same."""
+        inner = self._nodes(SparkSession.active()).where("feature >= 0")
+        gains = inner.groupBy("tree", "feature").agg(F.sum(F.col("gain") * F.col("weight")).alias("gain"))
+        share = F.col("gain") / F.sum("gain").over(Window.partitionBy("tree"))
+        found = gains.withColumn("share", share).groupBy("feature").agg(F.sum("share").alias("share")).collect()
+        out = np.zeros(len(self.cuts))
+        for r in found:
+            out[r["feature"]] = r["share"]
+        return Vectors.dense(out / (out.sum() or 1.0))
+
+    def spark_model(self) -> Model:
+        """The model of Spark ML, which holds all nodes in the driver."""
+        return (RandomForestClassificationModel if self.classes else RandomForestRegressionModel).load(self.path)
+
+    @property
+    def trees(self) -> list[Model]:
+        return self.spark_model().trees
+
+    def write(self) -> MLWriter:
+        return _ForestWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ForestReader()
+
+
+_KEPT = ("getNumTrees", "classes", "nodes", "cuts")
+
+
+class _ForestWriter(MLWriter):
+    """Settings, and the stored forest as it is."""
+
+    def __init__(self, model: ForestModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        spark, model = self.sparkSession, self.model
+        DefaultParamsWriter.saveMetadata(model, path, spark, {k: getattr(model, k) for k in _KEPT})
+        for part in ("data", "treesMetadata"):
+            spark.read.parquet(f"{model.path}/{part}").write.parquet(f"{path}/forest/{part}")
+        spark.read.text(f"{model.path}/metadata").coalesce(1).write.text(f"{path}/forest/metadata")
+
+
+class _ForestReader(MLReader):
+    def load(self, path: str) -> ForestModel:
+        found = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        return ForestModel(f"{path}/forest", *[found[k] for k in _KEPT])._resetUid(found["uid"])
 
 
 def _write(nodes: DataFrame, path: str, rules: Rules, width: int) -> None:

@@ -7,6 +7,7 @@ shuffled over all rows, and Shapley contributions of all rows (or, if asked for,
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -18,6 +19,7 @@ from wardlens.models.columns import CATEGORICAL, task_of
 from wardlens.models.metrics import regression_metrics, roc_auc
 from wardlens.models.preprocess import feature_names
 from wardlens.operators.ranking import number_rows
+from wardlens.sources.scratch import materialize
 
 
 def _output(model: PipelineModel, rows: DataFrame, task: str) -> DataFrame:
@@ -46,28 +48,36 @@ def _metric(df: DataFrame, task: str) -> float:
     return regression_metrics(df, "label", "output", digits=9).first()["r2"]
 
 
-def shuffled_column(rows: DataFrame, column: str, seed: int) -> DataFrame:
+def shuffled_column(rows: DataFrame, column: str, seed: int, places: DataFrame | None = None) -> DataFrame:
     """``rows`` with the values of one column dealt out in hash order.
 
     Row i in id order gets the value of row i in hash order: two range-placed numberings
-    and one join on the number, so no task sees the whole column.
+    and one join on the number, so no task sees the whole column. ``places``: ``rows`` with
+    their number in id order as ``_nth``, if known.
     """
-    places = number_rows(rows.drop(column), [("facility_id", "asc")], [], out="_nth")
+    if places is None:
+        places = number_rows(rows, [("facility_id", "asc")], [], out="_nth")
     drawn = rows.select(
         "facility_id", F.col(column), F.xxhash64(F.col("facility_id"), F.lit(column), F.lit(seed)).alias("_hash")
     )
     values = number_rows(drawn, [("_hash", "asc")], ["facility_id"], out="_nth").select("_nth", column)
-    return places.join(values, "_nth").drop("_nth")
+    return places.drop(column).join(values, "_nth").drop("_nth")
 
 
 def permutation_importance(
     model: PipelineModel, rows: DataFrame, task: str, seed: int = 42, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """Metric lost per shuffled input column, over all ``rows``."""
-    base = _metric(_output(model, rows, task), task)
-    wanted = columns if columns is not None else (*CATEGORICAL, *task_of(task).numeric)
-    pairs = [(c, base - _metric(_output(model, shuffled_column(rows, c, seed), task), task)) for c in wanted]
-    return _small_frame([(c, round(x, 6)) for c, x in pairs], len(pairs))
+    """Metric lost per shuffled input column, over all ``rows``.
+
+    The rows as they are and those with each column shuffled are scored by one ``transform``.
+    """
+    wanted = list(columns if columns is not None else (*CATEGORICAL, *task_of(task).numeric))
+    places = number_rows(rows, [("facility_id", "asc")], [], out="_nth")
+    tables = [rows, *[shuffled_column(places.drop("_nth"), c, seed, places) for c in wanted]]
+    together = reduce(DataFrame.unionByName, [t.withColumn("_table", F.lit(k)) for k, t in enumerate(tables)])
+    outputs = materialize(_output(model, together, task).select("_table", "label", "output"), "outputs")
+    base, *lost = [_metric(outputs.where(F.col("_table") == k), task) for k in range(len(tables))]
+    return _small_frame([(c, round(base - x, 6)) for c, x in zip(wanted, lost)], len(wanted))
 
 
 def hash_sample(rows: DataFrame, n: int, seed: int) -> DataFrame:

@@ -136,3 +136,19 @@ def test_passes_over_partitions_equal_one_task_and_send_each_node_once(spark, mo
     got = booster._totals(blocks, {0: booster.Tree()}, {0: [0]}, rules, {0: kept})
     want = booster._sums({0: (bins, y, np.zeros(len(y)))}, {0: booster.Tree()}, {0: [0]}, rules)
     assert np.allclose(got[0], want[0])
+
+
+def test_splits_are_picked_in_the_tasks(spark):
+    """The driver gets a split and six sums for a node, whatever the number of bins."""
+    x, y = data(300, 5, True, True)
+    rules = Growth(rounds=3, max_leaves=6, min_rows=5, classification=True)
+    cuts = [np.unique(c[~np.isnan(c)]) for c in x.T]
+    bins = booster.to_bins(x, cuts)
+    kept = {0: np.ones((4, booster.BINS + 1), bool)}
+    blocks = spark.sparkContext.parallelize([{0: (bins[k::3], y[k::3], np.zeros(len(y[k::3])))} for k in range(3)], 3)
+    growers = {0: booster._Grower(rules)}
+    ((best, total, left),) = booster._looks(blocks, growers, {0: [0]}, rules, kept)[0]
+    want = booster._sums({0: (bins, y, np.zeros(len(y)))}, {0: booster.Tree()}, {0: [0]}, rules)[0][0]
+    assert best == booster.best_split(want, rules) and best[0] > 0
+    assert np.allclose(total, want[0].sum(axis=0)) and len(total) == len(left) == 3
+    assert rules.min_rows <= left[2] <= 300 - rules.min_rows

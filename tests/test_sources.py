@@ -5,6 +5,7 @@ import json
 import random
 import zipfile
 
+import pandas as pd
 import pytest
 from conftest import feature_rows
 
@@ -218,3 +219,28 @@ def test_partitioned_sink_prunes_releases(spark, features, tmp_path):
 
 def test_scratch_folder_is_the_configured_one(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_release_files_are_read_as_pandas_reads_them(monkeypatch):
+    """Even files by Arrow, from the first record with fewer fields on by pandas; in pieces, with the same rows."""
+    monkeypatch.setattr(archives, "READ_BYTES", 256)
+    general = {f: h[0] for f, h in schemas.RELEASE_FIELDS["general"].items()}
+    heads = [f" {h} " for h in general.values()] + ["More"]
+    row = lambda k, text: ",".join([str(k), f'"{text} ""{k}"",\n{k}"', *["" if k % 3 else "NA"] * (len(heads) - 2)])
+    even = "\ufeff" + ",".join(heads) + "\n\n" + "".join(row(k, "Café") + "\r\n" for k in range(40))
+    files = {"even": even.encode(), "latin": even[1:].encode("latin-1"), "uneven": (even + "7,short\n   \n" + row(8, "last")).encode(), "none": ",".join(heads).encode()}
+    for name, content in files.items():
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as z:
+            for file in schemas.RELEASE_FILES.values():
+                z.writestr(file, content)
+        with zipfile.ZipFile(packed) as z:
+            pieces = [p for p in archives._release_rows(z) if p[0] == "general"]
+            encoding = "latin-1" if name == "latin" else "utf-8-sig"
+            want = pd.read_csv(io.BytesIO(content), dtype=str, keep_default_na=False, encoding=encoding).rename(columns=str.strip)
+        assert [k for _, places, _ in pieces for k in places.to_pylist()] == list(range(len(want)))
+        assert name == "none" or len(pieces) > 1
+        for k, field in enumerate(archives.FIELDS):
+            got = [v for _, _, columns in pieces for v in columns[k].to_pylist()]
+            mine = want[general[field]] if field in general else [None] * len(want)
+            assert got == [None if pd.isna(v) else v for v in mine], (name, field)

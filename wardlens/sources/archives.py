@@ -6,8 +6,8 @@
    members. Each member's stretch is cut out of the chunks it lies in by a join on the archive and a grid of offsets.
 3. Releases. Stretches meet by member in order, are inflated, and written as ``archive, member, period, usable,
    chunk, data``. Usable releases hold all three files; of a label the last in name order is chosen.
-4. Rows. Chosen releases are dealt one to a task and parsed in pieces; rows are stored by table and label, so each
-   table is scanned alone.
+4. Rows. Chosen releases are dealt to at most ``TASKS`` tasks and parsed one after another, in pieces; rows are stored by
+   table, so each table is scanned alone and the number of files does not follow that of the releases.
 
 Zip members can only be opened by a library, so Python runs in the executors. One release zip (not its
 content) is in memory at a time.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bz2
 import codecs
+import csv
 import io
 import pathlib
 import re
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow import csv as arrow_csv
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ from wardlens.sources.sinks import write_table
 ARCHIVE_GLOB = "hospitals_annual_*.zip"
 CHUNK_ROWS = 20_000
 CHUNK_BYTES = 4 << 20
+READ_BYTES = 4 << 20
+TASKS = 1_000
 TAIL = 66_000  # the end records of an archive, with the longest comment, lie in its last bytes
 
 FIELDS = tuple(dict.fromkeys(f for fields in RELEASE_FIELDS.values() for f in fields))
@@ -253,39 +257,72 @@ def _encoding(release: zipfile.ZipFile, member: str) -> str:
     return "utf-8-sig"
 
 
-def _release_rows(release: zipfile.ZipFile) -> Iterator[pd.DataFrame]:
+def _plain_rows(release: zipfile.ZipFile, member: str, encoding: str) -> Iterator[tuple[list[str], pa.RecordBatch]]:
+    """Headings and text columns of a file whose records all have as many fields as its heading line. Raises
+    ``pa.ArrowInvalid`` at the first piece of any other file."""
+    with release.open(member) as source:
+        try:
+            names = next((r for r in csv.reader(io.TextIOWrapper(source, encoding, newline="")) if r), [])
+        except csv.Error as e:
+            raise pa.ArrowInvalid(str(e)) from e
+    if len(names) < 2:
+        raise pa.ArrowInvalid("no heading line")
+    keys = [str(k) for k in range(len(names))]
+    with release.open(member) as source:
+        batches = arrow_csv.open_csv(
+            source,
+            arrow_csv.ReadOptions(use_threads=False, block_size=READ_BYTES, column_names=keys, encoding=encoding.removesuffix("-sig")),
+            arrow_csv.ParseOptions(newlines_in_values=True),
+            arrow_csv.ConvertOptions(column_types=dict.fromkeys(keys, pa.string()), strings_can_be_null=False),
+        )
+        for k, batch in enumerate(batches):
+            yield names, batch.slice(0 if k else 1)  # the heading line comes as the first record
+
+
+def _uneven_rows(release: zipfile.ZipFile, member: str, encoding: str, done: int) -> Iterator[tuple[list[str], pa.RecordBatch]]:
+    """The same for any file, after its first ``done`` rows; fields that a record lacks are missing."""
+    with release.open(member) as source:
+        for chunk in pd.read_csv(source, dtype=str, keep_default_na=False, encoding=encoding, chunksize=CHUNK_ROWS):
+            names, chunk, done = list(chunk.columns), chunk.iloc[done:], max(0, done - len(chunk))
+            columns = [pa.array(chunk.iloc[:, k], pa.string(), from_pandas=True) for k in range(len(names))]
+            yield names, pa.RecordBatch.from_arrays(columns, [str(k) for k in range(len(names))])
+
+
+def _release_rows(release: zipfile.ZipFile) -> Iterator[tuple[str, pa.Array, list[pa.Array]]]:
+    """(table, place of each row in its file, FIELDS) of the three files, in pieces."""
     for table, member in _members(release).items():
         encoding, done = _encoding(release, member), 0
-        with release.open(member) as source:
-            chunks = pd.read_csv(source, dtype=str, keep_default_na=False, encoding=encoding, chunksize=CHUNK_ROWS)
-            for chunk in chunks:
-                chunk.columns = [c.strip() for c in chunk.columns]
-                out = pd.DataFrame(index=chunk.index)
-                out["row_seq"] = range(done, done + len(chunk))
-                done += len(chunk)
-                for field in FIELDS:
-                    headings = RELEASE_FIELDS[table].get(field, ())
-                    found = next((h for h in headings if h in chunk.columns), None)
-                    out[field] = chunk[found] if found else None
-                out["table_name"] = table
-                yield out
-
-
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+        def shaped(names: list[str], batch: pa.RecordBatch) -> tuple[str, pa.Array, list[pa.Array]]:
+            bare = [n.strip() for n in names]
+            found = [next((h for h in RELEASE_FIELDS[table].get(f, ()) if h in bare), None) for f in FIELDS]
+            columns = [batch.column(bare.index(h)) if h else pa.nulls(batch.num_rows, pa.string()) for h in found]
+            return table, pa.array(range(done, done + batch.num_rows), pa.int64()), columns
+
+        try:
+            for names, batch in _plain_rows(release, member, encoding):
+                yield shaped(names, batch)
+                done += batch.num_rows
+        except pa.ArrowInvalid:
+            for names, batch in _uneven_rows(release, member, encoding, done):
+                yield shaped(names, batch)
+                done += batch.num_rows
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the releases whose chunks come in order."""
+    names = [f.strip().split(" ")[0] for f in ROWS_SCHEMA.split(",")]
 
-    def done() -> Iterator[pd.DataFrame]:
+    def done() -> Iterator[pa.RecordBatch]:
         archive, member, period = key
         with zipfile.ZipFile(io.BytesIO(b"".join(held))) as release:
-            for rows in _release_rows(release):
-                rows.insert(0, "archive", archive)
-                rows.insert(1, "member", member)
-                rows["period"] = period
-                yield rows
+            for table, places, columns in _release_rows(release):
+                same = [pa.repeat(pa.scalar(v, pa.string()), len(places)) for v in (archive, member, table, period)]
+                yield pa.RecordBatch.from_arrays([*same[:2], places, *columns, *same[2:]], names)
 
     key, held = None, []
     for batch in batches:
-        for *now, data in zip(*[batch[c] for c in ("archive", "member", "period", "data")]):
+        for *now, data in zip(*[batch.column(c).to_pylist() for c in ("archive", "member", "period", "data")]):
             if now != key:
                 if key is not None:
                     yield from done()
@@ -296,13 +333,14 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def unpack_archives(chunks: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Rows of all chosen releases, stored by table and label: archive, member, row_seq and the text fields."""
+    """Rows of all chosen releases, stored by table: archive, member, row_seq and the text fields."""
     found = releases(chunks, chunk_bytes)
     chosen = materialize(choose(found), "chosen")
     path = scratch_path(chunks.sparkSession, "archive-rows")
     each = found.join(chosen, ["archive", "member"]).select("task", "archive", "member", "period", "chunk", "data")
-    each = each.repartitionById(max(1, chosen.count()), F.col("task")).sortWithinPartitions("task", "chunk")
-    each.mapInPandas(_parse, ROWS_SCHEMA).write.partitionBy("table_name", "period").parquet(path)
+    tasks = min(max(1, chosen.count()), TASKS)
+    each = each.repartitionById(tasks, F.col("task") % tasks).sortWithinPartitions("task", "chunk")
+    each.mapInArrow(_parse, ROWS_SCHEMA).write.partitionBy("table_name").parquet(path)
     return chunks.sparkSession.read.schema(ROWS_SCHEMA).parquet(path)
 
 

@@ -544,6 +544,14 @@ class ForestModel(Model, MLWritable, MLReadable):
         super().__init__()
         self.path, self.getNumTrees, self.classes, self.nodes, self.cuts = path, trees, classes, nodes, cuts
 
+    @property
+    def numFeatures(self) -> int:
+        return len(self.cuts)
+
+    @property
+    def numClasses(self) -> int:
+        return self.classes
+
     def _nodes(self, spark: SparkSession) -> DataFrame:
         node = F.col("nodeData")
         stats = node["impurityStats"]

@@ -125,7 +125,7 @@ def forest_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return train.evaluate(fitted(spark, sf_dir, "regression")[0], fitted(spark, sf_dir, "classification")[0])
+    return train.evaluate(*train.train_both(stored_features(spark, sf_dir), SIZES))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,3 +133,34 @@ def test_labels_are_needed(spark):
     for bad in (df.limit(0), df.selectExpr("IF(label = 1, null, label) AS label", "w", "features")):
         with pytest.raises(ValueError):
             forest.Forest(Rules(trees=2), True).fit(bad)
+
+
+@pytest.mark.parametrize("classes, subset", [(0, 0), (2, 5)])
+def test_levels_of_a_category_are_searched_in_one_pass(monkeypatch, classes, subset):
+    """Sums are added up per column, not per level, and the trees stay those of levels searched one by one."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    levels, kinds, many = rng.integers(0, 12, n), rng.integers(0, 4, n), rng.integers(0, 40, n)
+    bins = np.concatenate([levels == np.arange(11)[:, None], kinds == np.arange(4)[:, None], [kinds % 2 == 0, many, many > 50]]).astype(np.uint8)
+    bins[15] += 1  # two bins, the lower of which is not 0
+    label = (many > 20) + (levels % 3 == 0) + rng.normal(size=n)
+    label = (label > 1).astype(float) if classes else label
+    rules = Rules(classes=classes, subset=subset, max_depth=8)
+    cuts = [np.arange(b.max() + 1.0) for b in bins]
+    stats = forest._stats(rng.integers(1, 4, n), label, np.ones(n), rules)
+    cells, calls = forest._cells, []
+    monkeypatch.setattr(forest, "_cells", lambda *args: calls.append(1) or cells(*args))
+    got = forest.grow(bins, stats, 0, 1, cuts, rules)
+    few = len(calls)
+    monkeypatch.setattr(forest, "SHARED", 1)
+    want = forest.grow(bins, stats, 0, 1, cuts, rules)
+    assert few <= 8 * 4 < len(calls) - few
+    assert len(got["feature"]) > 40 and got["feature"].max() <= 16  # the last feature has one bin
+    assert all(np.allclose(got[c], want[c], atol=1e-8) for c in got)
+
+
+def test_nodes_of_whole_trees_are_written_once(spark, monkeypatch):
+    names, kept = [], forest.materialize
+    monkeypatch.setattr(forest, "materialize", lambda df, name: names.append(name) or kept(df, name))
+    model = forest.Forest(Rules(trees=2, max_depth=4), False).fit(made(spark, 200, 0))
+    assert names == ["forest-rows", "forest-binned"] and model.nodes == sum(t.numNodes for t in model.trees)

@@ -9,6 +9,7 @@ from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from checks import registry_models
 from wardlens.models import candidates, columns, explain, metrics, preprocess, splits, train, triage, validate
 from wardlens.sources.sinks import save_model
 
@@ -243,3 +244,12 @@ def test_unused_column_has_no_permutation_importance(spark, features):
     rows = columns.model_rows(flat, "classification")
     got = explain.permutation_importance(fitted.model, rows, "classification", columns=["completed_surveys"]).first()
     assert got.importance == 0.0
+
+
+def test_metrics_document_fits_both_models_on_one_stored_table(spark, features, monkeypatch):
+    stored = []
+    monkeypatch.setattr(registry_models, "SIZES", TINY)
+    monkeypatch.setattr(registry_models, "stored_features", lambda spark, sf_dir: stored.append(1) or features)
+    got = registry_models.document(spark, "").first()
+    assert len(stored) == 1
+    assert got == train.evaluate(train.train_satisfaction(features, TINY), train.train_underperformer(features, TINY)).first()

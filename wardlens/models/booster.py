@@ -232,7 +232,7 @@ def to_bins(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
 
 def quantile_cuts(df: DataFrame, width: int, by: str) -> dict[object, list[np.ndarray]]:
     """Cut points of every feature for each model, from one pass of quantile sketches."""
-    shares = [(k + 1) / BINS for k in range(BINS - 1)]
+    shares = F.lit(np.array([(k + 1) / BINS for k in range(BINS - 1)]))  # one literal, made once: a list becomes as many of them for each feature
     values = [F.nanvl(F.col("x")[k], F.lit(None).cast("double")) for k in range(width)]
     sketch = [F.percentile_approx(v, shares, 100_000).alias(f"q{k}") for k, v in enumerate(values)]
     rows = df.groupBy(by).agg(*sketch).collect()  # one row per model

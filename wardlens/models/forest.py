@@ -45,6 +45,7 @@ GROUPS = 48  # groups of trees that predict apart, at least (if there are as man
 GROUP_NODES = 1 << 21  # nodes of a group, at most (if a tree has fewer)
 PART_ROWS = 1 << 21  # rows that a task predicts
 BLOCK = 1 << 13
+SHARED = 31  # features that share a column, at most
 _VOTES = "first long, group int, votes binary"
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 _NODES = "slot long, id long, feature int, threshold double, gain double, left_id long, sums array<double>"
@@ -186,19 +187,85 @@ def _best_cut(bins: np.ndarray, slot: np.ndarray, stats: np.ndarray, total: np.n
     return node[starts], top, bin_[hits[at]]
 
 
-def best_splits(bins: np.ndarray, slot: np.ndarray, stats: np.ndarray, total: np.ndarray, may: np.ndarray | None, widths: list[int], rules: Rules):
-    """(gain, feature, cut) for each node; gain 0 if it has no split. Ties go to the lower feature, then the lower cut."""
+@dataclass(frozen=True)
+class Columns:
+    """Binned features in fewer columns, (column, row).
+
+    Two-valued features of which no row has two at the higher bin, such as the levels of a category, share a column: it holds
+    the ``code`` of the feature that is high, or 0. Every other column has the bins of one feature, whose code is 0. Features
+    with one bin have no column.
+    """
+
+    values: np.ndarray
+    members: list[list[int]]  # features of each column
+    column: np.ndarray  # of each feature
+    code: np.ndarray
+    low: np.ndarray  # lower bin of each feature
+
+
+def share_columns(bins: np.ndarray) -> Columns:
+    """Columns of binned features (feature, row)."""
+    low, high = bins.min(axis=1), bins.max(axis=1)
+    values, members, column, code = [], [], np.full(len(bins), -1), np.zeros(len(bins), np.int64)
+    shared: list[int] = []
+    for f, mine in enumerate(bins):
+        up = mine == high[f]
+        if low[f] == high[f]:
+            continue
+        if not (up | (mine == low[f])).all():
+            column[f] = len(values)
+            values.append(mine)
+            members.append([f])
+            continue
+        rows = np.flatnonzero(up)
+        free = (c for c in shared if len(members[c]) < SHARED and not values[c][rows[:64]].any() and not values[c][rows].any())
+        at = next(free, None)
+        if at is None:
+            at = len(values)
+            shared.append(at)
+            values.append(np.zeros(bins.shape[1], np.uint8))
+            members.append([])
+        members[at].append(f)
+        column[f], code[f] = at, len(members[at])
+        values[at][rows] = code[f]
+    kept = np.stack(values) if values else np.zeros((0, bins.shape[1]), np.uint8)
+    return Columns(kept, members, column, code, low.astype(np.int64))
+
+
+def _best_shared(codes: np.ndarray, slot: np.ndarray, stats: np.ndarray, total: np.ndarray, features: np.ndarray, may: np.ndarray | None, rules: Rules):
+    """(gain, feature) of the best of the features that share a column, for each node."""
+    above = _cells(codes, slot, stats, total.shape[1], len(features) + 1)[:, :, 1:]
+    gain = _gains(total[:, :, None] - above, total[:, :, None], rules)
+    if may is not None:
+        gain = np.where(may[:, features], gain, 0.0)
+    top = gain.argmax(axis=1)
+    return gain[np.arange(len(top)), top], features[top]
+
+
+def best_splits(values: np.ndarray, columns: Columns, slot: np.ndarray, stats: np.ndarray, total: np.ndarray, may: np.ndarray | None, widths: list[int], rules: Rules):
+    """(gain, feature, cut) for each node; gain 0 if it has no split. Ties go to the lower feature, then the lower cut.
+
+    ``values`` are the columns of the rows at hand.
+    """
     nodes = total.shape[1]
     gain, feature, cut = np.zeros(nodes), np.full(nodes, -1), np.zeros(nodes, np.int64)
-    for f, width in enumerate(widths):
-        mine, s, x = bins[f], slot, stats
+    if not rules.classes:
+        stats, total = stats[:2], total[:2]  # gains need no squares
+    for mine, members in zip(values, columns.members):
+        f, s, x = members[0], slot, stats
+        if columns.code[f]:
+            g, of = _best_shared(mine, s, x, total, np.array(members), may, rules)
+            better = (g > gain) | ((g == gain) & (g > 0) & (of < feature))
+            gain[better], feature[better], cut[better] = g[better], of[better], columns.low[of[better]]
+            continue
+        width = widths[f]
         if may is not None:
             rows = np.flatnonzero(may[slot, f])
             if not len(rows):
                 continue
-            mine, s, x = mine[rows], slot[rows], stats[:, rows]
+            mine, s, x = mine[rows], slot[rows], stats.take(rows, 1)
         at, g, c = _best_cut(mine, s, x, total, width, rules)
-        better = g > gain[at]
+        better = (g > gain[at]) | ((g == gain[at]) & (g > 0) & (f < feature[at]))
         if may is not None:
             better &= may[at, f]
         at = at[better]
@@ -208,8 +275,8 @@ def best_splits(bins: np.ndarray, slot: np.ndarray, stats: np.ndarray, total: np
 
 def grow(bins: np.ndarray, stats: np.ndarray, tree: int, path: int, cuts: list[np.ndarray], rules: Rules) -> dict[str, np.ndarray]:
     """All nodes from ``path`` down, level by level; ``bins`` is (feature, row)."""
-    widths = [len(c) + 2 for c in cuts]
-    slot, paths, first, levels = np.zeros(bins.shape[1], np.int64), np.array([path]), 0, []
+    widths, columns = [len(c) + 2 for c in cuts], share_columns(bins)
+    values, slot, paths, first, levels = columns.values, np.zeros(bins.shape[1], np.int64), np.array([path]), 0, []
     while len(paths):
         nodes = len(paths)
         total = np.stack([np.bincount(slot, s, nodes) for s in stats])
@@ -217,9 +284,9 @@ def grow(bins: np.ndarray, stats: np.ndarray, tree: int, path: int, cuts: list[n
         open_ = np.full(nodes, int(paths[0]).bit_length() <= rules.max_depth) & (total[0] >= 2 * rules.min_leaf)
         if open_.any():
             rows, rank = np.flatnonzero(open_[slot]), np.cumsum(open_) - 1
-            bins, stats, slot = bins[:, rows], stats[:, rows], slot[rows]
+            values, stats, slot = values.take(rows, 1), stats.take(rows, 1), slot[rows]
             may = allowed(paths[open_], tree, len(cuts), rules)
-            gain[open_], feature[open_], cut[open_] = best_splits(bins, rank[slot], stats, total[:, open_], may, widths, rules)
+            gain[open_], feature[open_], cut[open_] = best_splits(values, columns, rank[slot], stats, total[:, open_], may, widths, rules)
         split = gain > 0
         rank = np.cumsum(split) - 1
         threshold = np.array([cuts[f][c] if c < len(cuts[f]) else np.inf for f, c in zip(feature[split], cut[split])])
@@ -229,8 +296,10 @@ def grow(bins: np.ndarray, stats: np.ndarray, tree: int, path: int, cuts: list[n
         level["sums"] = total.T
         levels.append(level)
         rows = np.flatnonzero(split[slot]) if split.any() else np.zeros(0, np.int64)
-        bins, stats, slot = bins[:, rows], stats[:, rows], slot[rows]
-        slot = 2 * rank[slot] + (bins[feature[slot], np.arange(len(rows))] > cut[slot])
+        values, stats, slot = values.take(rows, 1), stats.take(rows, 1), slot[rows]
+        of = feature[slot]
+        mine, code = values[columns.column[of], np.arange(len(rows))], columns.code[of]
+        slot = 2 * rank[slot] + np.where(code > 0, mine == code, mine > cut[slot])
         paths = np.stack([2 * paths[split], 2 * paths[split] + 1], axis=1).ravel()
         first += nodes
     return {c: np.concatenate([level[c] for level in levels]) for c in levels[0]}
@@ -387,8 +456,11 @@ def _binned(dataset: DataFrame, weight: str | None) -> tuple[DataFrame, list[np.
     return stored, cuts, count
 
 
-def fit_nodes(dataset: DataFrame, rules: Rules, weight: str | None = None, local_rows: int = LOCAL_ROWS) -> tuple[DataFrame, list[np.ndarray], int]:
-    """(``tree, id, feature, threshold, gain, left_id, sums`` of all nodes, cut points, number of nodes). ``id`` runs from 0 in each tree."""
+def fit_nodes(dataset: DataFrame, rules: Rules, weight: str | None = None, local_rows: int = LOCAL_ROWS) -> tuple[DataFrame, list[np.ndarray]]:
+    """(``tree, id, feature, threshold, gain, left_id, right_id, sums`` of all nodes, cut points). ``id`` runs from 0 in each tree.
+
+    Without tops the trees are grown as the frame is read, so read it once.
+    """
     spark = dataset.sparkSession
     stored, cuts, count = _binned(dataset, weight)
     width = len(cuts)
@@ -403,7 +475,12 @@ def fit_nodes(dataset: DataFrame, rules: Rules, weight: str | None = None, local
     dealt = stored.mapInArrow(lambda batches: _deal(batches, tops, slots, width, rules), "slot long, rows binary")
     tasks = min(len(where), TASKS)
     dealt = dealt.repartitionById(tasks, (F.col("slot") % tasks).cast("int")).sortWithinPartitions("slot")
-    lower = materialize(dealt.mapInArrow(lambda batches: _grow_slots(batches, where, cuts, rules), _NODES), "forest-nodes")
+    lower = dealt.mapInArrow(lambda batches: _grow_slots(batches, where, cuts, rules), _NODES)
+    if len(where) == rules.trees:  # every tree is one rest, whose number is that of the tree
+        right = F.when(F.col("left_id") >= 0, F.col("left_id") + 1).otherwise(-1)
+        whole = ("id", "feature", "threshold", "gain", "left_id", right.alias("right_id"), "sums")
+        return lower.select(F.col("slot").cast("int").alias("tree"), *whole), cuts
+    lower = materialize(lower, "forest-nodes")
     # Inner nodes of a top come first, then the nodes below each of its ends.
     sizes = {r["slot"]: r["count"] for r in lower.groupBy("slot").count().collect()}
     places, rest = [], (1 + rules.classes if rules.classes else 3)
@@ -429,7 +506,7 @@ def fit_nodes(dataset: DataFrame, rules: Rules, weight: str | None = None, local
     if upper:
         schema = "tree int, id long, feature int, threshold double, gain double, left_id long, right_id long, sums array<double>"
         nodes = nodes.unionByName(spark.createDataFrame(upper, schema))
-    return nodes, cuts, sum(sizes.values()) + len(upper)
+    return nodes, cuts
 
 
 class Forest(Estimator):
@@ -447,9 +524,10 @@ class Forest(Estimator):
         classes = max(2, int(heads["top"]) + 1) if self.classification else 0
         subset = math.ceil(math.sqrt(heads["width"])) if self.root_subset else rules.subset
         rules = Rules(rules.trees, rules.max_depth, rules.min_leaf, subset, classes, rules.seed)
-        nodes, cuts, count = fit_nodes(dataset, rules, self.weight)
+        nodes, cuts = fit_nodes(dataset, rules, self.weight)
         path = scratch_path(spark, "forest")
         _write(nodes, path, rules, len(cuts))
+        count = spark.read.parquet(f"{path}/data").count()
         return ForestModel(path, rules.trees, classes, count, [c.tolist() for c in cuts])
 
 

@@ -7,6 +7,7 @@ them out for itself.
 1. Tops. Nodes that hold more than ``LOCAL_ROWS`` rows are split by passes over the table, a level of all trees at a time:
    tasks add up sums per (tree, node, feature, bin), a shuffle by (tree, node) finds the splits, and only these reach the driver.
 2. Rests. Each row goes to the nodes below the tops that drew it, one node to a task, which grows all that is below it.
+   Two-valued features of which no row has two at the higher bin share a column there and take one pass over the rows.
 3. The nodes are written in the form in which Spark ML stores forests. They stay there: no model lies in the driver.
 4. Prediction. Rows are binned by the same cuts and packed in blocks; each group of trees meets all blocks in tasks that hold
    the nodes of their group only, and the votes of all groups are added up by block.

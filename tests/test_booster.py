@@ -152,3 +152,51 @@ def test_splits_are_picked_in_the_tasks(spark):
     assert best == booster.best_split(want, rules) and best[0] > 0
     assert np.allclose(total, want[0].sum(axis=0)) and len(total) == len(left) == 3
     assert rules.min_rows <= left[2] <= 300 - rules.min_rows
+
+
+def mixed_rows(n, seed, classification):
+    """Levels of two categories as two-valued features, numbers with missing values, a feature without spread."""
+    rng = np.random.default_rng(seed)
+    levels = [np.eye(k + 1)[rng.integers(0, k + 1, n)][:, :k] for k in (6, 4)]  # one level has no feature
+    numbers = np.round(rng.normal(size=(n, 3)), 1)
+    numbers[rng.random((n, 3)) < 0.1] = np.nan
+    some = np.where(rng.random(n) < 0.2, np.nan, 1.0)  # one value, or missing
+    x = np.column_stack([*levels, numbers, some, np.full(n, 3.0)])
+    signal = x[:, 0] * 2 - x[:, 7] + np.nan_to_num(numbers[:, 0], nan=1.5) + rng.normal(size=n) * 0.3
+    return x, (signal > 0.3).astype(float) if classification else signal
+
+
+def equal_to_passes(spark, monkeypatch, rules):
+    """A model grown in a task and by passes over the same rows."""
+    x, y = mixed_rows(400, 3, rules.classification)
+    df = spark.createDataFrame([(float(t), Vectors.dense(r)) for r, t in zip(x.tolist(), y.tolist())], ["label", "features"]).repartition(3)
+    alone = booster.Booster(rules).fit(df).ensemble
+    monkeypatch.setattr(booster, "LOCAL_ROWS", 0)
+    assert np.allclose(booster.Booster(rules).fit(df).ensemble.raw(x), alone.raw(x), atol=1e-9)
+    cuts = [np.unique(c[~np.isnan(c)]) for c in x.T]
+    bins = booster.to_bins(x, cuts)
+    held = booster._Held(bins, y, 0.2, rules)
+    assert len(held.keys) < 8 < x.shape[1]  # one pass over the rows for several features
+    held.g, held.h = booster._gradients(y, held.raw, rules.classification)
+    want = booster._sums({0: (bins, y, held.raw)}, {0: booster.Tree()}, {0: [0]}, rules)[0][0]
+    assert np.allclose(held._by_feature(held._count(np.arange(len(y)))), want)
+
+
+def test_packed_columns_of_a_classifier_give_the_sums_of_all_features(spark, monkeypatch):
+    equal_to_passes(spark, monkeypatch, Growth(**DEPTHWISE, classification=True))
+
+
+def test_each_model_is_boosted_in_a_task_of_its_own(spark, monkeypatch):
+    """The bound holds for a model: models that are small each need no pass over all rows."""
+    rules = Growth(**LEAFWISE, classification=True)
+    rows, alone = [], {}
+    for m in (4, 0, 2):
+        x, y = data(90, m, True, True)
+        mine = [(m, float(t), Vectors.dense(r)) for r, t in zip(x.tolist(), y.tolist())]
+        rows += mine
+        alone[m] = x, booster.Booster(rules).fit(spark.createDataFrame(mine, ["m", "label", "features"])).ensemble
+    monkeypatch.setattr(booster, "LOCAL_ROWS", 100)
+    monkeypatch.setattr(booster, "_totals", None)
+    got = booster.fit_many(spark.createDataFrame(rows, ["m", "label", "features"]).repartition(5), rules, "m")
+    for m, (x, one) in alone.items():
+        assert np.allclose(got[m].raw(x), one.raw(x), atol=1e-9)

@@ -5,9 +5,10 @@ learned in every split. The binned rows are written once. A pass over them adds
 each (model, node, feature, bin that occurs) inside the tasks, and those of a node are added up in one task, which picks its
 split; only the split of each node and the sums of its two sides reach the driver.
 
-A table of at most ``LOCAL_ROWS`` rows is boosted in one job, by the same steps inside one task, since starting five or more
-jobs a round takes longer than their work. There, of two children only the smaller one is counted; the other is the parent
-less its sibling.
+Models of at most ``LOCAL_ROWS`` rows and ``LOCAL_CELLS`` bytes of bins each are boosted in one job, each model in a task of its
+own by the same steps, since starting five or more jobs a round takes longer than their work. There, of two children only the
+smaller one is counted; the other is the parent less its sibling. The levels of a category share a column, and columns of few
+bins are counted by one key (``_Held``).
 
 A tree grows best-first to ``max_leaves``. A pass looks at the children of all leaves that may still be split, not only of
 the best one, so a tree takes about as many passes as it has levels and still is the one that single steps would grow.
@@ -19,26 +20,31 @@ executor costs some trees at most.
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import RDD, StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlens.models.bins import BINS, MISSING, quantile_cuts, to_bins
+from wardlens.models.forest import share_columns
 from wardlens.sources.scratch import materialize, scratch_root
 
-BINS = 255
-MISSING = BINS  # bin of missing values
 CHECKPOINT = 50
 CHUNK = 1 << 15
 NARROW = 8  # features with rows in no more bins than that are searched apart
-LOCAL_ROWS = 1 << 17
+LOCAL_ROWS = 1 << 20  # of a model that one task boosts
+LOCAL_CELLS = 1 << 26  # bytes of bins of such a model
+PACKED = 1 << 12  # cells of columns that are counted together
 ADDERS = 2  # tasks that add up the sums of all partitions and pick the splits
 _WIDE = BINS + 1
 
@@ -222,23 +228,6 @@ class Ensemble:
         return self.start + sum((np.array(t.value)[t.leaves(bins)] for t in self.trees), np.zeros(len(x)))
 
 
-def to_bins(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
-    """Bin of every value: the number of cut points below it."""
-    out = np.empty(x.shape, np.uint8)
-    for k, c in enumerate(cuts):
-        out[:, k] = np.where(np.isnan(x[:, k]), MISSING, np.searchsorted(c, x[:, k], "left"))
-    return out
-
-
-def quantile_cuts(df: DataFrame, width: int, by: str) -> dict[object, list[np.ndarray]]:
-    """Cut points of every feature for each model, from one pass of quantile sketches."""
-    shares = F.lit(np.array([(k + 1) / BINS for k in range(BINS - 1)]))  # one literal, made once: a list becomes as many of them for each feature
-    values = [F.nanvl(F.col("x")[k], F.lit(None).cast("double")) for k in range(width)]
-    sketch = [F.percentile_approx(v, shares, 100_000).alias(f"q{k}") for k, v in enumerate(values)]
-    rows = df.groupBy(by).agg(*sketch).collect()  # one row per model
-    return {r[by]: [np.unique(np.array(r[f"q{k}"] if r[f"q{k}"] is not None else [], float)) for k in range(width)] for r in rows}
-
-
 def _gradients(y: np.ndarray, raw: np.ndarray, classification: bool) -> tuple[np.ndarray, np.ndarray]:
     if not classification:
         return raw - y, np.ones(len(y))
@@ -343,12 +332,12 @@ def fit_many(df: DataFrame, rules: Growth, by: str) -> dict[object, Ensemble]:
     fitted = {m: Ensemble(starts[m], cuts[m]) for m in starts}
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(f"{scratch_root(spark)}/wardlens/rounds")
-    blocks = _blocks(stored, starts, width)
-    if stored.count() <= LOCAL_ROWS:
-        for trees in _blocks(stored.coalesce(1), starts, width).flatMap(lambda block: _boosted(block, rules)).collect():  # some kB a tree
-            for m, tree in trees.items():
-                fitted[m].trees.append(tree)
+    most = stored.groupBy("model").count().agg(F.max("count")).first()[0]
+    if most <= LOCAL_ROWS and most * width <= LOCAL_CELLS:
+        for m, trees in _fit_apart(stored, starts, width, rules).items():
+            fitted[m].trees = trees
         return fitted
+    blocks = _blocks(stored, starts, width)
     kept = {m: np.zeros((width, _WIDE), bool) for m in cuts}
     for m, found in cuts.items():
         kept[m][:, MISSING] = True
@@ -378,26 +367,147 @@ def _looks(blocks: RDD, growers: dict[object, _Grower], counted: dict, rules: Gr
     return _totals(blocks, {m: growers[m].wide for m in counted}, counted, rules, kept, lambda sums: look_at(sums, rules))
 
 
-def _boosted(block: dict, rules: Growth) -> Iterator[dict[object, Tree]]:
-    """The trees of all rounds, for models whose rows lie in one block."""
-    for _ in range(rules.rounds):
-        known: dict = {m: {} for m in block}
-        trees = _round(lambda growers, counted, held=block, known=known: _local_looks(held, known, growers, counted, rules), sorted(block), rules)
-        block = _stepped(block, trees)
-        yield trees
-
-
-def _local_looks(block: dict, known: dict, growers: dict[object, _Grower], counted: dict, rules: Growth) -> dict[object, list[Look]]:
-    """The counted nodes from one block; ``known`` has the sums of the nodes whose children are not counted yet."""
-    small = {m: [growers[m].smaller(growers[m].parent[n]) for n in nodes[::2]] if nodes != [0] else nodes for m, nodes in counted.items()}
-    found = _sums(block, {m: growers[m].wide for m in counted}, small, rules)
-    for m, nodes in small.items():
-        for node, mine in zip(nodes, found[m], strict=True):
-            known[m][node] = mine
-            if node:
-                parent = growers[m].parent[node]
-                known[m][2 * growers[m].wide.left[parent] + 1 - node] = known[m].pop(parent) - mine
-    return {m: [look_at(known[m][n], rules) for n in nodes] for m, nodes in counted.items()}
+class _Held:
+    """Rows of one model in a task.
+
+    Two-valued features of which no row has two at the higher bin share a column (``share_columns``), and columns with few bins
+    make up one key, whose sums are those of each of them when the others are added up.
+    """
+
+    def __init__(self, bins: np.ndarray, y: np.ndarray, start: float, rules: Growth) -> None:
+        self.rules, self.y, self.raw = rules, y, np.full(len(y), start)
+        turned = np.ascontiguousarray(bins.T)
+        self.low, self.high = turned.min(axis=1).astype(int), turned.max(axis=1).astype(int)
+        self.columns = share_columns(turned)
+        sizes = [int(v.max()) + 1 for v in self.columns.values]
+        packs: list[list[int]] = []
+        for c in sorted(range(len(sizes)), key=lambda c: sizes[c]):
+            if packs and math.prod(sizes[k] for k in packs[-1]) * sizes[c] <= PACKED:
+                packs[-1].append(c)
+            else:
+                packs.append([c])
+        self.packs = [(pack, [sizes[c] for c in pack]) for pack in packs]
+        ends = np.cumsum([0, *[math.prod(shape) for _, shape in self.packs]]).tolist()
+        self.places = [slice(a, b) for a, b in zip(ends, ends[1:])]
+        self.cells = ends[-1]
+        self.keys = []
+        for pack, shape in self.packs:
+            key = np.zeros(len(y), np.uint16)
+            for c, size in zip(pack, shape):
+                key = key * np.uint16(size) + self.columns.values[c]
+            self.keys.append(key)
+        self.rows: dict[int, np.ndarray] = {}
+        self.known: dict[int, np.ndarray] = {}
+
+    def trees(self) -> Iterator[Tree]:
+        """The trees of all rounds."""
+        for _ in range(self.rules.rounds):
+            self.g, self.h = _gradients(self.y, self.raw, self.rules.classification)
+            self.rows, self.known, seen = {0: np.arange(len(self.y))}, {}, {}
+
+            def look(growers: dict, counted: dict, seen: dict = seen) -> dict:
+                seen.update(growers)
+                return {0: self._looks(growers[0], counted[0])}
+
+            tree = _round(look, [0], self.rules)[0]
+            self._step(tree, seen[0].wide)
+            yield tree
+
+    def _looks(self, grower: _Grower, nodes: list[int]) -> list[Look]:
+        """The counted nodes; ``known`` has the sums of the nodes whose children are not counted yet."""
+        if nodes == [0]:
+            self.known[0] = self._count(self.rows[0])
+        else:
+            for left in nodes[::2]:
+                parent = grower.parent[left]
+                rows = self.rows[parent]
+                side = self._left(rows, *grower.best[parent][1:])
+                self.rows[left], self.rows[left + 1] = rows[side], rows[~side]
+                small = grower.smaller(parent)
+                self.known[small] = self._count(self.rows[small])
+                self.known[2 * left + 1 - small] = self.known.pop(parent) - self.known[small]
+        return [look_at(self._by_feature(self.known[n]), self.rules) for n in nodes]
+
+    def _count(self, rows: np.ndarray) -> np.ndarray:
+        """Gradient, Hessian and count (sum, cell) of the packed columns, pack by pack, and of all rows in the last cell."""
+        g, h = self.g.take(rows), self.h.take(rows)
+        out = np.empty((3, self.cells + 1))
+        for key, at in zip(self.keys, self.places):
+            mine, size = key.take(rows).astype(np.intp), at.stop - at.start
+            out[0, at] = np.bincount(mine, g, size)
+            out[2, at] = np.bincount(mine, minlength=size)
+            out[1, at] = np.bincount(mine, h, size) if self.rules.classification else out[2, at]
+        out[:, -1] = g.sum(), h.sum(), len(rows)
+        return out
+
+    def _by_feature(self, cells: np.ndarray) -> np.ndarray:
+        """Sums (feature, bin, sum) of the counted cells."""
+        out = np.zeros((3, len(self.low), _WIDE))
+        total = cells[:, -1:]
+        alike = np.flatnonzero(self.columns.column < 0)
+        out[:, alike, self.low[alike]] = total
+        for (pack, shape), at in zip(self.packs, self.places):
+            cube = cells[:, at].reshape(3, *shape)
+            for axis, c in enumerate(pack, 1):
+                mine = cube.sum(axis=tuple(k for k in range(1, len(shape) + 1) if k != axis))
+                members = self.columns.members[c]
+                if self.columns.code[members[0]]:
+                    out[:, members, self.high[members]] = mine[:, 1:]
+                    out[:, members, self.low[members]] = total - mine[:, 1:]
+                else:
+                    out[:, members[0], : mine.shape[1]] = mine
+        return out.transpose(1, 2, 0)
+
+    def _left(self, rows: np.ndarray, feature: int, cut: int, missing_left: bool) -> np.ndarray:
+        """Which rows go left."""
+        column, code = self.columns.column[feature], self.columns.code[feature]
+        low, high = (missing_left if b == MISSING else b <= cut for b in (self.low[feature], self.high[feature]))
+        if column < 0:
+            return np.full(len(rows), bool(low))
+        mine = self.columns.values[column].take(rows)
+        if code:
+            return np.where(mine == code, bool(high), bool(low))
+        left = mine <= cut
+        return left | (mine == MISSING) if missing_left else left
+
+    def _step(self, tree: Tree, wide: Tree) -> None:
+        """Add a tree to the predictions. ``wide``, from which it was cut, tells whose rows are known."""
+        todo = [(0, 0)]
+        while todo:
+            node, old = todo.pop()
+            rows, child = self.rows[old], tree.left[node]
+            if tree.feature[node] < 0:
+                self.raw[rows] += tree.value[node]
+            elif wide.feature[old] >= 0:
+                todo += [(child, wide.left[old]), (child + 1, wide.left[old] + 1)]
+            else:  # its children were never counted and are leaves
+                side = self._left(rows, tree.feature[node], tree.cut[node], tree.missing_left[node])
+                self.raw[rows] += np.where(side, tree.value[child], tree.value[child + 1])
+
+
+def _fit_apart(stored: DataFrame, starts: dict, width: int, rules: Growth) -> dict[object, list[Tree]]:
+    """The trees of every model, each model in a task of its own. Its rows are sorted, so the sums do not hang on their places."""
+    models = sorted(starts, key=lambda m: m is not None)
+    place = F.array_position(F.array(*[F.lit(m) for m in models]), F.col("model")) - 1
+    dealt = stored.select(F.coalesce(place, F.lit(0)).cast("int").alias("place"), "label", "bins")
+    first = [starts[m] for m in models]
+
+    def grown(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            places, label = (batch.column(c).to_numpy() for c in range(2))
+            bins = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, width)
+            for k in np.unique(places):
+                held.setdefault(int(k), []).append((bins[places == k], label[places == k]))
+        for k, parts in held.items():
+            bins, y = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
+            trees = list(_Held(bins, y, first[k], rules).trees())  # some kB a tree
+            yield pa.RecordBatch.from_pydict({"place": pa.array([k], pa.int32()), "trees": pa.array([pickle.dumps(trees)], pa.binary())})
+
+    dealt = dealt.repartitionById(len(models), F.col("place")).sortWithinPartitions("place", "label", "bins")
+    found = dealt.mapInArrow(grown, "place int, trees binary").collect()
+    return {models[r["place"]]: pickle.loads(r["trees"]) for r in found}
 
 
 def _round(look: Callable[[dict, dict], dict], models: list, rules: Growth) -> dict[object, Tree]:

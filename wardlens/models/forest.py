@@ -36,7 +36,7 @@ from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardlens.models.booster import MISSING, quantile_cuts, to_bins
+from wardlens.models.bins import MISSING, quantile_cuts, to_bins
 from wardlens.sources.scratch import materialize, scratch_path
 
 LOCAL_ROWS = 1 << 17

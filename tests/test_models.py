@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import N_PROVIDERS
 from pyspark.ml import Estimator, PipelineModel
@@ -253,3 +254,52 @@ def test_metrics_document_fits_both_models_on_one_stored_table(spark, features,
     got = registry_models.document(spark, "").first()
     assert len(stored) == 1
     assert got == train.evaluate(train.train_satisfaction(features, TINY), train.train_underperformer(features, TINY)).first()
+
+
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_shapley_contributions_equal_scored_mixes(spark, features, task, monkeypatch):
+    """Against every mixed row written out and scored by itself; levels never seen and missing numbers occur."""
+    fit = train.train_underperformer if task == "classification" else train.train_satisfaction
+    model, seed, orders = fit(features, TINY).model, 42, 2
+    rows = columns.model_rows(features, task).orderBy("facility_id").limit(14).withColumns(
+        {"state": F.when(F.col("facility_id") < "P-00003", F.lit("never seen")).otherwise(F.col("state")),
+         "completed_surveys": F.when(F.col("facility_id") > "P-00011", F.lit(None)).otherwise(F.col("completed_surveys"))}
+    )
+    names = [*columns.CATEGORICAL, *columns.task_of(task).numeric]
+    own = rows.orderBy("facility_id").collect()
+    keys = [F.xxhash64("facility_id", "draw", F.lit(c), F.lit(seed)).alias(f"at_{c}") for c in names]
+    draws = rows.select("facility_id", F.explode(F.sequence(F.lit(1), F.lit(orders))).alias("draw")).select(
+        "facility_id", "draw", F.pmod(F.xxhash64("facility_id", "draw", F.lit(seed)), F.lit(len(own))).alias("start"), *keys
+    )
+    mixes, walks, by_id = [], [], {r.facility_id: r for r in own}
+    for d in draws.collect():
+        order = sorted(names, key=lambda c: (d[f"at_{c}"], c))
+        walks.append((d.facility_id, order))
+        for step in range(len(names) + 1):
+            mixes.append((f"{len(walks) - 1}:{step}", *[by_id[d.facility_id][c] if c in order[:step] else own[d.start][c] for c in names]))
+    kinds = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in names)
+    scored = model.transform(spark.createDataFrame(mixes, f"facility_id string, {kinds}"))
+    value = vector_to_array("probability")[1] if task == "classification" else F.col("prediction")
+    output = {r.facility_id: r.output for r in scored.select("facility_id", value.alias("output")).collect()}
+    want = {}
+    for k, (row, order) in enumerate(walks):
+        for step, c in enumerate(order):
+            want[row, c] = want.get((row, c), 0.0) + (output[f"{k}:{step + 1}"] - output[f"{k}:{step}"]) / orders
+    monkeypatch.setattr(explain, "WALKS", 3)
+    monkeypatch.setattr(type(model.stages[1]), "_transform", None)  # no mixed row is written
+    got = {(r.facility_id, r.feature): r.contribution for r in explain.shapley_rows(model, rows, task, orders=orders, seed=seed).collect()}
+    assert got.keys() == want.keys() and any(abs(v) > 1e-3 for v in got.values())
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_walks_are_packed_by_runs_of_row_numbers(monkeypatch):
+    monkeypatch.setattr(explain, "WALKS", 2)
+    code = lambda *x: np.array(x, np.uint16).tobytes()
+    numbers = [0, 1, 2, 8, 9]
+    batch = pa.RecordBatch.from_pydict(
+        {"_row": numbers, "own": [code(k, 1) for k in numbers], "starts": [[code(k, 2)] for k in numbers], "orders": [[1, 0]] * 5}
+    )
+    blocks = [(r["first"], r["bins"]) for b in explain.pack_walks([batch], 1, 2) for r in b.to_pylist()]
+    assert [(first, int.from_bytes(block[:4], "little")) for first, block in blocks] == [(0, 2), (2, 1), (8, 2)]
+    plain = [pa.decompress(block[4:], 20 if first != 2 else 10, "zstd", asbytes=True) for first, block in blocks]
+    assert plain[2] == code(8, 1) + code(9, 1) + code(8, 2) + code(9, 2) + bytes([1, 0, 1, 0])

@@ -20,7 +20,7 @@ from __future__ import annotations
 import json
 import math
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -46,6 +46,7 @@ GROUPS = 48  # groups of trees that predict apart, at least (if there are as man
 GROUP_NODES = 1 << 21  # nodes of a group, at most (if a tree has fewer)
 PART_ROWS = 1 << 21  # rows that a task predicts
 BLOCK = 1 << 13
+LEVELS = 3  # levels that rows go down before those at leaves are left out
 SHARED = 31  # features that share a column, at most
 _VOTES = "first long, group int, votes binary"
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
@@ -545,7 +546,7 @@ def _pack(batches: Iterator[pa.RecordBatch], cuts: list[np.ndarray]) -> Iterator
         yield pa.RecordBatch.from_pydict({"first": pa.array(rows[starts], pa.int64()), "bins": pa.array(parts, pa.binary())})
 
 
-class _Trees:
+class Trees:
     """Nodes of some trees, end to end."""
 
     def __init__(self, cuts: list[np.ndarray], size: int) -> None:
@@ -567,27 +568,33 @@ class _Trees:
         self.roots = np.cumsum(counts) - counts
         place = np.empty(len(tree), np.int64)
         place[self.roots[slot] + id_] = np.arange(len(tree))
-        self.feature, self.cut, self.value = feature[place], cut[place], value[place]
-        self.left, self.right = ((c + self.roots[slot])[place] for c in (left, right))
+        self.inner, self.value = feature[place] >= 0, value[place]
+        # A leaf is its own child, so rows may come to it some levels before the others.
+        self.feature, self.cut = np.where(self.inner, feature[place], 0).astype(np.intp), cut[place]
+        own = np.arange(len(tree))
+        self.child = np.stack([np.where(self.inner, (c + self.roots[slot])[place], own) for c in (left, right)], axis=1).ravel()
         self.held = []
 
     def votes(self, bins: np.ndarray) -> np.ndarray:
         """Sum of the values of all trees for each binned row."""
-        out = np.zeros((len(bins), self.size))
+        flat, starts, out = bins.ravel(), np.arange(len(bins)) * bins.shape[1], np.zeros((len(bins), self.size))
         for root in self.roots:
             node = np.full(len(bins), root)
-            rows = np.arange(len(bins)) if self.feature[root] >= 0 else np.zeros(0, np.int64)
+            rows = np.arange(len(bins)) if self.inner[root] else np.zeros(0, np.int64)
+            at, base = node[rows], starts[rows]
             while len(rows):
-                at = node[rows]
-                at = np.where(bins[rows, self.feature[at]] <= self.cut[at], self.left[at], self.right[at])
+                for _ in range(LEVELS):
+                    right = flat.take(base + self.feature.take(at)) > self.cut.take(at)
+                    at = self.child.take(2 * at + right)
+                live = self.inner.take(at)
                 node[rows] = at
-                rows = rows[self.feature[at] >= 0]
+                rows, at, base = rows[live], at[live], base[live]
             out += self.value[node]
         return out
 
 
-def _vote(batches: Iterator[pa.RecordBatch], cuts: list[np.ndarray], size: int) -> Iterator[pa.RecordBatch]:
-    """Votes of each group's trees on each block. Of a (group, part of the rows) the nodes come first, then the blocks."""
+def _vote(batches: Iterator[pa.RecordBatch], cuts: list[np.ndarray], size: int, of: Callable[[Trees, bytes], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """What ``of`` gives for each group's trees and each block. Of a (group, part of the rows) the nodes come first, then the blocks."""
     key, trees, ready = None, None, False
     for batch in batches:
         groups, blocks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
@@ -595,7 +602,7 @@ def _vote(batches: Iterator[pa.RecordBatch], cuts: list[np.ndarray], size: int)
         for a, b in zip([0, *edges], [*edges, len(groups)]):
             some = batch.slice(a, b - a)
             if groups[a] != key:
-                key, trees, ready = groups[a], _Trees(cuts, size), False
+                key, trees, ready = groups[a], Trees(cuts, size), False
             if not blocks[a]:
                 trees.add(some)
                 continue
@@ -603,7 +610,7 @@ def _vote(batches: Iterator[pa.RecordBatch], cuts: list[np.ndarray], size: int)
                 trees.close()
                 ready = True
             for first, bins in zip(some.column(9).to_pylist(), some.column(10).to_pylist()):
-                votes = trees.votes(np.frombuffer(bins, np.uint8).reshape(-1, len(cuts)))
+                votes = of(trees, bins)
                 yield pa.RecordBatch.from_pydict({"first": pa.array([first]), "group": pa.array([key], pa.int32()), "votes": pa.array([votes.tobytes()])})
 
 
@@ -644,16 +651,19 @@ class ForestModel(Model, MLWritable, MLReadable):
             (shares if self.classes else F.array(node["prediction"])).alias("value"),
         )
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        cuts, size, kept = [np.array(c) for c in self.cuts], max(1, self.classes), "first long, bins binary"
-        stored = materialize(dataset.withColumn("_row", F.monotonically_increasing_id()), "to-predict")
-        groups = min(self.getNumTrees, max(GROUPS, -(-self.nodes // GROUP_NODES)))
-        parts = max(1, -(-stored.count() // PART_ROWS))
-        blocks = stored.select("_row", vector_to_array("features").alias("x")).mapInArrow(lambda batches: _pack(batches, cuts), kept)
+    def votes(self, blocks: DataFrame, rows: int, of: Callable[[Trees, bytes], np.ndarray], size: int, least: int) -> DataFrame:
+        """What ``of`` gives for the trees, group by group, and each block (``first, bins``), added up over the groups.
+
+        ``rows``: rows of all blocks together; of each, numbered from ``first`` in its block as ``_row``, ``size`` numbers come out
+        as ``_votes``. ``least``: groups of trees, at least.
+        """
+        cuts, held = [np.array(c) for c in self.cuts], max(1, self.classes)
+        groups = min(self.getNumTrees, max(least, -(-self.nodes // GROUP_NODES)))
+        parts = max(1, -(-rows // PART_ROWS))
         none = lambda kind: F.lit(None).cast(kind)
         # A task has the nodes of one group and one part of the blocks.
         task = lambda group, part: (group * parts + part).cast("int")
-        nodes = self._nodes(dataset.sparkSession).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        nodes = self._nodes(blocks.sparkSession).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         nodes = nodes.select(
             task(F.col("tree") % groups, F.col("part")).alias("group"), F.lit(False).alias("block"), "tree", "id", "feature", "threshold", "left", "right",
             F.when(F.col("feature") < 0, F.col("value")).otherwise(F.array().cast("array<double>")).alias("value"),
@@ -664,8 +674,15 @@ class ForestModel(Model, MLWritable, MLReadable):
             *[none(kind).alias(c) for c, kind in nodes.dtypes[2:9]], "first", "bins",
         )
         dealt = nodes.unionByName(asked).repartitionById(min(groups * parts, TASKS), (F.col("group") % min(groups * parts, TASKS)).cast("int"))
-        votes = dealt.sortWithinPartitions("group", "block").mapInArrow(lambda batches: _vote(batches, cuts, size), _VOTES)
-        added = votes.groupBy("first").applyInPandas(lambda pdf: _added(pdf, size), "_row long, _votes array<double>")
+        votes = dealt.sortWithinPartitions("group", "block").mapInArrow(lambda batches: _vote(batches, cuts, held, of), _VOTES)
+        return votes.groupBy("first").applyInPandas(lambda pdf: _added(pdf, size), "_row long, _votes array<double>")
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        cuts, size, kept = [np.array(c) for c in self.cuts], max(1, self.classes), "first long, bins binary"
+        stored = materialize(dataset.withColumn("_row", F.monotonically_increasing_id()), "to-predict")
+        blocks = stored.select("_row", vector_to_array("features").alias("x")).mapInArrow(lambda batches: _pack(batches, cuts), kept)
+        width = len(cuts)
+        added = self.votes(blocks, stored.count(), lambda trees, bins: trees.votes(np.frombuffer(bins, np.uint8).reshape(-1, width)), size, GROUPS)
         scored = stored.join(materialize(added, "votes"), "_row").drop("_row")
         if not self.classes:
             return scored.withColumn("prediction", F.col("_votes")[0] / self.getNumTrees).drop("_votes")

@@ -114,12 +114,28 @@ class Preprocessor(Estimator):
 def feature_names(model: PipelineModel) -> list[str]:
     """Name of every position of the feature vector of a fitted preprocessor."""
     index = next(s for s in model.stages if isinstance(s, StringIndexerModel))
-    pool = next(s for s in model.stages if isinstance(s, SQLTransformer) and "_slot" in s.getStatement())
     names: list[str] = []
-    for c, labels in zip(CATEGORICAL, index.labelsArray):
-        frequent = int(re.search(rf"{c}_index < (\d+) THEN {c}_index", pool.getStatement()).group(1))
+    for c, labels, frequent in zip(CATEGORICAL, index.labelsArray, _frequent_slots(model)):
         names += [f"{c}_{label}" for label in labels[:frequent]]
         if frequent < len(labels):
             names.append(f"{c}_{POOLED}")
     assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
     return names + [c.removesuffix("_scaled") for c in assembler.getInputCols() if c.endswith("_scaled")]
+
+
+def feature_columns(model: PipelineModel) -> list[str]:
+    """Input column of every position of the feature vector of a fitted preprocessor."""
+    numbers = next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()[len(CATEGORICAL) :]
+    return [c for c, n in zip(CATEGORICAL, _slots(model)) for _ in range(n)] + [c.removesuffix("_scaled") for c in numbers]
+
+
+def _slots(model: PipelineModel) -> list[int]:
+    """Number of slots of every category."""
+    index = next(s for s in model.stages if isinstance(s, StringIndexerModel))
+    return [k + (k < len(labels)) for k, labels in zip(_frequent_slots(model), index.labelsArray)]
+
+
+def _frequent_slots(model: PipelineModel) -> list[int]:
+    """Number of levels with a slot of their own, for every category."""
+    pool = next(s for s in model.stages if isinstance(s, SQLTransformer) and "_slot" in s.getStatement())
+    return [int(re.search(rf"{c}_index < (\d+) THEN {c}_index", pool.getStatement()).group(1)) for c in CATEGORICAL]

@@ -303,3 +303,12 @@ def test_walks_are_packed_by_runs_of_row_numbers(monkeypatch):
     assert [(first, int.from_bytes(block[:4], "little")) for first, block in blocks] == [(0, 2), (2, 1), (8, 2)]
     plain = [pa.decompress(block[4:], 20 if first != 2 else 10, "zstd", asbytes=True) for first, block in blocks]
     assert plain[2] == code(8, 1) + code(9, 1) + code(8, 2) + code(9, 2) + bytes([1, 0, 1, 0])
+
+
+def test_registered_leaderboard_fits_every_candidate_at_full_size(spark, features, monkeypatch):
+    asked = []
+    monkeypatch.setattr(registry_models, "stored_features", lambda spark, sf_dir: features)
+    monkeypatch.setattr(validate, "compare_models", lambda table, sizes, **more: asked.append((sizes, more)) or table)
+    registry_models.models()["m_cv"](spark, "")
+    assert asked == [(candidates.Sizes(), {})]
+    assert (asked[0][0].trees, asked[0][0].tree_depth, asked[0][0].boost_rounds, asked[0][0].long_rounds) == (300, 30, 100, 400)

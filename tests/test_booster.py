@@ -200,3 +200,17 @@ def test_each_model_is_boosted_in_a_task_of_its_own(spark, monkeypatch):
     got = booster.fit_many(spark.createDataFrame(rows, ["m", "label", "features"]).repartition(5), rules, "m")
     for m, (x, one) in alone.items():
         assert np.allclose(got[m].raw(x), one.raw(x), atol=1e-9)
+
+
+def test_packed_columns_of_a_regressor_give_the_sums_of_all_features(spark, monkeypatch):
+    equal_to_passes(spark, monkeypatch, Growth(**DEPTHWISE))
+    rules = Growth(rounds=5, rate=0.05, max_leaves=32, max_depth=5, min_rows=1, min_hessian=1.0, l2=1.0)  # as m_boost400
+    x, y = mixed_rows(300, 11, False)
+    cuts = [np.unique(c[~np.isnan(c)]) for c in x.T]
+    bins, calls = booster.to_bins(x, cuts), []
+    held = booster._Held(bins, y, y.mean(), rules)
+    monkeypatch.setattr(held, "_count", lambda rows, count=held._count: calls.append(len(rows)) or count(rows))
+    trees = list(held.trees())
+    ensemble = booster.Ensemble(y.mean(), cuts, trees)
+    assert len(trees) == 5 and np.allclose(ensemble.raw(x), held.raw, atol=1e-9)
+    assert sum(calls) <= 5 * 300 * (1 + 4 / 2)  # all rows of the root, then at most half of those of each level
